@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offergrid.llm.common import batched, buckets_of, squeeze, text_buffer, unsqueeze, written
+from offergrid.llm.common import batched, bucketed, buckets_of, squeeze, unsqueeze
 
 BLOCK_BYTES, BLOCK_ROWS = 16_000_000, 50_000
 PACKED = "kind int, bucket int, block long, payload binary, places binary, ids binary, lens binary"
@@ -93,6 +93,15 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.stack(planes, 1)).view("<u4").ravel() if len(planes[0]) else np.zeros(0, np.uint32)
 
 
+def _join(one: bytes, two: bytes) -> bytes:
+    return len(one).to_bytes(4, "little") + one + two
+
+
+def _part(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(raw[:4], "little")
+    return _unplanes(raw[4:cut]), _unplanes(raw[cut:])
+
+
 def _bytes_list(words: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, words), "<u4", len(words))
     return squeeze(len(words).to_bytes(4, "little") + lens.tobytes() + b"".join(words))
@@ -135,14 +144,14 @@ def _pack(pattern: str, buckets: int):
             often = np.argsort(-times, kind="stable")
             new = np.empty(len(words), np.uint32)
             new[often] = np.arange(len(words), dtype=np.uint32)
-            out = [(0, None, block, _planes(new[flat]) if len(flat) else _planes(np.zeros(0, np.uint32)), None, squeeze(np.array(batch.column(0).to_pylist(), object).astype("<i8") if batch.column(0).null_count == 0 else np.array([-(1 << 63) if v is None else v for v in batch.column(0).to_pylist()], "<i8")), squeeze(np.array(counts, "<u4")))]
+            out = [(0, None, block, _planes(new[flat]), _planes(new[order]), squeeze(np.array(batch.column(0).to_pylist(), object).astype("<i8") if batch.column(0).null_count == 0 else np.array([-(1 << 63) if v is None else v for v in batch.column(0).to_pylist()], "<i8")), squeeze(np.array(counts, "<u4")))]
             begin = 0
             while begin < len(order):
                 b, stop = bucket[order[begin]], begin
                 while stop < len(order) and bucket[order[stop]] == b:
                     stop += 1
                 own = order[begin:stop]
-                out.append((1, int(b), block, _bytes_list([words[i] for i in own]), _planes(new[own]), None, None))
+                out.append((1, int(b), block, _bytes_list([words[i] for i in own]), None, None, None))
                 begin = stop
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "block", "payload", "places", "ids", "lens"])
@@ -163,8 +172,8 @@ def _encode_bucket(shared):
                     if got is None:
                         got = done[w] = np.array(bpe_word(w, ranks), np.uint32)
                     ids.append(got)
-                sent.append(squeeze(len(ids).to_bytes(4, "little") + np.fromiter(map(len, ids), "<u4", len(ids)).tobytes() + np.concatenate(ids).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([blocks, pa.array(sent, pa.binary()), batch.column("places")], ["block", "payload", "places"])
+                sent.append(_join(_planes(np.fromiter(map(len, ids), "<u4", len(ids))), _planes(np.concatenate(ids))))
+            yield pa.RecordBatch.from_arrays([blocks, batch.column("bucket"), pa.array(sent, pa.binary())], ["block", "bucket", "payload"])
 
     return run
 
@@ -187,21 +196,17 @@ def _reassemble(shared):
         token_len = np.fromiter(map(len, table), np.int64, len(table))
         token_at = np.cumsum(token_len) - token_len
         token_bytes = np.frombuffer(b"".join(table), np.uint8)
-        places, lens, flats = [], [], []
-        for raw, where in zip(words.column("payload").to_pylist(), words.column("places").to_pylist(), strict=True):
-            body = unsqueeze(raw)
-            n = int.from_bytes(body[:4], "little")
-            lens.append(np.frombuffer(body, "<u4", n, 4).astype(np.int64))
-            flats.append(np.frombuffer(body, "<u4", -1, 4 + 4 * n))
-            places.append(_unplanes(where))
-        count = sum(map(len, places))
-        length, begin = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
-        if count:
-            all_lens, all_places = np.concatenate(lens), np.concatenate(places)
-            length[all_places], begin[all_places] = all_lens, np.cumsum(all_lens) - all_lens
+        # Bundles joined by bucket are the block's words in the order in which its places were written.
+        bundles = sorted(zip(words.column("bucket").to_pylist(), words.column("payload").to_pylist(), strict=True))
+        parts = [_part(raw) for _, raw in bundles]
+        flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+        all_lens = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        all_begin = np.cumsum(all_lens) - all_lens
         out_ids, out_list, out_bytes = [], [], []
-        for payload, ids, counts in zip(docs.column("payload").to_pylist(), docs.column("ids").to_pylist(), docs.column("lens").to_pylist(), strict=True):
+        for payload, places, ids, counts in zip(*[docs.column(c).to_pylist() for c in ("payload", "places", "ids", "lens")], strict=True):
+            place = _unplanes(places)
+            length, begin = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            length[place], begin[place] = all_lens, all_begin
             doc_ids, n_words, at = np.frombuffer(unsqueeze(ids), "<i8"), np.frombuffer(unsqueeze(counts), "<u4"), 0
             where = _unplanes(payload)
             for doc, n in zip(doc_ids.tolist(), n_words.tolist(), strict=True):
@@ -224,7 +229,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Tasks cut texts into pre-tokens by ``pattern`` and pack blocks of texts: the distinct words of a block, bundled
     by hash bucket, and each position's word number. The bundles are dealt out by bucket; a task keeps one entry for
     each distinct word and encodes it once. Ids return to the block, where positions are looked up and the
-    ids decoded through the token-byte table. Blocks hold at most 16 MB of text, or one longer text.
+    ids decoded through the token-byte table. Blocks are stored bucketed, so only words and ids are shuffled; they hold at most 16 MB of text, or one longer text.
 
     Null texts count as empty and give no tokens; null ids stay null; repeated rows give repeated results; an
     empty table gives none; other columns are ignored.
@@ -232,8 +237,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     spark: SparkSession = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     buckets = buckets_of(spark)
-    packed = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack(pattern, buckets), PACKED), "bpe")
-    bundles = packed.where("kind = 1").select("bucket", "block", "payload", "places").repartition(buckets, "bucket")
-    encoded = bundles.mapInArrow(_encode_bucket(ranks), "block long, payload binary, places binary")
-    texts = packed.where("kind = 0").select("block", "payload", "ids", "lens")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    packed = bucketed(given.mapInArrow(_pack(pattern, buckets), PACKED), "bpe", "kind", "block", buckets)
+    bundles = packed.where("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket")
+    encoded = bundles.mapInArrow(_encode_bucket(ranks), "block long, bucket int, payload binary")
+    texts = packed.where("kind = 0").select("block", "payload", "places", "ids", "lens")
     return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(ranks), "id long, tokens array<int>, decoded binary")

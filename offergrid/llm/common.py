@@ -32,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, part: str, key: str, n: int) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders by ``part`` and bucketed by ``key``.
+
+    A later grouping or join by ``key`` reads it in place, without a shuffle of this side.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").partitionBy(part).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def buckets_of(spark: SparkSession) -> int:
     """How many hash buckets work is dealt into: what the cluster sets for its shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
