@@ -109,13 +109,11 @@ def delivery_days(text: Column, as_of: Column) -> Column:
     bare = strip(F.coalesce(text, F.lit("")))
     low, pattern = F.lower(bare), r"(\d{1,2})(?:\s*[-–]\s*\d{1,2})?\s+([A-Za-z]{3,})"
     day, name = number_of(bare, pattern, "int"), F.lower(F.substring(F.regexp_extract(bare, pattern, 2), 1, 3))
-    dates = []
-    for i, month in enumerate(MONTHS):
-        this = _date(F.year(as_of), i + 1, day)
-        dates.append(F.when(name == month, F.when(this < F.date_sub(as_of, 1), _date(F.year(as_of) + 1, i + 1, day)).otherwise(this)))
-    days = F.greatest(F.lit(0), F.date_diff(F.coalesce(*dates), as_of))
-    dated = F.when(name.isin(*MONTHS) & F.coalesce(*dates).isNotNull(), days)
-    return F.when(low.contains("today"), 0).when(low.contains("tomorrow"), 1).otherwise(dated).cast("int")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
+    dated = lambda year: F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    this = dated(F.year(as_of))
+    target = F.when(this < F.date_sub(as_of, 1), dated(F.year(as_of) + 1)).otherwise(this)
+    return F.when(low.contains("today"), 0).when(low.contains("tomorrow"), 1).otherwise(F.when(target.isNotNull(), F.greatest(F.lit(0), F.date_diff(target, as_of)))).cast("int")
 
 
 def delivery_band(status: Column, stock: Column, delivery: Column, as_of: Column) -> Column:

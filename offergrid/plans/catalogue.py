@@ -1,9 +1,668 @@
 """All queries of the library by name, with their SQL twins."""
 
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offergrid.functions import text as X
+from offergrid.operators import dom, extract, grid, offers, report
+from offergrid.plans.fixtures import Tables, as_of, duck, duck_band, duck_cell, duck_days, duck_discount, duck_display, duck_free, duck_minutes, duck_stock, duck_title
+from offergrid.sources import json_store, lines, sinks
+from offergrid.streaming import progress
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+KEY = ("asin", "pincode")
+SEQ = ("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            _ORACLE[f.__name__] = duck(sql)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+# Sources. Catalog and location lists are lines made of part and nation; a file is a brand.
+
+
+def part_lines(t: Tables) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" # "), "p_type")).when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("X"), F.col("p_partkey").cast("string"), F.lit(","), "p_name")).when(F.col("p_partkey") % 13 == 0, "")
+    line = line.otherwise(F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(" , "), "p_name", F.lit(",c1,more # note")))
+    return t.read("part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line_no"), line.alias("line"))
+
+
+_LINES = "lines AS (SELECT p_brand AS file, p_partkey AS line_no, p_type, p_name, p_partkey % 7 = 0 AS head, p_partkey % 7 <> 0 AND p_partkey % 11 = 0 AS bad, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 = 0 AS blank FROM part), filled AS (SELECT *, coalesce(last_value(CASE WHEN head THEN p_type END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS category FROM lines)"
+
+
+def _with(more: str, sql: str) -> str:
+    return "SELECT * FROM (WITH " + more + " " + sql + ")"
+
+
+@query(_with(_LINES, "SELECT file, line_no, 'B' || lpad(CAST(line_no AS VARCHAR), 9, '0') AS asin, p_name AS item_name, 'c1' AS item_code, category FROM filled WHERE NOT head AND NOT bad AND NOT blank"))
+def scan_catalog(t):
+    return lines.scan_catalog(part_lines(t))
+
+
+@query(_with(_LINES, "SELECT file, line_no, 'X' || line_no AS asin FROM filled WHERE bad"))
+def rejects(t):
+    return lines.rejects(part_lines(t))
+
+
+@query(_with(_LINES, "SELECT file, line_no, CASE WHEN bad THEN 'X' || line_no || ',' || p_name ELSE 'B' || lpad(CAST(line_no AS VARCHAR), 9, '0') || ' , ' || p_name || ',c1,more' END AS data FROM filled WHERE NOT head AND NOT blank"))
+def strip_comments(t):
+    return lines.strip_comments(part_lines(t)).select("file", "line_no", "data")
+
+
+@query(_with(_LINES, "SELECT file, line_no, category FROM filled"))
+def category_ffill(t):
+    return lines.category_ffill(part_lines(t)).select("file", "line_no", "category")
+
+
+def customer_lines(t: Tables) -> DataFrame:
+    """Location lines with repeated codes, cities that hold commas, codes that are none and comment lines."""
+    c = F.col("c_custkey")
+    code = F.when(c % 17 == 0, F.concat(F.lit("12a"), c.cast("string"))).otherwise((110001 + c % 400).cast("string"))
+    line = F.when(c % 19 == 0, F.concat(F.lit("# "), "c_name")).otherwise(F.concat(code, F.lit(" , "), "c_name", F.lit(", "), "c_mktsegment"))
+    return t.read("customer").select(F.lit("customers").alias("file"), c.alias("line_no"), line.alias("line"))
+
+
+_CUSTOMER = "SELECT min(c_custkey) AS ord, CAST(110001 + c_custkey % 400 AS VARCHAR) AS pincode, max_by(c_name || ', ' || c_mktsegment, c_custkey) AS city FROM customer WHERE c_custkey % 19 <> 0 AND c_custkey % 17 <> 0 GROUP BY 2"
+
+
+@query(_CUSTOMER)
+def scan_locations(t):
+    return lines.scan_locations(customer_lines(t))
+
+
+@query(_CUSTOMER)
+def keyed_dict_dedupe(t):
+    c = t.read("customer").where("c_custkey % 19 <> 0 and c_custkey % 17 <> 0")
+    rows = c.select(F.col("c_custkey").alias("ord"), (110001 + F.col("c_custkey") % 400).cast("string").alias("pincode"), F.concat("c_name", F.lit(", "), "c_mktsegment").alias("city"))
+    return offers.keyed_dict_dedupe(rows, "pincode", "city", "ord").select("ord", "pincode", "city")
+
+
+@query("SELECT ord, pincode, city FROM locations")
+def location_fallback(t):
+    return grid.location_fallback(t.locations.where("ord < 0"), t.locations)
+
+
+@query("SELECT asin, pincode, city, product_name, mrp, price, discount_percent, in_stock, delivery_date, free_delivery, seller, rating, reviews, bsr, product_url, scraped_at, status, failure_reason FROM offers")
+def scan_offers_json(t):
+    names = ["asin", "pincode", "city", "product_name", "mrp", "price", "discount_percent", "in_stock", "delivery_date", "free_delivery", "seller", "rating", "reviews", "bsr", "product_url", "scraped_at", "status", "failure_reason"]
+    return json_store.scan_offers_json(json_store.sink_offers_json(t.offers.drop("loc_ord"))).select(*names)
+
+
+@query("SELECT asin, count(*) AS n FROM offers GROUP BY asin")
+def sink_offers_json(t):
+    body = json_store.sink_offers_json(t.offers.drop("loc_ord"))
+    return body.select("asin", F.size(F.regexp_extract_all("body", F.lit(r'"pincode":'), F.lit(0))).cast("bigint").alias("n"))
+
+
+_LAST = "SELECT asin, pincode FROM capture ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC LIMIT 10000"
+
+
+@query(f"SELECT DISTINCT asin, pincode FROM ({_LAST})")
+def scan_progress_json(t):
+    return json_store.scan_progress_json(json_store.sink_progress(t.capture, offers.WRITE_ORDER, "2000-01-15T00:00:00"))
+
+
+@query("SELECT CAST(count(*) AS INT) AS last_completed_index, least(count(*), 10000) AS kept FROM capture")
+def sink_progress(t):
+    body = json_store.sink_progress(t.capture, offers.WRITE_ORDER, "2000-01-15T00:00:00")
+    r = F.from_json("body", "last_completed_index int, completed_combinations array<array<string>>")
+    return body.select(r.alias("r")).select("r.last_completed_index", F.size("r.completed_combinations").cast("bigint").alias("kept"))
+
+
+@query("SELECT page_id, url, length(html) AS n FROM pages")
+def scan_pages(t):
+    return lines.scan_pages(t.spark, f"{t.dir}/pages.parquet").select("page_id", "url", F.char_length("html").cast("bigint").alias("n"))
+
+
+# Predicates and projections.
+
+
+@query("SELECT asin, true AS valid FROM catalog UNION ALL SELECT substr(asin, 2), false FROM catalog UNION ALL SELECT 'A' || substr(asin, 2), false FROM catalog UNION ALL SELECT substr(asin, 1, 9) || '-', false FROM catalog")
+def valid_asin(t):
+    a, c = F.col("asin"), t.catalog
+    texts = c.select("asin").unionAll(c.select(F.substring(a, 2, 9))).unionAll(c.select(F.concat(F.lit("A"), F.substring(a, 2, 9)))).unionAll(c.select(F.concat(F.substring(a, 1, 9), F.lit("-"))))
+    return texts.select("asin", X.valid_asin(a).alias("valid"))
+
+
+@query("SELECT c_custkey, length(CAST(c_custkey * 37 AS VARCHAR)) = 6 AS valid FROM customer")
+def valid_pincode(t):
+    return t.read("customer").select("c_custkey", X.valid_pincode((F.col("c_custkey") * 37).cast("string"), F.col("c_name")).alias("valid"))
+
+
+@query("SELECT asin, 'https://www.example.com/dp/' || asin AS product_url FROM catalog")
+def product_url(t):
+    return t.catalog.select("asin", X.product_url(F.col("asin")).alias("product_url"))
+
+
+_STATE = "CASE WHEN contains(lower(html[1:3000]), 'captcha') OR contains(lower(html[1:3000]), 'the the ') OR contains(lower(url), 'captcha') THEN 'CAPTCHA' WHEN contains(lower(html[1:3000]), 'ersh ') OR contains(url, '404') THEN 'NOT_FOUND' WHEN NOT contains(lower(html[1:3000]), 'the') THEN 'WRONG_PAGE' WHEN NOT contains(lower(html[1:3000]), 'then') AND NOT contains(lower(html[1:3000]), 'ouer') THEN 'INCOMPLETE_LOAD' ELSE 'OK' END"
+
+
+def page_state(t: Tables) -> DataFrame:
+    state = offers.classify_page(F.col("url"), F.col("html"), F.lit("THE"), captcha=("captcha", "the the "), missing="ersh ", ready=("then", "ouer"))
+    return t.read("pages").select("page_id", "url", "html", state.alias("state"))
+
+
+@query(f"SELECT page_id, {_STATE} AS state FROM pages")
+def classify_page(t):
+    return page_state(t).select("page_id", "state")
+
+
+@query(f"SELECT page_id, CASE WHEN s IN ('CAPTCHA', 'NOT_FOUND') THEN 'FAILED' ELSE 'OK' END AS status, CASE s WHEN 'CAPTCHA' THEN 'CAPTCHA' WHEN 'NOT_FOUND' THEN 'Product not found (404)' ELSE '' END AS failure_reason FROM (SELECT page_id, {_STATE} AS s FROM pages)")
+def outcome_of_page(t):
+    status, reason = offers.outcome_of_page(F.col("state"))
+    return page_state(t).select("page_id", status.alias("status"), reason.alias("failure_reason"))
+
+
+@query("SELECT page_id, contains(lower(url), 'captcha') OR contains(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), 'captcha') OR contains(lower(html), 'enter the characters you see below') OR contains(lower(html), 'id=\"captchacharacters\"') AS challenge FROM pages")
+def is_challenge(t):
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return t.read("pages").select("page_id", offers.is_challenge(F.col("url"), title, F.col("html")).alias("challenge"))
+
+
+@query("SELECT c.asin, c.pincode, true AS confirmed FROM capture c UNION ALL SELECT c.asin, c.pincode, contains(lower(c.seller), lower(l.city)) OR contains(c.seller, c.pincode) FROM capture c JOIN locations l USING (pincode)")
+def location_confirmed(t):
+    c = t.capture.join(F.broadcast(t.locations.select("pincode", "city")), "pincode")
+    line = F.concat(F.lit("Deliver to "), F.upper("city"), F.lit(" "), "pincode")
+    one = c.select(*KEY, offers.location_confirmed(line, F.col("pincode"), F.col("city")).alias("confirmed"))
+    return one.unionAll(c.select(*KEY, offers.location_confirmed(F.col("seller"), F.col("pincode"), F.col("city"))))
+
+
+_KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'CAPTCHA' WHEN 1 THEN 'NOT_FOUND' WHEN 2 THEN 'ERROR' ELSE 'PINCODE_FAILED' END"
+
+
+@query(f"""SELECT asin, pincode, kind, CASE kind WHEN 'CAPTCHA' THEN '' ELSE 'Not Found' END AS product_name, CASE kind WHEN 'CAPTCHA' THEN '' ELSE 'N/A' END AS discount_percent,
+CASE kind WHEN 'CAPTCHA' THEN '' WHEN 'ERROR' THEN 'Check on site' ELSE 'Not Found' END AS in_stock, CASE kind WHEN 'CAPTCHA' THEN '' WHEN 'NOT_FOUND' THEN 'Not Available' WHEN 'ERROR' THEN 'Not Found' ELSE 'Pincode Failed' END AS delivery_date,
+CASE kind WHEN 'CAPTCHA' THEN '' ELSE 'N/A' END AS free_delivery, CASE kind WHEN 'CAPTCHA' THEN '' ELSE 'N/A' END AS bsr, CASE kind WHEN 'PINCODE_FAILED' THEN kind ELSE 'FAILED' END AS status,
+CASE kind WHEN 'CAPTCHA' THEN kind WHEN 'NOT_FOUND' THEN 'Product not found (404)' WHEN 'PINCODE_FAILED' THEN 'Pincode Failed' ELSE substr(repeat(seller, 9), 1, 120) END AS failure_reason FROM (SELECT asin, pincode, seller, {_KIND} AS kind FROM capture WHERE status <> 'OK')""")
+def failure_defaults(t):
+    n = F.col("l_linenumber") % 4
+    kind = F.when(n == 0, "CAPTCHA").when(n == 1, "NOT_FOUND").when(n == 2, "ERROR").otherwise("PINCODE_FAILED")
+    rows = t.capture.where("status <> 'OK'").select(*KEY, kind.alias("kind"), F.repeat("seller", 9).alias("error"))
+    return offers.failure_defaults(rows).drop("error")
+
+
+@query("SELECT asin, pincode, city, coalesce(nullif(failure_reason, ''), 'Failed') AS failure_reason, scraped_at FROM offers WHERE status <> 'OK'")
+def failed_rows(t):
+    return report.failed_rows(t.offers)
+
+
+@query(f"SELECT asin, pincode, CASE WHEN {duck_free('delivery_text')} THEN 'Yes' ELSE 'No' END AS free_delivery FROM capture")
+def free_flag(t):
+    return t.capture.select(*KEY, X.free_flag(X.is_free_text(F.col("delivery_text"))).alias("free_delivery"))
+
+
+# The grid and its joins.
+
+_GRID = "SELECT k.asin, k.item_name, l.pincode, l.city, l.ord AS loc_ord, k.ord, k.item_code, k.category FROM catalog k CROSS JOIN locations l"
+
+
+@query(_GRID)
+def work_grid(t):
+    return grid.work_grid(t.catalog, t.locations)
+
+
+@query(f"SELECT g.* FROM ({_GRID}) g LEFT JOIN capture c ON g.asin = c.asin AND g.pincode = c.pincode WHERE c.asin IS NULL")
+def todo_grid(t):
+    return grid.todo_grid(grid.work_grid(t.catalog, t.locations), t.capture)
+
+
+@query("SELECT * FROM catalog WHERE asin IN (SELECT asin FROM capture WHERE status <> 'OK')")
+def catalog_with_results(t):
+    return report.catalog_with_results(t.catalog, t.capture.where("status <> 'OK'"))
+
+
+@query("SELECT * FROM catalog WHERE asin NOT IN (SELECT asin FROM capture WHERE status = 'PINCODE_FAILED')")
+def catalog_without_results(t):
+    return report.catalog_without_results(t.catalog, t.capture.where("status = 'PINCODE_FAILED'"))
+
+
+@query(f"SELECT k.asin, l.pincode, coalesce({duck_cell('o.status', 'o.in_stock', 'o.delivery_date')}, 'Pending') AS cell FROM catalog k CROSS JOIN locations l LEFT JOIN offers o ON o.asin = k.asin AND o.pincode = l.pincode".replace("coalesce(CASE", "coalesce(CASE WHEN o.asin IS NULL THEN 'Pending'"))
+def grid_status(t):
+    return report.grid_status(grid.work_grid(t.catalog, t.locations), t.offers)
+
+
+@query("SELECT k.asin, l.pincode, l.city, 'PINCODE_FAILED' AS status, 'Pincode Failed' AS failure_reason FROM catalog k CROSS JOIN (SELECT * FROM locations WHERE ord % 5 = 0) l WHERE NOT EXISTS (SELECT 1 FROM capture c WHERE c.asin = k.asin AND c.pincode = l.pincode)")
+def location_failure_fanout(t):
+    return grid.location_failure_fanout(t.locations.where("ord % 5 = 0"), t.catalog, t.capture)
+
+
+_FIRST = """SELECT asin, coalesce(min_by(product_name, loc_ord) FILTER (WHERE status = 'OK'), min_by(product_name, loc_ord)) AS product_name, coalesce(min_by(scraped_at, loc_ord) FILTER (WHERE status = 'OK'), min_by(scraped_at, loc_ord)) AS scraped_at,
+min_by(price, loc_ord) FILTER (WHERE status = 'OK') AS price, min_by(mrp, loc_ord) FILTER (WHERE status = 'OK') AS mrp, coalesce(min_by(discount_percent, loc_ord) FILTER (WHERE status = 'OK'), 'N/A') AS discount_percent, 'N/A' AS bsr,
+coalesce(min_by(rating, loc_ord) FILTER (WHERE status = 'OK'), 'Not Found') AS rating, 'Not Found' AS reviews, coalesce(min_by(seller, loc_ord) FILTER (WHERE status = 'OK'), 'Not Found') AS seller FROM offers GROUP BY asin"""
+
+
+@query(_FIRST)
+def first_ok(t):
+    return report.first_ok(t.offers)
+
+
+@query(f"SELECT k.asin, k.ord, coalesce(nullif(k.item_name, ''), nullif(f.product_name, ''), 'Not Found') AS item_name, k.item_code, k.category, f.* EXCLUDE (asin, product_name) FROM catalog k JOIN ({_FIRST}) f USING (asin)")
+def overlay_catalog(t):
+    return report.overlay_catalog(t.catalog, report.first_ok(t.offers))
+
+
+def _pivot_sql(order: str = "") -> str:
+    return f"SELECT r.*, {{cells}} FROM (SELECT k.ord, k.category, coalesce(nullif(k.item_name, ''), f.product_name) AS item_name, k.item_code, k.asin, f.price, f.mrp, f.discount_percent, f.bsr, f.rating, f.reviews, f.seller, f.scraped_at FROM catalog k JOIN ({_FIRST}) f USING (asin)) r JOIN (SELECT asin, {{aggs}} FROM offers GROUP BY asin) w USING (asin){order}"
+
+
+_CELLS = ", ".join(f"coalesce(c{i}, 'Pending') AS c{i}" for i in range(25))
+_AGGS = ", ".join(f"max(CASE WHEN pincode = '{110001 + i}' THEN {duck_cell()} END) AS c{i}" for i in range(25))
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """Location columns under short names: c and the location's number."""
+    names = [c for c in df.columns if " - " in c]
+    return df.select(*[F.col(f"`{c}`") if c not in names else F.col(f"`{c}`").alias(f"c{int(c[:6]) - 110001}") for c in df.columns])
+
+
+@query(_pivot_sql().format(cells=_CELLS, aggs=_AGGS))
+def pivot_report(t):
+    return _short(report.pivot_report(t.catalog, t.locations, t.offers))
+
+
+@query(_pivot_sql(" ORDER BY r.ord").format(cells=_CELLS, aggs=_AGGS))
+def report_order(t):
+    return _short(report.pivot_report(t.catalog, t.locations, t.offers).orderBy("ord"))
+
+
+@query(f"SELECT asin, pincode, {duck_cell()} AS cell FROM offers")
+def pivot_cell(t):
+    return report.cells(t.offers)
+
+
+@query("SELECT * FROM (SELECT k.asin, k.item_name, l.pincode, l.city, l.ord AS loc_ord, k.ord, k.item_code, k.category FROM (SELECT * FROM catalog ORDER BY ord LIMIT 3) k CROSS JOIN (SELECT * FROM locations ORDER BY ord LIMIT 2) l)")
+def test_subset(t):
+    return grid.test_subset(t.catalog, t.locations)
+
+
+@query("SELECT ord, pincode, city, CAST(ntile(4) OVER (ORDER BY ord) - 1 AS INT) AS chunk FROM locations")
+def balanced_chunks(t):
+    return grid.balanced_chunks(t.locations, 4)
+
+
+@query("SELECT CAST(chunk AS INT) AS chunk, n * m AS combos, CASE WHEN n * m * 28 // 3600 <= 0 THEN '~' || (n * m * 28 % 3600 // 60) || ' minutes' ELSE '~' || (n * m * 28 // 3600) || ' hours ' || (n * m * 28 % 3600 // 60) || ' minutes' END AS estimate FROM (SELECT chunk, count(*) AS n FROM (SELECT ntile(4) OVER (ORDER BY ord) - 1 AS chunk FROM locations) GROUP BY chunk), (SELECT count(*) AS m FROM catalog)")
+def plan_cost(t):
+    return grid.plan_cost(t.locations, t.catalog, 4)
+
+
+@query(_LAST)
+def tail_n(t):
+    return grid.tail_n(t.capture, 10_000, *offers.WRITE_ORDER).select(*KEY)
+
+
+@query("SELECT DISTINCT asin, pincode FROM attempts")
+def done_set(t):
+    return grid.done_set(t.attempts)
+
+
+# Windows and resolutions.
+
+
+@query("SELECT * EXCLUDE (rn) FROM capture")
+def upsert_latest(t):
+    return offers.upsert_latest(t.attempts)
+
+
+_RES = """SELECT asin, pincode, CASE WHEN okn IS NULL THEN lastn ELSE okn END AS attempt, CASE WHEN okn IS NULL THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN okn IS NULL THEN 'Failed after retries' ELSE '' END AS failure_reason,
+CASE WHEN okn IS NULL THEN s1 ELSE s0 END AS seller, CASE WHEN okn IS NULL THEN p1 ELSE p0 END AS price, CAST(lastn AS INT) AS attempts FROM (SELECT asin, pincode, CAST(min(n) FILTER (WHERE status = 'OK') AS INT) AS okn, CAST(max(n) AS INT) AS lastn, min_by(seller, n) FILTER (WHERE status = 'OK') AS s0, max_by(seller, n) AS s1, min_by(price, n) FILTER (WHERE status = 'OK') AS p0, max_by(price, n) AS p1
+FROM (SELECT *, row_number() OVER (PARTITION BY asin, pincode ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey) AS n FROM attempts) WHERE n <= 3 GROUP BY asin, pincode)"""
+
+
+@query(_RES)
+def attempt_resolution(t):
+    return offers.attempt_resolution(t.attempts, offers.WRITE_ORDER)
+
+
+def options(t: Tables) -> DataFrame:
+    channel = F.when(F.col("l_linenumber") <= 2, "Express").otherwise("Standard")
+    return offers.with_options(t.attempts, channel, F.col("delivery_text"), as_of())
+
+
+_OPT = f"SELECT asin, pincode, l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber <= 2 THEN 'Express' ELSE 'Standard' END AS channel, {duck_minutes('delivery_text')} AS sort_minutes, {duck_free('delivery_text')} AS is_free, {duck_display('(CASE WHEN l_linenumber <= 2 THEN ' + chr(39) + 'Express' + chr(39) + ' ELSE ' + chr(39) + 'Standard' + chr(39) + ' END)', 'delivery_text', duck_free('delivery_text'))} AS display_text FROM attempts"
+_CHF = f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY asin, pincode, channel ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM ({_OPT})) WHERE n = 1"
+
+
+@query(_CHF)
+def channel_first(t):
+    return offers.channel_first(options(t), KEY, SEQ).select(*KEY, *SEQ, "channel", "sort_minutes", "is_free", "display_text")
+
+
+@query(f"SELECT asin, pincode, display_text AS delivery_date, is_free, sort_minutes FROM (SELECT *, row_number() OVER (PARTITION BY asin, pincode ORDER BY sort_minutes, l_orderkey, l_linenumber, l_suppkey) AS k FROM ({_CHF})) WHERE k = 1")
+def earliest_delivery(t):
+    return offers.earliest_delivery(options(t), KEY, SEQ)
+
+
+@query(f"SELECT asin, pincode, string_agg(display_text, ';' ORDER BY sort_minutes, l_orderkey, l_linenumber, l_suppkey) AS all_options FROM ({_OPT}) GROUP BY asin, pincode")
+def options_sorted(t):
+    return offers.options_sorted(options(t), KEY, SEQ).withColumn("all_options", F.array_join("all_options", ";"))
+
+
+@query("""SELECT asin, pincode, l_orderkey, l_linenumber, l_suppkey, done, success, done - success AS failed, CAST(done * 100 // total AS INT) AS pct, CAST(trunc(date_diff('second', TIMESTAMP '1992-01-01', captured_at) / greatest(1, done) * greatest(0, total - done)) AS BIGINT) AS eta_s
+FROM (SELECT *, count(*) OVER w AS done, count(*) FILTER (WHERE status = 'OK') OVER w AS success, count(*) OVER (PARTITION BY pincode) AS total FROM attempts WINDOW w AS (PARTITION BY pincode ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey, asin ROWS UNBOUNDED PRECEDING))""")
+def running_progress(t):
+    sizes = t.attempts.groupBy("pincode").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.attempts.join(F.broadcast(sizes), "pincode")
+    out = offers.running_progress(rows, "pincode", (*offers.WRITE_ORDER, "asin"), F.col("n"), F.lit("1992-01-01").cast("timestamp"))
+    return out.select(*KEY, *SEQ, "done", "success", "failed", "pct", "eta_s")
+
+
+_KEPT = "SELECT asin, captured_at, l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY asin ORDER BY captured_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS n FROM attempts) WHERE n <= 10 AND captured_at >= TIMESTAMP '1997-01-01'"
+
+
+@query(_KEPT)
+def retention(t):
+    return offers.retention(t.attempts, ("asin",), offers.WRITE_ORDER, 10, F.lit("1997-01-01").cast("timestamp_ntz")).select("asin", "captured_at", *SEQ)
+
+
+@query(_KEPT.replace("n <= 10 AND captured_at >= TIMESTAMP '1997-01-01'", "n <= 30"))
+def newest_first(t):
+    kept = offers.retention(t.attempts, ("asin",), offers.WRITE_ORDER, 30, F.lit("1900-01-01").cast("timestamp_ntz"))
+    return kept.orderBy("asin", F.desc("captured_at")).select("asin", "captured_at", *SEQ)
+
+
+# Aggregates.
+
+_SUM = "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'OK') AS success, count(*) FILTER (WHERE status <> 'OK') AS failed, count(*) FILTER (WHERE {c} AND starts_with(lower(in_stock), 'out of stock')) AS out_of_stock, CAST(sum(CAST(price AS DECIMAL(18,4))) FILTER (WHERE {c}) AS DOUBLE) AS price_sum, count(price) FILTER (WHERE {c}) AS price_count, CAST(sum(TRY_CAST(rating AS DECIMAL(18,4))) FILTER (WHERE {c}) AS DOUBLE) AS rating_sum, count(TRY_CAST(rating AS DECIMAL(18,4))) FILTER (WHERE {c}) AS rating_count FROM offers"
+
+
+@query(_SUM.format(c="status = 'OK'"))
+def summary_ok_only(t):
+    return report.summary(t.offers, ok_only=True)
+
+
+@query(_SUM.format(c="true"))
+def summary_all_rows(t):
+    return report.summary(t.offers, ok_only=False)
+
+
+@query(f"""SELECT unnest(['Total ASINs scraped', 'Total combinations attempted', 'Success rate %', 'Out of stock count', 'Average price', 'Average rating', 'Scrape date and time', 'Time taken']) AS metric,
+unnest([CAST(items AS VARCHAR), CAST(total AS VARCHAR), printf('%.2f', success / total * 100), CAST(out_of_stock AS VARCHAR), printf('%.2f', price_sum / price_count), printf('%.2f', rating_sum / rating_count), '15 Jan 2000, 12:00 AM', '01:02:03']) AS value FROM ({_SUM.format(c="status = 'OK'")}), (SELECT count(*) AS items FROM catalog)""")
+def summary_metrics(t):
+    return report.summary_metrics(report.summary(t.offers, ok_only=True), t.catalog, X.stamp(as_of().cast("timestamp")), X.elapsed(F.lit(3723)))
+
+
+@query("SELECT count(*) AS done, count(*) FILTER (WHERE status = 'OK') AS success, count(*) FILTER (WHERE status IN ('FAILED', 'PINCODE_FAILED')) AS failed FROM attempts")
+def status_counts(t):
+    return report.status_counts(t.attempts)
+
+
+@query(f"SELECT coalesce({duck_band('status', 'in_stock', 'delivery_date')}, 'none') AS band, count(*) AS n FROM offers GROUP BY 1")
+def stock_band_counts(t):
+    return report.stock_band_counts(t.offers, as_of())
+
+
+_PROFILED = ["asin", "product_name", "seller", "delivery_date", "product_url", "in_stock"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(greatest(10, {min(60, len(c) + 2)}, max(least(60, length({c}) + 2))) AS INT) AS width FROM offers" for c in _PROFILED))
+def column_profile(t):
+    return report.column_profile(t.offers, _PROFILED)
+
+
+@query("SELECT asin, count(*) AS n FROM offers GROUP BY asin")
+def nest_by_asin(t):
+    return report.nest_by_asin(t.offers, ["price", "status"]).select("asin", F.size("by_pincode").cast("bigint").alias("n"))
+
+
+@query("SELECT * EXCLUDE (rn) FROM capture")
+def union_workers(t):
+    parts = [t.attempts.where(F.col("l_suppkey") % 4 == i) for i in range(4)]
+    return offers.upsert_latest(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+
+
+@query("SELECT asin, pincode, status FROM attempts WHERE status <> 'OK'")
+def union_failed(t):
+    bad = t.attempts.where("status <> 'OK'").select(*KEY, "status")
+    return bad.where("status = 'FAILED'").unionByName(bad.where("status = 'PINCODE_FAILED'"))
+
+
+# Text jobs over whole tables.
+
+
+@query("SELECT l_orderkey, l_suppkey, l_linenumber, price AS money, mrp AS mrp_money FROM attempts")
+def parse_money(t):
+    money = lambda c: X.parse_money(F.concat(F.lit("MRP: ₹ "), F.regexp_replace(F.format_number(F.col(c), 4), r"0+$", ""), F.lit(" only")))
+    return t.attempts.select(*SEQ, money("price").alias("money"), money("mrp").alias("mrp_money"))
+
+
+@query("SELECT l_orderkey, l_suppkey, l_linenumber, floor(mrp) + CASE WHEN l_linenumber % 2 = 0 THEN 0.0 ELSE l_linenumber / 100 END AS price FROM attempts")
+def whole_plus_fraction(t):
+    whole = F.concat(F.format_number(F.floor("mrp"), 0), F.when(F.col("l_linenumber") % 2 == 0, ".").otherwise(""))
+    return t.attempts.select(*SEQ, X.whole_plus_fraction(whole, F.format_string("%02d", "l_linenumber")).alias("price"))
+
+
+@query(f"SELECT l_orderkey, l_suppkey, l_linenumber, {duck_stock('availability_text')} AS in_stock FROM attempts")
+def normalise_stock(t):
+    return t.attempts.select(*SEQ, X.normalise_stock(F.col("availability_text")).alias("in_stock"))
+
+
+@query(f"SELECT asin, pincode, {duck_discount('mrp', 'price')} AS discount_percent FROM capture")
+def discount_pct(t):
+    return t.capture.select(*KEY, X.discount_pct(F.col("mrp"), F.col("price")).alias("discount_percent"))
+
+
+@query(f"SELECT l_orderkey, l_suppkey, l_linenumber, {duck_minutes('delivery_text')} AS minutes FROM attempts")
+def delivery_minutes(t):
+    return t.attempts.select(*SEQ, X.delivery_minutes(F.col("delivery_text"), as_of()).alias("minutes"))
+
+
+@query(f"SELECT l_orderkey, l_suppkey, l_linenumber, {duck_display(chr(39) + 'Standard' + chr(39), 'delivery_text', duck_free('delivery_text'))} AS shown FROM attempts")
+def delivery_display(t):
+    return t.attempts.select(*SEQ, X.delivery_display(F.lit("Standard"), F.col("delivery_text"), X.is_free_text(F.col("delivery_text"))).alias("shown"))
+
+
+@query(f"SELECT l_orderkey, l_suppkey, l_linenumber, {duck_title(chr(39) + '2-day ' + chr(39) + ' || delivery_text')} AS titled FROM attempts")
+def title_case(t):
+    return t.attempts.select(*SEQ, X.title_case(F.concat(F.lit("2-day "), "delivery_text")).alias("titled"))
+
+
+@query(f"SELECT l_orderkey, l_suppkey, l_linenumber, {duck_days('delivery_text')} AS days FROM attempts")
+def delivery_days(t):
+    return t.attempts.select(*SEQ, X.delivery_days(F.col("delivery_text"), as_of()).alias("days"))
+
+
+@query(f"SELECT asin, pincode, {duck_band('status', 'in_stock', 'delivery_date')} AS band FROM offers")
+def delivery_band(t):
+    return t.offers.select(*KEY, X.delivery_band(F.col("status"), F.col("in_stock"), F.col("delivery_date"), as_of()).alias("band"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{2028}\\x{2029}\\p{Z}]+', ' ', 'g'))) AS squashed FROM documents")
+def squash_ws(t):
+    return t.read("documents").select("doc_id", F.md5(X.squash_ws(F.col("text")).cast("binary")).alias("squashed"))
+
+
+@query("SELECT asin, pincode, strftime(captured_at, '%d %b %Y, %I:%M %p') AS scraped_at, CASE WHEN l_orderkey >= 3600 THEN printf('%02d:%02d:%02d', l_orderkey // 3600, l_orderkey % 3600 // 60, l_orderkey % 60) ELSE printf('%02d:%02d', l_orderkey // 60, l_orderkey % 60) END AS elapsed FROM capture")
+def fmt_time(t):
+    return t.capture.select(*KEY, X.stamp(F.col("captured_at")).alias("scraped_at"), X.elapsed(F.col("l_orderkey")).alias("elapsed"))
+
+
+# Pages as elements, and offers from product pages.
+
+
+@query("SELECT page_id, list_count(regexp_extract_all(html, '<li>')) AS n_li, list_count(regexp_extract_all(html, '<p>')) AS n_p FROM pages")
+def dom_explode(t):
+    e = dom.dom_explode(t.read("pages"))
+    return e.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_li"), F.count_if(F.col("tag") == "p").alias("n_p"))
+
+
+_H1 = "replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, trim(coalesce(nullif({_H1}, ''), regexp_extract(html, '<title>(.*?)</title>', 1))) AS text FROM pages")
+def cascade_text(t):
+    found = dom.cascade_text(dom.dom_explode(t.read("pages")), [("head", 1, ("#missing",), ()), ("head", 2, ("h1",), ("article",)), ("head", 3, ("title",), ())])
+    return found.select("page_id", "text")
+
+
+def product_elements(t: Tables) -> DataFrame:
+    return dom.dom_explode(t.product_pages)
+
+
+_PID = "CAST(substr(asin, 2) AS BIGINT) * 1000 + CAST(pincode AS BIGINT) - 110001 AS page_id"
+
+
+@query(f"SELECT {_PID}, price FROM capture")
+def extract_price(t):
+    e = product_elements(t)
+    return extract.prices(e, extract.texts_of(t.product_pages, e)).select("page_id", "price")
+
+
+@query(f"SELECT {_PID}, mrp FROM capture")
+def extract_mrp(t):
+    e = product_elements(t)
+    return extract.prices(e, extract.texts_of(t.product_pages, e)).select("page_id", "mrp")
+
+
+def _texts(t: Tables) -> DataFrame:
+    return extract.texts_of(t.product_pages, product_elements(t))
+
+
+@query(f"SELECT {_PID}, trim(item_name) AS name FROM capture JOIN catalog USING (asin)")
+def extract_name(t):
+    return _texts(t).select("page_id", F.coalesce(X.squash_ws(F.col("name")), F.lit("Not Found")).alias("name"))
+
+
+@query(f"SELECT {_PID}, seller FROM capture")
+def extract_seller(t):
+    return _texts(t).select("page_id", F.coalesce(X.squash_ws(F.col("seller")), F.lit("Marketplace")).alias("seller"))
+
+
+@query(f"SELECT {_PID}, l_linenumber || '.0' AS rating FROM capture")
+def extract_rating(t):
+    return _texts(t).select("page_id", extract.rating_of(F.col("rating")).alias("rating"))
+
+
+@query(f"SELECT {_PID}, CAST(l_orderkey AS VARCHAR) AS reviews FROM capture")
+def extract_reviews(t):
+    return _texts(t).select("page_id", extract.reviews_of(F.col("reviews")).alias("reviews"))
+
+
+@query(f"SELECT {_PID}, '#' || l_suppkey || ' in Parts' AS bsr FROM capture")
+def extract_rank(t):
+    return extract.extract_rank(t.product_pages, product_elements(t))
+
+
+_TOLD = "delivery_text <> 'Ships soon'"
+
+
+@query(f"SELECT {_PID}, delivery_text AS raw_text, 'Standard' AS channel FROM capture WHERE l_linenumber BETWEEN 2 AND 6")
+def rule_match(t):
+    return extract.rule_match(product_elements(t)).select("page_id", "raw_text", "channel")
+
+
+@query(f"SELECT {_PID}, CASE WHEN l_linenumber = 1 THEN 'Express' ELSE 'Standard' END AS channel, {duck_minutes('delivery_text')} AS sort_minutes, delivery_text AS raw_text FROM capture WHERE {_TOLD}")
+def delivery_options(t):
+    return extract.delivery_options(t.product_pages, product_elements(t), as_of()).select("page_id", "channel", "sort_minutes", "raw_text")
+
+
+@query(f"""SELECT {_PID}, c.asin, c.pincode, l.city, trim(k.item_name) AS product_name, c.mrp, c.price, {duck_discount('c.mrp', 'c.price')} AS discount_percent, {duck_stock('availability_text')} AS in_stock,
+CASE WHEN {_TOLD} THEN {duck_display("CASE WHEN l_linenumber = 1 THEN 'Express' ELSE 'Standard' END", 'delivery_text', duck_free('delivery_text'))} ELSE 'Not Available' END AS delivery_date, CASE WHEN {duck_free('delivery_text')} THEN 'Yes' ELSE 'No' END AS free_delivery, c.seller, l_linenumber || '.0' AS rating,
+CAST(l_orderkey AS VARCHAR) AS reviews, '#' || l_suppkey || ' in Parts' AS bsr, 'https://www.example.com/dp/' || c.asin AS product_url, strftime(captured_at, '%d %b %Y, %I:%M %p') AS scraped_at, 'OK' AS status, '' AS failure_reason
+FROM capture c JOIN locations l USING (pincode) JOIN catalog k USING (asin)""".replace(f"SELECT {_PID}", "SELECT CAST(substr(c.asin, 2) AS BIGINT) * 1000 + CAST(c.pincode AS BIGINT) - 110001 AS page_id"))
+def build_offer(t):
+    # An id that holds 404 would read as a missing page: these pages have urls without the id.
+    pages = t.product_pages.withColumn("url", F.lit("https://www.example.com/"))
+    out = extract.build_offer(pages, dom.dom_explode(pages), as_of())
+    return out
+
+
+# Streams: each is its batch twin over the same rows.
+
+
+def _events(t: Tables) -> DataFrame:
+    return progress.stream_progress(t.spark, t.dir)
+
+
+def _state(t: Tables) -> str:
+    """A folder for checkpoints and stream outputs: the cluster's shared one where it names one."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        import uuid
+
+        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+
+
+_MSG = "SELECT event_id, ts, user_id % 4 AS worker, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'progress' END AS type, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'CAPTCHA' ELSE 'OK' END AS status, props AS msg FROM events"
+
+
+@query(f"SELECT worker, type, status, count(*) AS n FROM ({_MSG}) GROUP BY ALL")
+def stream_progress(t):
+    g = _events(t).groupBy("worker", "type", "status").agg(F.count(F.lit(1)).alias("n"))
+    return progress.run_complete(g, _state(t))
+
+
+@query(f"SELECT least(count(*), 5000) AS done, count(*) FILTER (WHERE status = 'OK') AS success, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM ({_MSG})")
+def stream_status_counts(t):
+    return progress.run_complete(progress.status_totals(_events(t), 5000), _state(t))
+
+
+@query(f"SELECT worker, max_by(msg, (ts, event_id)) AS msg, max_by(status, (ts, event_id)) AS status FROM ({_MSG}) GROUP BY worker".replace("(ts, event_id)", "CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id"))
+def stream_latest_per_worker(t):
+    return progress.run_complete(progress.latest_per_worker(_events(t)), _state(t))
+
+
+@query(f"SELECT count(*) AS ended, count(*) >= 4 AS complete FROM ({_MSG}) WHERE type IN ('done', 'error')")
+def stream_completion(t):
+    return progress.run_complete(progress.completion(_events(t), 4), _state(t))
+
+
+@query(f"SELECT event_id, worker, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM (SELECT e.user_id, m.* FROM ({_MSG}) m JOIN events e USING (event_id))) WHERE n = 1")
+def stream_upsert_offers(t):
+    stream = t.spark.readStream.schema(progress.EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{t.dir}/events*")
+    messages = progress.progress_messages(stream).select("event_id", "ts", "worker", "status", "msg")
+    keyed = messages.join(t.read("events").select("event_id", "user_id"), "event_id")
+    root = _state(t)
+    return progress.upsert_stream(keyed, f"{root}/table", f"{root}/cursor", ("user_id",), ("ts", "event_id")).select("event_id", "worker", "status")
+
+
+@query(f"SELECT event_id, worker, type, status FROM ({_MSG})")
+def stream_replay(t):
+    root = _state(t)
+    progress.replay(_events(t), f"{root}/log", f"{root}/cursor")
+    return progress.replay(_events(t), f"{root}/log", f"{root}/cursor").select("event_id", "worker", "type", "status")
+
+
+@query("SELECT * EXCLUDE (rn) FROM capture")
+def sink_incremental(t):
+    """Four flushes of attempts into the keyed table."""
+    sink = sinks.IncrementalSink(f"{_state(t)}/flushed")
+    for i in range(4):
+        sink(t.attempts.where(F.col("l_suppkey") % 4 == i), i)
+    return t.spark.read.parquet(sink.path(3))
+
+
+@query("SELECT * EXCLUDE (rn) FROM capture")
+def sink_versioned(t):
+    import datetime as dt
+
+    return t.spark.read.parquet(sinks.sink_versioned(t.capture, _state(t), dt.datetime(2000, 1, 15)))
+
+
+@query("SELECT 'failed' AS part, count(*) AS n FROM offers WHERE status <> 'OK' UNION ALL SELECT 'results', count(DISTINCT asin) FROM offers UNION ALL SELECT 'summary', 1")
+def sink_report(t):
+    import datetime as dt
+
+    paths = sinks.sink_report(t.catalog, t.locations, t.offers, _state(t), dt.datetime(2000, 1, 15))
+    parts = [t.spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
