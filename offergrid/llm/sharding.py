@@ -15,7 +15,8 @@ def ring_slots(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
 
     RING rows whatever the data's size. Arcs are numbered in ring order.
     """
-    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("owner"), F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(RING)).alias("slot"))
+    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("owner"), F.floor(F.col("id") / shards).alias("replica"))
+    nodes = nodes.select("owner", F.pmod(F.xxhash64(F.lit("vnode"), "owner", "replica"), F.lit(RING)).alias("slot"))
     nodes = nodes.groupBy("slot").agg(F.min("owner").alias("owner"))
     nodes = nodes.withColumn("arc", F.row_number().over(Window.orderBy("slot")) - 1)
     clockwise = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
