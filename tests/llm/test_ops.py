@@ -211,7 +211,7 @@ def test_neighbour_edits(spark, texts):
             j, n = order[(k + 1) % len(order)]
             t, half = t or "", len(t or "") // 2
             assert (got[i]["next_id"], got[i]["edited"]) == (j, t[: len(t) - half] + (n or "")[:half])
-    long = [r for r in got.values() if len(r["text"]) > 300 and r["text"][:9] != "x x x x x"]
+    long = [r for r in got.values() if len(r["text"]) > 300 and r["id"] < 40]  # near copies stand next to each other
     assert np.mean([r["near_edited"] > r["near_next"] for r in long]) > 0.9
     one = fingerprint.neighbour_edits(table(spark, [(7, "abc def")])).collect()
     assert [(r["next_id"], r["edited"], r["near_next"]) for r in one] == [(7, "abc abc", 1.0)]
