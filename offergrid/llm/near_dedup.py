@@ -94,6 +94,8 @@ def _signed(words: int):
 
 
 def _confirm(words: int, percent: int):
+    """(a, b, far, linked): the exact distance 1 - J of each pair, and whether it links."""
+
     def run(batches):
         for batch in batched(batches, 500, 2_000_000, "text_b"):
             sides = []
@@ -101,31 +103,32 @@ def _confirm(words: int, percent: int):
                 data, offs = text_buffer(batch.column(batch.schema.get_field_index(c)))
                 sides.append(shingle_hashes(data, offs, words))
             (sa, oa), (sb, ob) = sides
-            keep = np.zeros(len(batch), bool)
+            far, linked = np.ones(len(batch)), np.zeros(len(batch), bool)
             for i in range(len(batch)):
                 a, b = sa[oa[i] : oa[i + 1]], sb[ob[i] : ob[i + 1]]
                 same = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = 100 * same >= percent * (len(a) + len(b) - same) and same > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+                union = len(a) + len(b) - same
+                far[i] = 1 - same / max(union, 1)
+                linked[i] = 100 * same >= percent * union and same > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(linked)], ["a", "b", "far", "linked"])
 
     return run
 
 
 def _likely(least: float):
-    """Pairs whose one-byte signatures agree often enough: ``least`` is far below the similarity that links."""
+    """Whether the one-byte signatures of a pair agree often enough: ``least`` is far below the similarity that links."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array((one == two).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).mean(1) >= least)], ["a", "b", "likely"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, star_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, star_rounds: int = 2) -> DataFrame:
     """(doc, n_shingles, component_id) for every row: classes of texts linked at ``percent``/100 Jaccard similarity.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; sets hold distinct runs of ``words`` words.
@@ -133,8 +136,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. One pass gives each text's set size, a 128-bit key of the set and 32 bands of four min-max values (64
        permutations give 128). Texts of equal sets become one representative, so copies are never paired.
     2. In each band bucket members are paired with one leader only; likely pairs are confirmed on full sets and
-       join components. Further rounds pick other leaders, only in buckets that still hold several components.
+       join components. A leader is then done with its bucket. Another round picks other leaders, only in buckets whose
+       remaining members still stand in several components.
     3. What then still shares a bucket across components is compared pair by pair, so nothing is capped or sampled.
+       The distance 1 - J is a metric: a pair is left out only where the distances already measured to the leaders
+       of the two components prove that it can't link.
 
     At similarity 0.75 a pair shares no bucket with probability below 1e-5. component_id is the smallest id reachable
     (its own for null-text, empty and single rows). Null ids stay alone with a null component; repeated ids are one
@@ -149,62 +155,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
     members = written(members.join(shared, "bucket"), "buckets")
     if members.isEmpty():
-        pairs_all = None
         classes = reps.select("rep", F.col("rep").alias("component"))
     else:
         candidates = members.select("rep").distinct()
         ids = reps.join(candidates, "rep", "left_semi").select("rep", "text_key", "sig")
         texts = base.where("doc is not null").select("doc", F.xxhash64("text").alias("text_key"), "text")
         held = written(ids.join(texts, (F.col("rep") == F.col("doc")) & ids["text_key"].eqNullSafe(texts["text_key"])).groupBy("rep").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
-        now, tested, links = members.withColumn("comp", F.col("rep")), None, None
+        slack = 1 - percent / 100
+        now, tested, comps = members.withColumn("comp", F.col("rep")), None, None
         for r in range(star_rounds + 1):
-            pairs = _star(now, r) if r < star_rounds else _across(now)
+            if r < star_rounds:
+                order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
+                lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("l"))
+                now = written(now.join(lead, "bucket").where("rep <> l.rep"), "led")
+                pairs = now.where("comp <> l.comp").select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("l.rep").alias("rep_b"), F.col("l.n").alias("n_b"))
+                now = now.drop("l")
+            else:
+                pairs = _across(now, tested, comps, slack)
             fits = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
             if tested is not None:
-                fits = fits.join(tested, ["a", "b"], "left_anti")
-            fits = written(fits, "pairs")
-            if fits.isEmpty():
-                continue
-            found = written(_confirmed(fits, held, words, percent), "links")
-            tested = fits if tested is None else tested.unionByName(fits)
-            links = found if links is None else links.unionByName(found)
-            comps = written(connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("comp")), "components")
-            now = members.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+                fits = fits.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            measured = _confirmed(fits, held, words, percent, slack)
+            tested = measured if tested is None else tested.unionByName(measured)
+            comps = _merged(comps, measured.where("linked"))
+            if r == star_rounds:
+                break
+            now = now.join(comps.select("rep", F.col("comp").alias("to")), "rep", "left").select("rep", "n", "bucket", F.coalesce("to", "rep").alias("comp"))
             mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            now = written(now.join(mixed, "bucket").select("rep", "n", "bucket", "comp"), "unresolved")
+            now = written(now.join(mixed, "bucket"), "unresolved")
             if now.isEmpty():
                 break
-        pairs_all = links
-        classes = reps.select("rep")
-        if pairs_all is not None:
-            classes = classes.join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("component"))
-        else:
-            classes = classes.select("rep", F.col("rep").alias("component"))
+        classes = reps.select("rep").join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("component"))
     keyed = reps.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(classes.distinct(), "rep").drop("rep")
     linked = signed.where("n_shingles > 0 and doc is not null").join(keyed, ["set_a", "set_b", "n_shingles"]).select("doc", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc is null").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def _star(now: DataFrame, r: int) -> DataFrame:
-    """Each member with its bucket's leader, if they are not yet in one component."""
-    order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-    lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("l"))
-    both = now.join(lead, "bucket").where("comp <> l.comp")
-    return both.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("l.rep").alias("rep_b"), F.col("l.n").alias("n_b"))
-
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(rep, comp) after new links: only the components that they touch are worked out again."""
+    if comps is None:
+        return written(connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("comp")), "components")
+    if links.isEmpty():
+        return comps
+    to = lambda side: comps.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
+    ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    moved = written(connected_components(ends, "a", "b"), "moved")
+    old = comps.join(moved, comps["comp"] == moved["id"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    fresh = moved.join(comps.select(F.col("rep").alias("id")), "id", "left_anti").select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    return written(old.unionByName(fresh), "components")
 
-def _across(now: DataFrame) -> DataFrame:
-    """All pairs of members of one bucket in different components."""
-    a, b = (now.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "comp")]) for x in "ab")
-    return a.join(b, "bucket").where("comp_a < comp_b")
 
+def _across(now: DataFrame, tested: DataFrame, comps: DataFrame, slack: float) -> DataFrame:
+    """Pairs of members of one bucket in different components that the measured distances don't rule out.
 
-def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    With x the leader of b's component, d(a, b) >= d(a, x) - d(b, x): if that is above ``slack``, a and b can't link.
+    """
+    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("other"), "far", "exact").unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"), "far", "exact"))
+    radius = both.where("exact").join(comps, "rep").where("other = comp").select("rep", F.col("far").alias("radius"))
+    own = now.join(radius, "rep", "left").withColumn("radius", F.when(F.col("rep") == F.col("comp"), 0.0).otherwise(F.coalesce("radius", F.lit(1.0))))
+    groups = now.select("bucket", F.col("comp").alias("other")).distinct()
+    asks = own.join(groups, "bucket").where("comp <> other").join(both, ["rep", "other"], "left")
+    asks = written(asks.select("bucket", "rep", "n", "comp", "other", "radius", (F.coalesce("far", F.lit(0.0)) - slack - 1e-9).alias("least_radius")), "asks")
+    x, y = (asks.select("bucket", F.col("comp" if s == "a" else "other").alias("ca"), F.col("other" if s == "a" else "comp").alias("cb"), *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "radius", "least_radius")]) for s in "ab")
+    return x.where("ca < cb").join(y.where("ca < cb"), ["bucket", "ca", "cb"]).where("radius_b >= least_radius_a and radius_a >= least_radius_b")
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int, slack: float) -> DataFrame:
+    """(a, b, far, linked, exact) of every pair; where signatures rule a link out, far is a bound that theirs is not below."""
     sigs = held.select("rep", "sig")
     with_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     with_ab = with_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    likely = with_ab.mapInArrow(_likely(percent / 100 - 0.25), "a long, b long")
-    one = likely.join(held.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    flagged = written(with_ab.mapInArrow(_likely(1 - slack - 0.25), "a long, b long, likely boolean"), "pairs")
+    one = flagged.where("likely").select("a", "b").join(held.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(held.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return two.mapInArrow(_confirm(words, percent), "a long, b long")
+    near = two.mapInArrow(_confirm(words, percent), "a long, b long, far double, linked boolean").withColumn("exact", F.lit(True))
+    rest = flagged.where("not likely").select("a", "b", F.lit(slack + 0.1).alias("far"), F.lit(False).alias("linked"), F.lit(False).alias("exact"))
+    return written(near.unionByName(rest), "measured")
