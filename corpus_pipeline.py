@@ -30,9 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated 35-word windows; every document stays, some with less text."""
+    """Texts without the words of repeated 35-word windows; every document stays, some with less text.
+
+    Ids are unique here, as the stage before leaves them; documents without an id keep their text.
+    """
     cut = substring_dedup.substring_dedup(docs, window=35).where("size(spans) > 0").select("id", "kept_text")
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]), "left")
+    joined = docs.join(cut, docs["doc_id"] == cut["id"], "left")
     text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
     out = joined.withColumn("text", text)
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)

@@ -90,13 +90,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return whole.dropDuplicates(["vec_id", "embedding"])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 24, share: float = 0.7, leaf: int = 32, cell: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 24, reads: float = 1.05, leaf: int = 32, cell: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest vectors found for every row that ``is_query`` marks.
 
     Every vector has a string of 32 hyperplane sides in each of ``trees`` trees. A tree is a sorted array of these
     strings, dealt out in cells by their first bits. All trees descend to the longest prefix of the query and ascend
-    together, one bit at a time, until the runs that share the prefix hold ``share`` of all vectors (summed over trees,
-    times trees / 2): on vectors without clusters fewer candidates can't reach a recall of 0.9; clustered vectors do
+    together, one bit at a time, until the runs that share the prefix hold, over all trees, ``reads`` entries for each
+    vector indexed: on vectors without clusters fewer candidates can't reach a recall of 0.9; clustered vectors do
     with less. The middle of the hyperplanes is the mean of at most ``sample_rows`` vectors; all are indexed.
 
     Equal vectors are one point that keeps its k + 1 smallest ids (no query needs more), and equal queries search
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 24, sh
     sizes = leaves.select("tree", "leaf", "n", levels).groupBy("tree", "level", F.expr(f"shiftright(leaf, {deep} - level)").alias("prefix")).agg(F.sum("n").alias("n"))
     steps = sought.select("vec_id", "tree", "hash", levels).withColumn("prefix", F.expr(f"shiftright(hash, {BITS} - level)"))
     found = steps.join(sizes, ["tree", "level", "prefix"]).groupBy("vec_id", "level").agg(F.sum("n").alias("n"))
-    need = share * n * trees / 16
+    need = reads * n
     level = found.groupBy("vec_id").agg(F.coalesce(F.max(F.when(F.col("n") >= need, F.col("level"))), F.lit(0)).alias("level"))
     ready = sought.join(level, "vec_id").select(F.col("vec_id").alias("query"), "embedding", "tree", "hash", "level")
     cells = leaves.select("tree", F.expr(f"shiftright(leaf, {deep - shallow})").alias("cell")).distinct()

@@ -1,0 +1,67 @@
+"""Each stage of the pipeline on its own input, against what the operators' definitions say of it."""
+
+import re
+
+import pytest
+
+import corpus_pipeline as P
+from offergrid.llm import near_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    from offergrid.llm.common import written
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for name, f in P.STAGES:
+        out.append(written(f(spark, out[-1], SF), name))
+    return out
+
+
+def test_columns_and_order():
+    assert [n for n, _ in P.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "mixing", "bpe"]
+
+
+def test_all_but_the_last_return_documents(stages):
+    assert all(s.columns == P.COLUMNS for s in stages[1:-1])
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
+    scored = {r["doc_id"]: r["score"] for r in toxicity.toxicity(stages[0], spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert {r["doc_id"] for r in stages[1].collect()} == {i for i, s in scored.items() if s < P.TOXIC}
+
+
+def test_one_of_each_class_stays(stages):
+    classes = {r["doc"]: r["component_id"] for r in near_dedup.near_duplicates(stages[1]).collect()}
+    assert {r["doc_id"] for r in stages[2].collect()} == set(classes.values())
+
+
+def test_no_repeated_window_is_left_of_the_input(stages):
+    texts = {r["doc_id"]: r["text"] for r in stages[2].collect()}
+    seen = {}
+    for i, t in texts.items():
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 34):
+            seen.setdefault(tuple(w[p : p + 35]), []).append((i, p))
+    gone = {}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                gone.setdefault(i, set()).update(range(p, p + 35))
+    for r in stages[3].collect():
+        t = texts[r["doc_id"]]
+        want = " ".join(x for k, x in enumerate(WORD.findall(t)) if k not in gone[r["doc_id"]]) if r["doc_id"] in gone else t
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+    assert gone
+
+
+def test_mixing_keeps_all_rows(stages):
+    assert sorted(map(tuple, stages[4].collect())) == sorted(map(tuple, stages[3].collect()))
+
+
+def test_run_equals_the_stages(spark, stages):
+    assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, stages[5].collect()))
