@@ -515,7 +515,8 @@ def cascade_text(t):
 
 
 def product_elements(t: Tables) -> DataFrame:
-    return dom.dom_explode(t.product_pages)
+    """Parsed once for all the fields that a query reads; a lost part is parsed again."""
+    return dom.dom_explode(t.product_pages).persist()
 
 
 _PID = "CAST(substr(asin, 2) AS BIGINT) * 1000 + CAST(pincode AS BIGINT) - 110001 AS page_id"
@@ -582,8 +583,7 @@ FROM capture c JOIN locations l USING (pincode) JOIN catalog k USING (asin)""".r
 def build_offer(t):
     # An id that holds 404 would read as a missing page: these pages have urls without the id.
     pages = t.product_pages.withColumn("url", F.lit("https://www.example.com/"))
-    out = extract.build_offer(pages, dom.dom_explode(pages), as_of())
-    return out
+    return extract.build_offer(pages, dom.dom_explode(pages).persist(), as_of())
 
 
 # Streams: each is its batch twin over the same rows.
