@@ -165,16 +165,20 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_rows: int = 10_000) -> DataFrame:
     """Score every row of ``docs`` with a model of those ``labels`` (doc_id, toxic) that are not held out.
 
+    The model learns from the ``most_rows`` labelled ids of smallest hash that ``docs`` holds, or all if fewer.
     Only the text is an input of the score. An id labelled more than once counts as toxic if any of its labels says so. Returns ``keep`` (default: the id) with score. Null and
     empty texts get the score of no words; null ids are scored and never learned from; repeated rows score alike;
     an empty table gives no rows; clashing names of other columns don't matter.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
-    pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(own, "doc_id")
-    model = fit(written(pairs, "labelled"))
+    there = own.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    # Only ids travel; the sample's size is bounded, so its texts are picked out where they lie.
+    sample = written(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "sample")
+    pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    model = fit(written(pairs, "labelled"), most_rows=most_rows)
     names = keep or [id_col]
     scored = score(docs, model, text_col, names)
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score")
