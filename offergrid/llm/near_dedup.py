@@ -128,19 +128,20 @@ def _likely(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc, n_shingles, component_id) for every row: classes of texts linked at ``percent``/100 Jaccard similarity.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; sets hold distinct runs of ``words`` words.
 
     1. One pass gives each text's set size, a 128-bit key of the set and 32 bands of four min-max values (64
        permutations give 128). Texts of equal sets become one representative, so copies are never paired.
-    2. In each band bucket members are paired with one leader only; likely pairs are confirmed on full sets and
-       join components. A leader is then done with its bucket. Another round picks other leaders, only in buckets whose
-       remaining members still stand in several components.
-    3. What then still shares a bucket across components is compared pair by pair, so nothing is capped or sampled.
-       The distance 1 - J is a metric: a pair is left out only where the distances already measured to the leaders
-       of the two components prove that it can't link.
+    2. In each band bucket members are paired with one leader only, the one that shares most places in buckets with
+       others; likely pairs are confirmed on full sets and join components. A leader is then done with its bucket.
+    3. Where a bucket's other members still stand in several components, the centres of these are compared, and what
+       links joins.
+    4. What then still shares a bucket across components is compared pair by pair, so nothing is capped or sampled.
+       The distance 1 - J is a metric: a pair is left out only where the distances measured to and between the centres
+       prove that it can't link.
 
     At similarity 0.75 a pair shares no bucket with probability below 1e-5. component_id is the smallest id reachable
     (its own for null-text, empty and single rows). Null ids stay alone with a null component; repeated ids are one
@@ -162,29 +163,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = base.where("doc is not null").select("doc", F.xxhash64("text").alias("text_key"), "text")
         held = written(ids.join(texts, (F.col("rep") == F.col("doc")) & ids["text_key"].eqNullSafe(texts["text_key"])).groupBy("rep").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
         slack = 1 - percent / 100
-        now, tested, comps = members.withColumn("comp", F.col("rep")), None, None
-        for r in range(star_rounds + 1):
-            if r < star_rounds:
-                order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-                lead = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("l"))
-                now = written(now.join(lead, "bucket").where("rep <> l.rep"), "led")
-                pairs = now.where("comp <> l.comp").select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("l.rep").alias("rep_b"), F.col("l.n").alias("n_b"))
-                now = now.drop("l")
-            else:
-                pairs = _across(now, tested, comps, slack)
-            fits = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-            if tested is not None:
-                fits = fits.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            measured = _confirmed(fits, held, words, percent, slack)
-            tested = measured if tested is None else tested.unionByName(measured)
-            comps = _merged(comps, measured.where("linked"))
-            if r == star_rounds:
-                break
-            now = now.join(comps.select("rep", F.col("comp").alias("to")), "rep", "left").select("rep", "n", "bucket", F.coalesce("to", "rep").alias("comp"))
+        crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        degree = written(members.join(crowd, "bucket").groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
+        members = written(members.join(degree, "rep"), "members")
+        first = F.struct((-F.col("degree")).alias("o"), "rep", "n")
+        now = written(members.join(members.groupBy("bucket").agg(F.min(first).alias("l")), "bucket").where("rep <> l.rep"), "led")
+        pairs = now.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("l.rep").alias("rep_b"), F.col("l.n").alias("n_b"))
+        tested = _confirmed(_fitting(pairs, percent), held, words, percent, slack)
+        comps = _merged(None, tested.where("linked"))
+        now = now.drop("l")
+        for last in (False, True):
+            now = now.select("bucket", "rep", "n", "degree").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
             now = written(now.join(mixed, "bucket"), "unresolved")
             if now.isEmpty():
                 break
+            pairs = _across(now, members, tested, comps, slack, last)
+            fits = _fitting(pairs, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            measured = _confirmed(fits, held, words, percent, slack)
+            tested = tested.unionByName(measured)
+            comps = _merged(comps, measured.where("linked"))
         classes = reps.select("rep").join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("component"))
     keyed = reps.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(classes.distinct(), "rep").drop("rep")
     linked = signed.where("n_shingles > 0 and doc is not null").join(keyed, ["set_a", "set_b", "n_shingles"]).select("doc", "n_shingles", F.col("component").alias("component_id"))
@@ -206,19 +204,36 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(fresh), "components")
 
 
-def _across(now: DataFrame, tested: DataFrame, comps: DataFrame, slack: float) -> DataFrame:
-    """Pairs of members of one bucket in different components that the measured distances don't rule out.
+def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of set sizes that allow a link."""
+    fits = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return fits.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _across(now: DataFrame, members: DataFrame, tested: DataFrame, comps: DataFrame, slack: float, last: bool) -> DataFrame:
+    """Pairs across the components of a bucket: of their centres, or at ``last`` of all members that might link.
 
-    With x the leader of b's component, d(a, b) >= d(a, x) - d(b, x): if that is above ``slack``, a and b can't link.
+    With centres x of a and y of b, d(a, b) >= d(x, y) - d(a, x) - d(b, y): above ``slack`` they can't link.
     """
-    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("other"), "far", "exact").unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("other"), "far", "exact"))
-    radius = both.where("exact").join(comps, "rep").where("other = comp").select("rep", F.col("far").alias("radius"))
-    own = now.join(radius, "rep", "left").withColumn("radius", F.when(F.col("rep") == F.col("comp"), 0.0).otherwise(F.coalesce("radius", F.lit(1.0))))
-    groups = now.select("bucket", F.col("comp").alias("other")).distinct()
-    asks = own.join(groups, "bucket").where("comp <> other").join(both, ["rep", "other"], "left")
-    asks = written(asks.select("bucket", "rep", "n", "comp", "other", "radius", (F.coalesce("far", F.lit(0.0)) - slack - 1e-9).alias("least_radius")), "asks")
-    x, y = (asks.select("bucket", F.col("comp" if s == "a" else "other").alias("ca"), F.col("other" if s == "a" else "comp").alias("cb"), *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "radius", "least_radius")]) for s in "ab")
-    return x.where("ca < cb").join(y.where("ca < cb"), ["bucket", "ca", "cb"]).where("radius_b >= least_radius_a and radius_a >= least_radius_b")
+    whole = members.select("rep", "n", "degree").distinct().join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    centre = written(whole.groupBy("comp").agg(F.min(F.struct((-F.col("degree")).alias("o"), "rep", "n")).alias("c")).select("comp", F.col("c.rep").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
+    groups = now.select("bucket", "comp").distinct()
+    if not last:
+        there = groups.join(centre, "comp")
+        x, y = (there.select("bucket", F.col("comp").alias(f"c{s}"), F.col("centre").alias(f"rep_{s}"), F.col("n_centre").alias(f"n_{s}")) for s in "ab")
+        return x.join(y, "bucket").where("ca < cb")
+    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "far", "exact").unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("centre"), "far", "exact"))
+    known = both.where("exact").select("rep", "centre", F.col("far").alias("radius"))
+    own = now.join(centre, "comp").join(known, ["rep", "centre"], "left")
+    own = own.withColumn("radius", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.coalesce("radius", F.lit(1.0))))
+    own = written(own.select("bucket", "rep", "n", "comp", "centre", "radius"), "radii")
+    groups = own.groupBy("bucket", "comp", "centre").agg(F.max("radius").alias("widest"))
+    x, y = (groups.select("bucket", F.col("comp").alias(f"c{s}"), F.col("centre").alias(f"x{s}"), F.col("widest").alias(f"w{s}")) for s in "ab")
+    apart = both.select(F.col("rep").alias("xa"), F.col("centre").alias("xb"), "far")
+    near = x.join(y, "bucket").where("ca < cb").join(apart, ["xa", "xb"], "left").withColumn("spare", F.coalesce("far", F.lit(0.0)) - slack - 1e-9)
+    near = near.where("wa + wb >= spare").select("bucket", "ca", "cb", "wb", "spare")
+    a, b = (own.select("bucket", F.col("comp").alias(f"c{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "radius")]) for s in "ab")
+    return near.join(a, ["bucket", "ca"]).where("radius_a + wb >= spare").join(b, ["bucket", "cb"]).where("radius_a + radius_b >= spare")
 
 
 def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int, slack: float) -> DataFrame:
