@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,31 +57,82 @@ def tempered_weights(docs: DataFrame, alpha: float = 0.5, source_col: str = "sou
     return {r[0]: r["n"] ** alpha for r in rows}
 
 
-def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, tie: list[str] | None = None, period: int = PERIOD) -> DataFrame:
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportions of the weights: a float is a whole number over a power of two."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    most = max((d for _, d in ratios), default=1)
+    return [n * (most // d) for n, d in ratios]
+
+
+def timetable(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, k, slot, release, deadline) of every block of all sources, by earliest deadline first.
+
+    Block k of a source with the share w = weight / all weights is released at floor(k / w) and due at
+    ceil((k + 1) / w). In each slot the released block with the earliest deadline goes; every deadline is met, so
+    after t slots each source that still has blocks is within one block of t w, however long the schedule. Slots in
+    which no block is released stay empty. Only one block of a source is held at a time.
+    """
+    total = sum(weights)
+    window = lambda i, k: (k * total // weights[i], -(-(k + 1) * total // weights[i]))
+    coming = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, i, k = heapq.heappop(coming)
+            heapq.heappush(ready, (window(i, k)[1], i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield i, k, slot, release, deadline
+        if k + 1 < blocks[i]:
+            heapq.heappush(coming, (window(i, k + 1)[0], i, k + 1))
+        slot += 1
+
+
+def _scheduled(weights: list[int], blocks: list[int], rows: int = 20_000):
+    def run(batches):
+        names = ["_s", "_k", "_slot", "_release", "_deadline"]
+        for batch in batches:
+            plan = timetable(weights, blocks) if len(batch) else iter(())
+            while part := list(islice(plan, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names)
+
+    return run
+
+
+def tempered_weights(docs: DataFrame, alpha: float = 0.5, source_col: str = "source") -> dict:
+    """Target weights: each source's share of all rows to the power ``alpha``. The number of sources is checked."""
+    rows = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    return {r[0]: r["n"] ** alpha for r in rows}
+
+
+def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, tie: list[str] | None = None) -> DataFrame:
     """Give every row its place in a mixture that follows ``weights`` (source to weight; null is a source too).
 
     Each source's rows are put in a hashed order (ranked in ranges, so a hot source is dealt over many tasks) and
-    cut into blocks of ``block_rows``. One period of the Pfair schedule has as many slots as blocks; it is worked out
-    once, as a table of ``period`` rows whatever the data's size, and repeats. Block b of a source with share c takes
-    slot (b div c) * period + the schedule's slot of b mod c. A source that runs out leaves its slots empty; the
-    others keep their order, so every row is placed exactly once and none is dropped or repeated.
+    cut into blocks of ``block_rows``. The Pfair schedule of all blocks, from the exact weights, is streamed by one
+    task that holds one block a source, and joined by source and block. A source that runs out leaves its slots empty;
+    the others keep to their weights, so every row is placed exactly once and none is dropped or repeated.
 
     Adds block (in the source), release, deadline and slot (of the endless schedule) and place (row in the slot).
-    Sources without a weight get the smallest share; repeated rows take a place each; an empty table gives none.
+    Sources without a weight get the smallest one; repeated rows take a place each; an empty table gives none.
     """
     spark = docs.sparkSession
-    found = [r[0] for r in docs.select(source_col).distinct().limit(MOST_SOURCES + 1).collect()]
+    found = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    found = sorted(((r[0], r["n"]) for r in found), key=lambda r: (r[0] is None, str(r[0])))
     low = min((w for w in weights.values() if w > 0), default=1.0)
-    shares = whole_shares({s: max(weights.get(s, low), low) for s in sorted(found, key=lambda s: (s is None, str(s)))}, period)
-    period = sum(shares.values()) or 1
+    shares = whole_weights([max(weights.get(s, low), low) for s, _ in found])
+    blocks = [-(-n // block_rows) for _, n in found]
     kind = docs.schema[source_col].dataType.simpleString()
-    plan = spark.createDataFrame([(s, shares[s], k, slot, release, deadline) for s, k, slot, release, deadline in pfair_period(shares)], f"_s {kind}, _c long, _k long, _slot long, _release long, _deadline long")
-    counts = spark.createDataFrame(list(shares.items()), f"_s {kind}, _share long")
+    plan = spark.range(0, 1, 1, 1).mapInArrow(_scheduled(shares, blocks), "_s long, _k long, _slot long, _release long, _deadline long")
+    numbers = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(found)], f"_name {kind}, _number long")
     ranked = scalable_rank(docs, [source_col], F.xxhash64(F.col(id_col), F.lit("mix")), [F.col(id_col), *[F.col(c) for c in tie or []]], "_rank")
-    shared = ranked.join(F.broadcast(counts), F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
-    shared = shared.withColumn("_block", F.expr(f"_rank div {block_rows}")).withColumn("_turn", F.expr("_block div _share")).withColumn("_k2", F.col("_block") % F.col("_share"))
-    placed = shared.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_k2") == F.col("_k")))
-    moved = lambda c: (F.col("_turn") * period + F.col(c)).cast("long")
-    return placed.select(*docs.columns, F.col("_block").alias("block"), moved("_release").alias("release"), moved("_deadline").alias("deadline"), moved("_slot").alias("slot"), (F.col("_rank") % block_rows).cast("int").alias("place"))
+    numbered = ranked.join(F.broadcast(numbers), F.col(source_col).eqNullSafe(F.col("_name"))).withColumn("_block", F.expr(f"_rank div {block_rows}"))
+    # A task's output has no known size, and the schedule grows with the rows: it must not be broadcast.
+    placed = numbered.join(plan.hint("merge"), (F.col("_number") == F.col("_s")) & (F.col("_block") == F.col("_k")))
+    return placed.select(*docs.columns, F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), (F.col("_rank") % block_rows).cast("int").alias("place"))

@@ -181,6 +181,38 @@ def test_pfair_deviation():
         assert all(abs(done[x] - (t + 1) * c / 97) < 1 for x, c in shares.items())
 
 
+@pytest.mark.parametrize("kind", ["hot", "many"])
+def test_schedule_keeps_to_the_target_weights(kind):
+    """Less than one block from the target after every slot, over many thousand slots and over many unequal sources."""
+    from fractions import Fraction
+
+    rng = random.Random(7)
+    weights = [(1 / 3) ** 0.5, *[(2 / 57) ** 0.5] * 19] if kind == "hot" else [rng.random() ** 3 + 1e-4 for _ in range(2000)]
+    whole, slots = mixing.whole_weights(weights), 20_000 if kind == "hot" else 6000
+    total = sum(whole)
+    assert all(Fraction(a, total) == Fraction(w) / sum(map(Fraction, weights)) for a, w in zip(whole, weights, strict=True))
+    done, plan = [0] * len(whole), mixing.timetable(whole, [slots] * len(whole))
+    for t in range(slots):
+        i, k, slot, release, deadline = next(plan)
+        assert slot == t and k == done[i] and release <= slot < deadline
+        assert (release, deadline) == (math.floor(Fraction(k * total, whole[i])), math.ceil(Fraction((k + 1) * total, whole[i])))
+        done[i] += 1
+        if kind == "hot" or t % 50 == 49:
+            assert all(abs(n * total - (t + 1) * w) < total for n, w in zip(done, whole, strict=True))
+
+
+def test_mix_follows_the_target_over_many_periods(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 19).cast("string"))).alias("source"))
+    weights = mixing.tempered_weights(df)
+    out = mixing.mix(df, weights, block_rows=2).select("source", "block", "slot").distinct().collect()
+    total, runs_out = sum(weights.values()), {}
+    for r in out:
+        w = weights[r["source"]] / total
+        assert abs(r["block"] - r["slot"] * w) < 1 + 1e-6
+        runs_out[r["source"]] = max(runs_out.get(r["source"], 0), r["slot"])
+    assert runs_out["hot"] > 20 * mixing.PERIOD and len({r["slot"] for r in out}) == len(out)
+
+
 def test_mix_places_every_row_once(spark, texts):
     rows = [(i, t, None if i is None else "hot" if i < 60 else f"s{i % 3}") for i, t in texts] + [(1, "again", "hot")]
     df = table(spark, rows).drop("block", "score", "_h")
