@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offergrid.llm import bpe, mixing, near_dedup, substring_dedup, toxicity
-from offergrid.llm.common import written
+from offergrid.llm.common import shared_dir, written
 from offergrid.llm.queries import bpe_digest
 
 TOXIC = 0.7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PLACEMENT = "placement"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +45,28 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture of sources at tempered weights."""
-    placed = mixing.mix(docs, mixing.tempered_weights(docs))
-    return placed.orderBy("slot", "place").select(*COLUMNS)
+    """All documents, with their placement in the mixture of sources at tempered weights.
+
+    Files don't keep an order for their readers, so the placement (doc_id, text_sha256, slot, place) is a table in the
+    shared folder; the path goes with the documents as metadata of doc_id.
+    """
+    keys = docs.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    placed = mixing.mix(keys, mixing.tempered_weights(keys), tie=["text_sha256"]).select("doc_id", "text_sha256", "slot", "place")
+    path = f"{shared_dir(spark)}/placement-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    return docs.select(*COLUMNS).withMetadata("doc_id", {PLACEMENT: path})
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document's ids and decoded bytes."""
-    return bpe_digest(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    """Token counts and digests of every document's ids and decoded bytes, at the document's slot and place.
+
+    Rows of one id and text have equal digests: one of them stands at each of their places.
+    """
+    digests = bpe_digest(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    placed = spark.read.parquet(docs.schema["doc_id"].metadata[PLACEMENT])
+    one = digests.dropDuplicates(["doc_id", "decoded_sha256"])
+    here = one["doc_id"].eqNullSafe(placed["doc_id"]) & (one["decoded_sha256"] == placed["text_sha256"])
+    return one.join(placed, here).select(*[one[c] for c in digests.columns], "slot", "place")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", cut_repeats), ("mixing", mix_sources), ("bpe", tokens)]

@@ -1,6 +1,9 @@
 """Each stage of the pipeline on its own input, against what the operators' definitions say of it."""
 
+import hashlib
+import math
 import re
+from fractions import Fraction
 
 import pytest
 
@@ -63,5 +66,45 @@ def test_mixing_keeps_all_rows(stages):
     assert sorted(map(tuple, stages[4].collect())) == sorted(map(tuple, stages[3].collect()))
 
 
+def _schedule(rows, id_hash, block_rows=16):
+    """Plain earliest deadline first with fractions: sorted (doc_id, slot, place) of (doc_id, text, source) rows."""
+    by = {}
+    for i, text, source in rows:
+        by.setdefault(source, []).append((id_hash[i] & (1 << 63) - 1, i is not None, i or 0, hashlib.sha256((text or "").encode()).hexdigest(), i))
+    names = sorted(by, key=lambda s: (s is None, str(s)))
+    weights = {s: Fraction(len(by[s]) ** 0.5) for s in names}
+    share = {s: weights[s] / sum(weights.values()) for s in names}
+    queues = {s: sorted(by[s], key=lambda r: r[:4]) for s in names}
+    done, slot, out = dict.fromkeys(names, 0), 0, []
+    while any(done[s] * block_rows < len(queues[s]) for s in names):
+        ready = [(math.ceil((done[s] + 1) / share[s]), n, s) for n, s in enumerate(names) if done[s] * block_rows < len(queues[s]) and math.floor(done[s] / share[s]) <= slot]
+        if ready:
+            s = min(ready)[2]
+            out += [(r[4], slot, p) for p, r in enumerate(queues[s][done[s] * block_rows : (done[s] + 1) * block_rows])]
+            done[s] += 1
+        slot += 1
+    return out
+
+
+def test_the_output_stands_in_the_mixture(spark, stages):
+    from pyspark.sql import functions as F
+
+    hashes = {r["doc_id"]: r["h"] for r in stages[3].select("doc_id", F.xxhash64("doc_id", F.lit("mix")).alias("h")).collect()}
+    want = _schedule([(r["doc_id"], r["text"], r["source"]) for r in stages[3].collect()], hashes)
+    got = [(r["doc_id"], r["slot"], r["place"]) for r in stages[5].collect()]
+    assert len(got) == stages[3].count() and sorted(got, key=str) == sorted(want, key=str)
+    assert len({g[1:] for g in got}) == len(got)
+
+
+def test_rows_without_an_id_and_repeated_rows_take_a_place_each(spark):
+    from offergrid.llm.common import written
+
+    rows = [(None, "same text", "en", "a", 9)] * 40 + [(None, None, "en", "a", 0)] * 3 + [(i, f"text {i}", "en", "b" if i % 2 else None, 6) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.tokens(spark, written(P.mix_sources(spark, docs, SF), "mixed"), SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["decoded_sha256"]) for r in out if r["doc_id"] is not None) == sorted((False, i, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in rows if i is not None)
+    assert len({(r["slot"], r["place"]) for r in out}) == len(out) == len(rows)
+
+
 def test_run_equals_the_stages(spark, stages):
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, stages[5].collect()))
