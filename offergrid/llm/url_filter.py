@@ -42,21 +42,64 @@ def url_key(host: Column, url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(rest == "", "/").otherwise(rest)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.expr("cast(array() as array<string>)"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    end = F.when(path.rlike(r"(?s)/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """``to`` as an absolute URL, read on a page at ``base`` (RFC 3986, 5.2); null where ``base`` has no host for it.
+
+    Other schemes without ``//`` (mailto:, javascript:, data:) lead to no page and give null.
+    """
+    clean = F.regexp_replace(to, "(?s)#.*$", "")
+    scheme, host = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
+    root = F.concat(scheme, F.lit("://"), host)
+    query = F.regexp_extract(clean, r"(?s)(\?.*)$", 1)
+    path = F.regexp_extract(clean, r"(?s)^([^?]*)", 1)
+    own = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(own, "(?s)^(.*/)", 1), path))
+    same = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    relative = F.when(path == "", F.concat(root, own, F.when(query == "", same).otherwise(query))).otherwise(F.concat(root, without_dots(merged), query))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(host == "", F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .otherwise(relative)
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys: each page's canonical link and refresh redirect to another absolute URL."""
+    """(src, dst) keys: each page's canonical link and refresh redirect to another URL.
+
+    Targets are resolved against the page's first ``<base href>``, itself resolved against the page's url, or that url.
+    """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
-    tag = pages.select(url_key(host_of(F.col("url")), F.col("url")).alias("src"), F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh"))).alias("tag"))
+    unescaped = lambda c: F.regexp_replace(c, "(?i)&amp;", "&")
+    href = unescaped(F.regexp_extract("html", r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+    based = F.when(href == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), href), F.col("url")))
+    tag = pages.select("url", "html", F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh"))).alias("tag")).select("url", based.alias("base"), "tag")
     canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\s.*?rel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\s.*?http-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    to = tag.select("src", F.regexp_replace(F.coalesce(canonical, refresh), "(?i)&amp;", "&").alias("to"))
-    return to.select("src", url_key(host_of(F.col("to")), F.col("to")).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    to = tag.select("url", "base", unescaped(F.coalesce(canonical, refresh)).alias("to")).where("to <> ''")
+    ends = to.select("url", resolved(F.col("base"), F.col("to")).alias("to"))
+    keys = ends.select(url_key(host_of(F.col("url")), F.col("url")).alias("src"), url_key(host_of(F.col("to")), F.col("to")).alias("dst"))
+    return keys.where("src is not null and dst is not null and src <> dst").distinct()
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:
     """Judge every row of ``pages`` by its url.
 
     A url that a rule fits gets that rule's verdict. Others get the verdict of their aliases: the urls connected
-    with theirs by canonical links, refresh redirects and rows (src, dst) of ``redirects`` (absolute urls). If a
+    with theirs by canonical links, refresh redirects (both also relative) and rows (src, dst) of ``redirects`` (absolute urls). If a
     rule allows any alias, the alias class is allowed; else if a rule blocks any, it is blocked; else allowed.
 
     Returns ``id_col``, url, host, path, rule (null: none fits), verdict and alias_class (null without links).

@@ -355,6 +355,31 @@ def test_urls(spark):
     assert [more[i] for i in (50, 51, 52, 53, 54)] == ["allow"] * 5
 
 
+def test_relative_links(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.com", "http://A.com/x/y/z.html?q=1#f", "https://a.com/x/?r=/p/q"]
+    tos = ["/de/1", "//evil.net/z", "z", "../up", "../../../top/", "./same?k=v", "?only=1", "a/./b/../c", "..", ".", "/a/../b", "http://o.net/p", "sub/", "g?x=../y"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in tos], "b string, t string")
+    got = [r[0] for r in df.select(url_filter.resolved(F.col("b"), F.col("t"))).collect()]
+    key = lambda u: re.sub(r"^([^/?]*)$", r"\1/", re.sub(r"#.*", "", u.split("://", 1)[1]))
+    assert [key(g) for g in got] == [key(urljoin(b if "/" in b[8:] else b + "/", t)) for b in bases for t in tos]
+    assert [r[0] for r in spark.createDataFrame([("no scheme", "/x"), (None, "/x"), ("http://a.b/", "mailto:x@y.z")], "b string, t string").select(url_filter.resolved(F.col("b"), F.col("t"))).collect()] == [None] * 3
+
+    rows = [
+        (1, "https://example.com/a/b", '<link rel="canonical" href="/de/1">'),
+        (2, "https://quiet.com/a", '<link rel=canonical href="//evil.net/z">'),
+        (3, "https://w.org/fr", '<meta http-equiv="refresh" content="0; url=/fr/new">'),
+        (4, "https://example.com/x/y", "<meta http-equiv=refresh content='0;URL=../de/2'>"),
+        (5, "https://other.com/x", '<base href="https://example.com/de/"><link rel="canonical" href="3">'),
+        (6, "https://other.com/plain", '<link rel="canonical" href="new">'),
+        (7, "https://other.com/mail", '<link rel="canonical" href="mailto:a@evil.net">'),
+    ]
+    out = {r["page_id"]: (r["verdict"], r["alias_class"]) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert [out[i][0] for i in range(1, 8)] == ["block", "block", "allow", "block", "block", "allow", "allow"]
+    assert all(out[i][1] for i in range(1, 7)) and out[7][1] is None
+
+
 def test_empty_tables(spark):
     docs = table(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     lab = spark.createDataFrame([], "doc_id long, toxic int")
