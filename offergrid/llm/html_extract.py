@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -26,20 +26,48 @@ BAD_TAGS = frozenset("nav footer header aside form menu button dialog fieldset l
 BAD_WORDS = frozenset("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget footer header masthead comment comments disqus reply replies respond cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer skip search form tags teaser".split())
 GOOD_TAGS = frozenset("article main".split())
 GOOD_WORDS = frozenset("article content entry post story body main text".split())
+#: A class that begins so tells of a page's layout, not of what the element is.
+LAYOUT_WORDS = frozenset("with without has no".split())
 INFINITE = 1e9
+#: What a boilerplate word in a class, id or role adds to the cost of keeping: in general, and where all candidates
+#: for the main text stand under such words. A text of over LONG words with few links pays less.
+DOUBT, SLIGHT, LONG = 8.0, 1.0, 80
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "bad", "good", "tag")
+    __slots__ = ("text", "linked", "path", "bad", "good", "tag", "doubt")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], bad: bool, good: bool, tag: str):
-        self.text, self.linked, self.path, self.bad, self.good, self.tag = text, linked, path, bad, good, tag
+    def __init__(self, text: str, linked: int, path: tuple[int, ...], bad: bool, good: bool, tag: str, doubt: bool = False):
+        self.text, self.linked, self.path, self.bad, self.good, self.tag, self.doubt = text, linked, path, bad, good, tag, doubt
+
+
+def named(attrs: str) -> tuple[bool, bool, bool]:
+    """(hidden, called boilerplate, called content) by the attributes of a tag.
+
+    A name such as post-comments tells of boilerplate; beside a name that only tells of content it doesn't count.
+    """
+    hidden = doubt = good = False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for token in value.lower().split():
+                words = [w for w in _SPLIT.split(token) if w]
+                if words and words[0] in LAYOUT_WORDS:
+                    continue
+                if not BAD_WORDS.isdisjoint(words):
+                    doubt = True
+                elif not GOOD_WORDS.isdisjoint(words):
+                    good = True
+    return hidden, doubt and not good, good
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with the path of open elements above each."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, under a boilerplate element, under an article
+    # Tag, number, under a boilerplate element, under an article, under a name of boilerplate.
+    stack: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     state = {"linked": 0, "number": 0, "at": None}
 
@@ -48,7 +76,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text and state["at"] is not None:
                 own = state["at"]
-                out.append(Block(text, min(state["linked"], len(text)), tuple(n for _, n, _, _ in own), own[-1][2] if own else False, own[-1][3] if own else False, own[-1][0] if own else ""))
+                out.append(Block(text, min(state["linked"], len(text)), tuple(s[1] for s in own), own[-1][2], own[-1][3], own[-1][0], own[-1][4]))
             parts.clear()
         state["linked"], state["at"] = 0, None
 
@@ -56,7 +84,7 @@ def blocks_of(page: str) -> list[Block]:
         if state["at"] is None:
             if not text.strip():
                 return
-            state["at"] = [s for s in stack if s[0] in BLOCKS or s[0] in BAD_TAGS] or [("", 0, False, False)]
+            state["at"] = [s for s in stack if s[0] in BLOCKS or s[0] in BAD_TAGS] or [("", 0, False, False, False)]
         parts.append(text)
         if any(s[0] == "a" for s in stack):
             state["linked"] += len(text.strip())
@@ -110,20 +138,21 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or attrs.rstrip().endswith("/") and not block:
             continue
         state["number"] += 1
-        words: set[str] = set()
-        if attrs:
-            for n in _NAMES.finditer(attrs):
-                words.update(_SPLIT.split((n[1] or n[2] or n[3] or "").lower()))
-        under = stack[-1] if stack else ("", 0, False, False)
-        bad = under[2] or tag in BAD_TAGS and not (tag == "header" and under[3]) or bool(words & BAD_WORDS) and tag not in ("body", "html") or bool(attrs and _HIDDEN.search(attrs))
-        good = under[3] or tag in GOOD_TAGS or bool(words & GOOD_WORDS) and tag not in ("body", "html")
-        stack.append((tag, state["number"], bad, good))
+        hidden, doubt, praised = named(attrs) if attrs else (False, False, False)
+        if tag in ("body", "html"):
+            doubt = praised = False
+        under = stack[-1] if stack else ("", 0, False, False, False)
+        bad = under[2] or tag in BAD_TAGS and not (tag == "header" and under[3]) or hidden
+        stack.append((tag, state["number"], bad, under[3] or tag in GOOD_TAGS or praised, under[4] or doubt))
     flush()
     return out
 
 
-def costs(block: Block, has_main: bool) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content): the classifier's terminal capacities."""
+def costs(block: Block, has_main: bool, clean: bool = True) -> tuple[float, float]:
+    """(cost of calling it boilerplate, cost of calling it content): the classifier's terminal capacities.
+
+    ``clean``: the page has main text that stands under no name of boilerplate.
+    """
     if block.bad:
         return 0.0, INFINITE
     n = len(block.text.split())
@@ -137,6 +166,8 @@ def costs(block: Block, has_main: bool) -> tuple[float, float]:
     density = block.linked / max(1, len(block.text))
     if density > 0.6:
         drop += 3.0
+    if block.doubt:
+        drop += (DOUBT if clean or has_main and not block.good else SLIGHT) * (LONG / max(LONG, n) if density < 0.2 else 1.0)
     if block.tag in ("h1", "h2", "h3", "p", "blockquote", "pre"):
         keep += 0.5
     if re.match(r"\s*(?:©|copyright\b|all rights reserved)", block.text, re.I):
@@ -153,6 +184,10 @@ def label(blocks: list[Block]) -> list[bool]:
     if not blocks:
         return []
     has_main = any(b.good and not b.bad for b in blocks)
+    # Without an article the text under no such name counts if it is at least half; else the name is on the page's frame.
+    sizes = [(b.doubt, len(b.text) - b.linked) for b in blocks if not b.bad]
+    free, whole = sum(n for doubt, n in sizes if not doubt), sum(n for _, n in sizes)
+    clean = any(b.good and not b.bad and not b.doubt for b in blocks) if has_main else 2 * free >= whole
     n, s, t = len(blocks), len(blocks), len(blocks) + 1
     edges: list[dict[int, float]] = [{} for _ in range(n + 2)]
 
@@ -161,7 +196,7 @@ def label(blocks: list[Block]) -> list[bool]:
         edges[v][u] = edges[v].get(u, 0.0) + back
 
     for i, b in enumerate(blocks):
-        keep, drop = costs(b, has_main)
+        keep, drop = costs(b, has_main, clean)
         # Flow straight through a block needs no search.
         through = min(keep, drop)
         if keep > through:

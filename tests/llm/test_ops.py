@@ -283,6 +283,19 @@ def test_html(spark):
     assert {r["text"] for r in out if r["page_id"] in (2, 3, 6)} == {""}
 
 
+def test_html_names_are_weighed():
+    text = "<h1>On ships</h1><p>The first paragraph of the story, which has a number of words.</p><p>And the second one, a bit shorter.</p>"
+    want = "On ships The first paragraph of the story, which has a number of words. And the second one, a bit shorter."
+    page = '<body><div class="nav"><a href=1>Home</a></div>%s<div class="comments"><p>I like this very much, thank you.</p></div><div id=footer>Imprint</div>'
+    for frame in ('<div class="content with-sidebar">%s</div>', '<article class="post tag-search">%s</article>', '<div class="story legal">%s</div>', '<div title="The hidden cost" data-x="display: none">%s</div>', '<div class="page has-sidebar"><article>%s</article></div>', '<article class="search">%s</article>', '<div id="related-main"><article>%s</article></div>'):
+        assert html_extract.main_text(page % (frame % text))[0] == want, frame
+    for gone in ("<div hidden>%s</div>", '<div aria-hidden="true">%s</div>', '<div style="color: red; display:none">%s</div>', "<nav>%s</nav>", '<div class="post-comments">%s</div>', '<article class="comment">%s</article>'):
+        assert html_extract.main_text(page % (f"<article>{text}</article>" + gone % "<p>Some other text, with a few words.</p>"))[0] == want, gone
+    long = "<p>" + "This is a long text without any links in it, told at length. " * 14 + "</p>"
+    assert len(html_extract.main_text(f'<article>{text}<div class="promo">{long}</div></article>')[0]) > 800
+    assert html_extract.main_text(page % f'<div class="widget">{text}{long}</div>')[0].startswith(want + " This is a long text")
+
+
 def test_html_on_pages(spark):
     """All h1 and p texts of the article, and nothing else."""
     import html as h
