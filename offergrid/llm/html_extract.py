@@ -15,7 +15,8 @@ _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
+#: What a page does not show as text. The annotations of a formula repeat it in another notation.
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video title textarea select".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: What an opening tag ends, as browsers do for tags that authors leave open.
@@ -118,10 +119,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not attrs.rstrip().endswith("/"):
-                # A head that is never closed ends where the body begins.
-                body = re.compile(r"<body\b", re.I).search(page, at) if tag in ("head", "title") and end is None else None
+                # A title that is never closed ends where the body begins.
+                body = re.compile(r"<body\b", re.I).search(page, at) if tag == "title" and end is None else None
                 at = end.end() if end else body.start() if body else len(page)
             continue
+        if tag == "head":
+            continue  # holds only RAW and VOID elements; any other one, or text, ends it, closed or not
         if tag == "br":
             add(" ") if state["at"] is not None else None
             continue

@@ -296,6 +296,15 @@ def test_html_names_are_weighed():
     assert html_extract.main_text(page % f'<div class="widget">{text}{long}</div>')[0].startswith(want + " This is a long text")
 
 
+def test_html_without_end_of_head_and_with_formulas():
+    text = "The text of the page, which is long enough to be kept."
+    metas = '<meta charset=utf-8><title>T &amp; <p>t</title><link rel=x href=y><style>p{}</style><script>var a="<p>s</p>";</script><base href=z><noscript><p>n</p></noscript><template><p>m</p></template>'
+    for page in ("<html><head>%s<p>%s", "<html><head>%s</head><p>%s", "<html><head>%s<body><p>%s", "<html><HEAD>%s\n<article><p>%s</article>", "%s<p>%s", "<head>%s%s"):
+        assert html_extract.main_text(page % (metas, text))[0] == text, page
+    formula = "<article><p>So we have <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation encoding=tex>E=mc^2</annotation></math>, as is well known.</p></article>"
+    assert html_extract.main_text(formula)[0] == "So we have E=mc2, as is well known."
+
+
 def test_html_on_pages(spark):
     """All h1 and p texts of the article, and nothing else."""
     import html as h
