@@ -51,9 +51,13 @@ def as_hex(fp: Column) -> Column:
 
 
 def _signed(fp: Column) -> Column:
-    """The 48 sums as differences from what half of all runs would give."""
-    words = F.slice(fp["lanes"], EQUAL_LANES + 1, WORDS)
-    return F.flatten(F.transform(words, lambda w: F.array(*[(2 * F.shiftrightunsigned(w, FIELD * j).bitwiseAND((1 << FIELD) - 1) - fp["n"]).cast("double") for j in range(3)])))
+    """The 48 sums as differences from what half of all runs would give.
+
+    Twice a sum is known modulo 2**21, and so is the difference; it is a few roots of the number of runs, so the value
+    nearest to 0 is taken. Only a text that repeats few runs more than 2**20 times can still be misread.
+    """
+    words, half = F.slice(fp["lanes"], EQUAL_LANES + 1, WORDS), 1 << FIELD
+    return F.flatten(F.transform(words, lambda w: F.array(*[((2 * F.shiftrightunsigned(w, FIELD * j).bitwiseAND((1 << FIELD) - 1) - fp["n"] + half).bitwiseAND(2 * half - 1) - half).cast("double") for j in range(3)])))
 
 
 def likeness(one: Column, other: Column) -> Column:

@@ -233,6 +233,22 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert r["same"] == 1.0
 
 
+def test_likeness_of_huge_texts(spark):
+    """Sums that wrap: fingerprints of millions of runs with known differences from half of them."""
+    rng = np.random.default_rng(5)
+    for n in (1 << 18, 2_097_000, 2_100_000, 5_000_001, 40_000_000):
+        a, b = rng.normal(0, n**0.5, (2, 48))
+        rows = []
+        for d in (a, b, 0.9 * a + 0.1 * b):
+            sums = [int(round((n + x) / 2)) for x in d]
+            lanes = [sum(sums[3 * k + j] << 20 * j for j in range(3)) & fingerprint.M60 for k in range(16)]
+            rows.append((n, [int(abs(d[0]) * 1000)] * 8 + lanes))
+        df = spark.createDataFrame([(rows[0], rows[1], rows[2])], ", ".join(f"{c} struct<n:long,lanes:array<long>>" for c in "xyz"))
+        cos = lambda u, v: max(0.0, float(u @ v / np.linalg.norm(u) / np.linalg.norm(v)))
+        got = df.select(fingerprint.likeness(F.col("x"), F.col("y")), fingerprint.likeness(F.col("x"), F.col("z"))).first()
+        assert got[0] == pytest.approx(cos(a, b), abs=0.03) and got[1] == pytest.approx(cos(a, 0.9 * a + 0.1 * b), abs=0.03), n
+
+
 def test_neighbour_edits(spark, texts):
     rows = [(i, t) for i, t in texts if i is not None]
     order = sorted(rows, key=lambda r: -r[0])
