@@ -11,6 +11,7 @@ from offergrid.llm.common import batched, mix, powers, slices, text_buffer, word
 from offergrid.llm.components import connected_components
 
 PERMUTATIONS, BAND_ROWS = 64, 4
+BAND = 1.05  # set sizes are dealt into bands of this ratio
 _MULT = powers(0x9E3779B97F4A7C15, 2 * PERMUTATIONS + 2)[2:]  # odd multipliers permute the 64-bit hashes
 _SIG = "doc long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
 
@@ -93,8 +94,21 @@ def _signed(words: int):
     return run
 
 
-def _confirm(words: int, percent: int):
-    """(a, b, far, linked): the exact distance 1 - J of each pair, and whether it links."""
+def _tokens(words: int):
+    """The distinct shingle hashes of each text, as one array a text."""
+
+    def run(batches):
+        for batch in batched(batches):
+            data, offs = text_buffer(batch.column(1))
+            sets, soffs = shingle_hashes(data, offs, words)
+            lists = pa.ListArray.from_arrays(pa.array(soffs.astype(np.int32)), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "tokens"])
+
+    return run
+
+
+def _linked(words: int, percent: int):
+    """The pairs that link by their full sets."""
 
     def run(batches):
         for batch in batched(batches, 500, 2_000_000, "text_b"):
@@ -103,147 +117,145 @@ def _confirm(words: int, percent: int):
                 data, offs = text_buffer(batch.column(batch.schema.get_field_index(c)))
                 sides.append(shingle_hashes(data, offs, words))
             (sa, oa), (sb, ob) = sides
-            far, linked = np.ones(len(batch)), np.zeros(len(batch), bool)
+            linked = np.zeros(len(batch), bool)
             for i in range(len(batch)):
                 a, b = sa[oa[i] : oa[i + 1]], sb[ob[i] : ob[i + 1]]
                 same = len(np.intersect1d(a, b, assume_unique=True))
-                union = len(a) + len(b) - same
-                far[i] = 1 - same / max(union, 1)
-                linked[i] = 100 * same >= percent * union and same > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far), pa.array(linked)], ["a", "b", "far", "linked"])
+                linked[i] = 100 * same >= percent * (len(a) + len(b) - same) and same > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked))
 
     return run
 
 
 def _likely(least: float):
-    """Whether the one-byte signatures of a pair agree often enough: ``least`` is far below the similarity that links."""
+    """The pairs whose one-byte signatures agree in a share of at least ``least``, far below the similarity that links."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).mean(1) >= least)], ["a", "b", "likely"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((one == two).mean(1) >= least))
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """(doc, n_shingles, component_id) for every row: classes of texts linked at ``percent``/100 Jaccard similarity.
+    """(doc, text_key, n_shingles, component_id, kept) for every row: classes of texts linked at ``percent``/100 Jaccard similarity.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; sets hold distinct runs of ``words`` words.
 
     1. One pass gives each text's set size, a 128-bit key of the set and 32 bands of four min-max values (64
-       permutations give 128). Texts of equal sets become one representative, so copies are never paired.
+       permutations give 128). Texts of equal sets become one node, so copies are never paired.
     2. In each band bucket members are paired with one leader only, the one that shares most places in buckets with
        others; likely pairs are confirmed on full sets and join components. A leader is then done with its bucket.
-    3. Where a bucket's other members still stand in several components, the centres of these are compared, and what
-       links joins.
-    4. What then still shares a bucket across components is compared pair by pair, so nothing is capped or sampled.
-       The distance 1 - J is a metric: a pair is left out only where the distances measured to and between the centres
-       prove that it can't link.
+    3. Where a bucket's other members still stand in several components, pairs come from their rarest shingles (see
+       ``_crossing``), never from the bucket: a group's common text is no key, so a large group whose members differ too
+       much to link makes few pairs, and nothing is capped or sampled. First each node meets one member of each other
+       component, then what is still apart meets pair by pair.
 
     At similarity 0.75 a pair shares no bucket with probability below 1e-5. component_id is the smallest id reachable
-    (its own for null-text, empty and single rows). Null ids stay alone with a null component; repeated ids are one
-    node; an empty table gives no rows; other columns are ignored.
+    (its own for null-text, empty and single rows); kept marks the class's row of the smallest (id, text_key). A node is
+    a set of shingles, so rows of one id and different texts are apart and may be in two classes; equal rows are all kept
+    or all not. Null ids stay alone with a null component; an empty table gives no rows; other columns are ignored. Ids
+    are integers; text_key is xxhash64 of the text.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = written(base.select("doc", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed(words), _SIG), "signatures")
-    sets = signed.where("n_shingles > 0 and doc is not null").groupBy("set_a", "set_b", "n_shingles")
-    reps = sets.agg(F.min(F.struct("doc", "text_key", "bands", "sig")).alias("r"))
-    reps = written(reps.select("set_a", "set_b", F.col("r.doc").alias("rep"), F.col("r.text_key").alias("text_key"), F.col("n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "representatives")
-    members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
-    members = written(members.join(shared, "bucket"), "buckets")
-    if members.isEmpty():
-        classes = reps.select("rep", F.col("rep").alias("component"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    signed = written(base.mapInArrow(_signed(words), _SIG), "signatures")
+    sets = signed.where("n_shingles > 0 and doc is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
+    first = sets.agg(F.min(F.struct("doc", "text_key", "bands", "sig")).alias("r"))
+    nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "n", F.col("r.doc").alias("doc"), F.col("r.text_key").alias("text_key"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "nodes")
+    comps = _classes(base, nodes, words, percent)
+    rows = F.struct("doc", "text_key")
+    if comps is None:
+        classes = nodes.select("set_a", "set_b", "n", rows.alias("least"))
     else:
-        candidates = members.select("rep").distinct()
-        ids = reps.join(candidates, "rep", "left_semi").select("rep", "text_key", "sig")
-        texts = base.where("doc is not null").select("doc", F.xxhash64("text").alias("text_key"), "text")
-        held = written(ids.join(texts, (F.col("rep") == F.col("doc")) & ids["text_key"].eqNullSafe(texts["text_key"])).groupBy("rep").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
-        slack = 1 - percent / 100
-        crowd = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        degree = written(members.join(crowd, "bucket").groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
-        members = written(members.join(degree, "rep"), "members")
-        first = F.struct((-F.col("degree")).alias("o"), "rep", "n")
-        now = written(members.join(members.groupBy("bucket").agg(F.min(first).alias("l")), "bucket").where("rep <> l.rep"), "led")
-        pairs = now.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("l.rep").alias("rep_b"), F.col("l.n").alias("n_b"))
-        tested = _confirmed(_fitting(pairs, percent), held, words, percent, slack)
-        comps = _merged(None, tested.where("linked"))
-        now = now.drop("l")
-        for last in (False, True):
-            now = now.select("bucket", "rep", "n", "degree").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            now = written(now.join(mixed, "bucket"), "unresolved")
-            if now.isEmpty():
-                break
-            pairs = _across(now, members, tested, comps, slack, last)
-            fits = _fitting(pairs, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            measured = _confirmed(fits, held, words, percent, slack)
-            tested = tested.unionByName(measured)
-            comps = _merged(comps, measured.where("linked"))
-        classes = reps.select("rep").join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("component"))
-    keyed = reps.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(classes.distinct(), "rep").drop("rep")
-    linked = signed.where("n_shingles > 0 and doc is not null").join(keyed, ["set_a", "set_b", "n_shingles"]).select("doc", "n_shingles", F.col("component").alias("component_id"))
-    alone = signed.where("n_shingles = 0 or doc is null").select("doc", "n_shingles", F.col("doc").alias("component_id"))
-    return linked.unionByName(alone)
+        least = nodes.join(comps, "node").groupBy("comp").agg(F.min(rows).alias("least"))
+        within = nodes.select("node", "set_a", "set_b", "n", rows.alias("own")).join(comps, "node", "left").join(least, "comp", "left")
+        classes = within.select("set_a", "set_b", "n", F.coalesce("least", "own").alias("least"))
+    whole = signed.withColumnRenamed("n_shingles", "n").where("n > 0 and doc is not null").join(classes, ["set_a", "set_b", "n"])
+    grouped = whole.select("doc", "text_key", F.col("n").alias("n_shingles"), F.col("least.doc").alias("component_id"), (rows == F.col("least")).alias("kept"))
+    alone = signed.where("n_shingles = 0 or doc is null").select("doc", "text_key", "n_shingles", F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
+    return grouped.unionByName(alone)
+
+
+def _classes(base: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(node, comp) of every linked node; None where no two nodes share a bucket."""
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    crowds = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    members = written(members.join(crowds, "bucket"), "buckets")
+    if members.isEmpty():
+        return None
+    degree = written(members.groupBy("node").agg(F.sum("crowd").alias("degree")), "degrees")
+    texts = base.where("doc is not null").dropDuplicates(["doc", "text_key"])
+    mine = nodes.join(degree, "node").select("node", "sig", F.col("doc").alias("d"), F.col("text_key").alias("k"))
+    held = written(mine.join(texts, (F.col("d") == texts["doc"]) & (F.col("k") == texts["text_key"])).select("node", "sig", "text"), "candidates")
+    members = members.join(degree, "node").select("bucket", "node", "n", "degree")
+    best = members.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("o"), "node", "n")).alias("l"))
+    led = written(members.join(best, "bucket").where("node <> l.node").select("bucket", "node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("n_leader")), "led")
+    pairs = led.where(f"100 * least(n, n_leader) >= {percent} * greatest(n, n_leader)").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    comps = _merged(None, _confirmed(pairs, held, words, percent))
+    now = led.select("bucket", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    apart = written(now.join(mixed, "bucket").select("node", "n", "comp").distinct(), "apart")
+    if apart.isEmpty():
+        return comps
+    pairs = written(_crossing(apart, held, words, percent), "crossing")
+    comps = _merged(comps, _confirmed(pairs.groupBy("a", "comp_b").agg(F.max_by("b", "most").alias("b")).select("a", "b"), held, words, percent))
+    to = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    rest = pairs.select("a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    return _merged(comps, _confirmed(rest.select("a", "b"), held, words, percent))
 
 
 def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(rep, comp) after new links: only the components that they touch are worked out again."""
+    """(node, comp) after new links: only the components that they touch are worked out again."""
     if comps is None:
-        return written(connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("comp")), "components")
+        return written(connected_components(links, "a", "b").select(F.col("id").alias("node"), F.col("component").alias("comp")), "components")
     if links.isEmpty():
         return comps
-    to = lambda side: comps.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
+    to = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
     moved = written(connected_components(ends, "a", "b"), "moved")
-    old = comps.join(moved, comps["comp"] == moved["id"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
-    fresh = moved.join(comps.select(F.col("rep").alias("id")), "id", "left_anti").select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    old = comps.join(moved, comps["comp"] == moved["id"], "left").select("node", F.coalesce("component", "comp").alias("comp"))
+    fresh = moved.join(comps.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("comp"))
     return written(old.unionByName(fresh), "components")
 
 
-def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of set sizes that allow a link."""
-    fits = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return fits.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-
-
-def _across(now: DataFrame, members: DataFrame, tested: DataFrame, comps: DataFrame, slack: float, last: bool) -> DataFrame:
-    """Pairs across the components of a bucket: of their centres, or at ``last`` of all members that might link.
+def _crossing(apart: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, comp_b, most): every pair of ``apart`` across components that can still link, and the most they may share.
 
-    With centres x of a and y of b, d(a, b) >= d(x, y) - d(a, x) - d(b, y): above ``slack`` they can't link.
+    Sets of n and m shingles that link share at least percent * (n + m) / (100 + percent). With each set in one order,
+    rarest first, the first shingle that both hold leaves each set at least that many, itself included. So a set
+    offers only its shingles up to there, and for each only the sizes of partners that the rest of the set allows.
+    Shingles that no other component holds come first of all and are left out: a set with too few others can't link.
+    Of a pair the side of the smaller component asks, so one large component is never paired with itself.
     """
-    whole = members.select("rep", "n", "degree").distinct().join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    centre = written(whole.groupBy("comp").agg(F.min(F.struct((-F.col("degree")).alias("o"), "rep", "n")).alias("c")).select("comp", F.col("c.rep").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
-    groups = now.select("bucket", "comp").distinct()
-    if not last:
-        there = groups.join(centre, "comp")
-        x, y = (there.select("bucket", F.col("comp").alias(f"c{s}"), F.col("centre").alias(f"rep_{s}"), F.col("n_centre").alias(f"n_{s}")) for s in "ab")
-        return x.join(y, "bucket").where("ca < cb")
-    both = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "far", "exact").unionByName(tested.select(F.col("b").alias("rep"), F.col("a").alias("centre"), "far", "exact"))
-    known = both.where("exact").select("rep", "centre", F.col("far").alias("radius"))
-    own = now.join(centre, "comp").join(known, ["rep", "centre"], "left")
-    own = own.withColumn("radius", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.coalesce("radius", F.lit(1.0))))
-    own = written(own.select("bucket", "rep", "n", "comp", "centre", "radius"), "radii")
-    groups = own.groupBy("bucket", "comp", "centre").agg(F.max("radius").alias("widest"))
-    x, y = (groups.select("bucket", F.col("comp").alias(f"c{s}"), F.col("centre").alias(f"x{s}"), F.col("widest").alias(f"w{s}")) for s in "ab")
-    apart = both.select(F.col("rep").alias("xa"), F.col("centre").alias("xb"), "far")
-    near = x.join(y, "bucket").where("ca < cb").join(apart, ["xa", "xb"], "left").withColumn("spare", F.coalesce("far", F.lit(0.0)) - slack - 1e-9)
-    near = near.where("wa + wb >= spare").select("bucket", "ca", "cb", "wb", "spare")
-    a, b = (own.select("bucket", F.col("comp").alias(f"c{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "radius")]) for s in "ab")
-    return near.join(a, ["bucket", "ca"]).where("radius_a + wb >= spare").join(b, ["bucket", "cb"]).where("radius_a + radius_b >= spare")
-
-
-def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int, slack: float) -> DataFrame:
-    """(a, b, far, linked, exact) of every pair; where signatures rule a link out, far is a bound that theirs is not below."""
-    sigs = held.select("rep", "sig")
-    with_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    with_ab = with_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    flagged = written(with_ab.mapInArrow(_likely(1 - slack - 0.25), "a long, b long, likely boolean"), "pairs")
-    one = flagged.where("likely").select("a", "b").join(held.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(held.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    near = two.mapInArrow(_confirm(words, percent), "a long, b long, far double, linked boolean").withColumn("exact", F.lit(True))
-    rest = flagged.where("not likely").select("a", "b", F.lit(slack + 0.1).alias("far"), F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-    return written(near.unionByName(rest), "measured")
+    sizes = apart.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    about = written(apart.join(sizes, "comp").select("node", "n", "comp", "size"), "standing")
+    tokens = written(about.select("node").join(held.select("node", "text"), "node").mapInArrow(_tokens(words), "node long, tokens array<long>"), "tokens")
+    ranks = tokens.join(about.select("node", F.struct("size", "comp").alias("at")), "node").select("at", F.explode("tokens").alias("token"))
+    ranks = ranks.groupBy("token").agg(F.count(F.lit(1)).alias("often"), F.min("at").alias("low"), F.max("at").alias("top"))
+    ranks = ranks.where("low.comp <> top.comp").select("token", "often", F.col("top.comp").alias("top"))
+    shared = tokens.select("node", F.explode("tokens").alias("token")).join(ranks, "token")
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token", "top"))).alias("t"))
+    lists = lists.join(about, "node").where(f"100 * size(t) >= {percent} * n")
+    offers = lists.withColumn("few", F.expr(f"cast(ceil({percent} * n / 100) as int)"))
+    offers = written(offers.select("node", "n", "comp", "size", "few", F.size("t").alias("held"), F.posexplode(F.expr("slice(t, 1, size(t) - few + 1)")).alias("i", "t")).select("node", "n", "comp", "size", "few", (F.col("held") - F.col("i")).alias("left"), "t.token", "t.top"), "offers")
+    band = lambda n: f"cast(floor(ln({n}) / ln({BAND}D)) as int)"
+    offered = offers.select("token", F.expr(band("n")).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
+    biggest = f"greatest(few, floor(left * {100 + percent} / {percent}) - n)"
+    asked = offers.where("comp <> top").select("token", F.explode(F.expr(f"sequence({band('few')}, {band(biggest)})")).alias("band"), F.col("node").alias("a"), "n", "comp", "size", "left")
+    most = F.least("left", "left_b")
+    pairs = asked.join(offered, ["token", "band"]).where(F.expr("size < size_b or (size = size_b and comp < comp_b)") & (most * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
+    return pairs.groupBy("a", "b", "comp_b").agg(F.max(most).alias("most"))
+
+
+def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that link: a look at their signatures, then their full sets."""
+    sigs = held.select("node", "sig")
+    with_a = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    with_ab = with_a.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
+    likely = written(with_ab.mapInArrow(_likely(percent / 100 - 0.25), "a long, b long"), "pairs")
+    one = likely.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return written(two.mapInArrow(_linked(words, percent), "a long, b long"), "links")
