@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +59,6 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
 
 
-def _date(year: Column, month: int, day: Column) -> Column:
-    """Null if there is no such day."""
-    return F.try_to_date(F.format_string(f"%04d-{month:02d}-%02d", year, day), "yyyy-MM-dd")
-
-
 def delivery_minutes(text: Column, as_of: Column) -> Column:
     """Minutes until the promised delivery, for ordering only; 999999 if the text promises nothing known.
 
@@ -73,14 +66,19 @@ def delivery_minutes(text: Column, as_of: Column) -> Column:
     the same day is a week ahead), then the first month name that stands anywhere in the text and makes a date with
     the first number. A date before ``as_of`` counts as 365 days later.
     """
-    low = strip(F.lower(text))
+    # The text stands in an array of one, so that it is lowered and stripped once for all rules.
+    return F.transform(F.array(strip(F.lower(text))), lambda low: _minutes(low, as_of))[0]
+
+
+def _minutes(low: Column, as_of: Column) -> Column:
     whole = lambda p: number_of(low, p, "int")
     ahead = F.coalesce(*[F.when(low.contains(d), (F.pmod(F.lit(i) - F.weekday(as_of) - 1, F.lit(7)) + 1) * DAY) for i, d in enumerate(WEEKDAYS)])
-    first = whole(r"(\d{1,2})")
-    month = []
-    for i, name in enumerate(MONTHS):
-        days = F.date_diff(_date(F.year(as_of), i + 1, first), as_of)
-        month.append(F.when(low.contains(name), F.when(days < 0, days + 365).otherwise(days) * DAY))
+    day, year = whole(r"(\d{1,2})"), F.year(as_of)
+    february = F.dayofmonth(F.last_day(F.make_date(year, F.lit(2), F.lit(1))))
+    lengths = [F.lit(31), february, *[F.lit(n) for n in (31, 30, 31, 30, 31, 31, 30, 31, 30, 31)]]
+    # One lookup for the month, so that only one date is made: a day that a month doesn't have leaves it to the next.
+    month = F.coalesce(*[F.when(low.contains(name) & (day >= 1) & (day <= length), F.lit(i + 1)) for i, (name, length) in enumerate(zip(MONTHS, lengths, strict=True))])
+    days = F.date_diff(F.make_date(year, month, F.when(month.isNotNull(), day)), as_of)
     return F.coalesce(
         whole(r"in\s+(\d+)\s+minute"),
         whole(r"in\s+(\d+)\s+hour") * 60,
@@ -89,7 +87,7 @@ def delivery_minutes(text: Column, as_of: Column) -> Column:
         whole(r"in\s+(\d+)\s+day") * DAY,
         whole(r"(\d+)-\d+\s+day") * DAY,
         ahead,
-        *month,
+        F.when(days < 0, days + 365).otherwise(days) * DAY,
         F.lit(UNKNOWN_MINUTES),
     ).cast("int")
 
@@ -170,4 +168,3 @@ def duration_text(combos: Column, seconds_each: int = 28) -> Column:
     return F.when(hours <= 0, F.format_string("~%d minutes", minutes)).otherwise(F.format_string("~%d hours %d minutes", hours, minutes))
 
 
-AS_OF = dt.date(2000, 1, 15)

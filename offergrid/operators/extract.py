@@ -1,4 +1,4 @@
-"""Product fields of captured pages, and whole offers, as one set of table jobs."""
+"""Product fields of captured pages, and whole offers. Each page is parsed once; all its fields come from that one row."""
 
 from __future__ import annotations
 
@@ -6,93 +6,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offergrid.functions.text import delivery_display, delivery_minutes, discount_pct, free_flag, is_free_text, normalise_stock, parse_money, product_url, squash_ws, stamp, whole_plus_fraction
-from offergrid.operators.dom import Rule, cascade_text, matches, rule_first
-from offergrid.operators.offers import classify_page, earliest_delivery, is_challenge, outcome_of_page
+from offergrid.operators.dom import cascade, matches, read_pages, texts_by
+from offergrid.operators.offers import classify_page, is_challenge, outcome_of_page
 from offergrid.schemas import DEFAULT_SELLER, FAST_CHANNEL, STANDARD_CHANNEL
 
-BOX, CORE = "#corePriceDisplay_desktop_feature_div", "#corePrice_feature_div"
-OFF = ("span", ".a-offscreen")
-
-#: The page's selectors, in the order in which they are tried.
-SINGLE: list[Rule] = [
-    ("name", 1, ("#productTitle",), ()), ("name", 2, (".product-title",), ()), ("name", 3, ("h1", ".a-size-large"), ()),
-    ("seller", 1, ("a",), ("#merchant-info",)), ("seller", 2, ("#sellerProfileTriggerId",), ()), ("seller", 3, (".offer-display-feature-text",), ()),
-    ("rating", 1, ("span", ".a-icon-alt"), ("#acrPopover",)), ("rating", 2, ("[data-hook=rating-out-of-text]",), ()),
-    ("reviews", 1, ("#acrCustomerReviewText",), ()), ("reviews", 2, ("[data-hook=total-review-count]",), ()),
-    ("stock", 1, ("span",), ("#availability",)), ("stock", 2, ("#outOfStock",), ()), ("stock", 3, (".availRed",), ()), ("stock", 4, (".availGreen",), ()),
-    ("old_price", 1, ("#priceblock_dealprice",), ()), ("old_price", 2, ("#priceblock_ourprice",), ()), ("old_price", 3, ("#price_inside_buybox",), ()), ("old_price", 4, OFF, ("#tp_price_block_total_price_ww",)),
-    ("old_mrp", 1, OFF, (".basisPrice",)), ("old_mrp", 2, OFF, (".a-price", ".a-text-price")), ("old_mrp", 3, OFF, ("span", ".a-text-price")), ("old_mrp", 4, ("#priceblock_ourprice",), ()),
-    ("title", 1, ("title",), ()), ("line", 1, ("#contextualIngressPtLabel_deliveryShortLine",), ()),
-]
-MONEY: list[Rule] = [
-    *[("price", i + 1, OFF, above) for i, above in enumerate([(BOX, ".apexPriceToPay"), (BOX, ".priceToPay"), (CORE, ".apexPriceToPay"), (CORE, ".priceToPay"), (".apexPriceToPay",), (".priceToPay",)])],
-    *[("mrp", i + 1, OFF, above) for i, above in enumerate([(BOX, ".basisPrice"), (CORE, ".basisPrice"), (BOX, ".a-price", ".a-text-price"), (CORE, ".a-price", ".a-text-price")])],
-]
-WHOLE: list[Rule] = [(part, i + 1, (f".a-price-{part}",), above) for part in ("whole", "fraction") for i, above in enumerate([(BOX,), (CORE,), (".apexPriceToPay",), (".priceToPay",), ()])]
-RANK: list[Rule] = [("rank", i + 1, own, ()) for i, own in enumerate([("#SalesRank",), ("#productDetails_detailBullets_sections1",), ("#detailBulletsWrapper_feature_div",), ("#productDetails_db_sections",), (".a-section", ".a-spacing-small", ".a-padding-small")])]
-PRIMARY = "#mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE"
-CHANNELS: list[tuple[str, list[tuple[tuple[str, ...], tuple[str, ...]]], tuple[str, ...]]] = [
-    (FAST_CHANNEL, [(("span", ".a-size-base"), ("#alm-delivery-message",)), (("span",), ("#alm-delivery-message",)), ((".a-size-base",), ("#almLogoAndDeliveryMessage_feature_div",))], ("minutes", "hours", "now", "instant")),
-    (STANDARD_CHANNEL, [(("span", "[data-csa-c-slot-id]"), (PRIMARY,)), (("span",), (PRIMARY,)), (("span",), ("#deliveryMessageMirWidget",)), (("#ddmDeliveryMessage",), ()), (("span",), (".delivery-message",)), (("span",), ("[data-feature-name=delivery-message]",))],
-     ("tomorrow", "today", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "day", "days")),
-]
-
-
-def rule_match(elements: DataFrame) -> DataFrame:
-    """(page_id, channel, raw_text): for each channel the first rule whose first element holds one of its words."""
-    rules = [(c, i, own, above) for c, selectors, _ in CHANNELS for i, (own, above) in enumerate(selectors)]
-    first = rule_first(elements, rules).withColumn("text", squash_ws(F.col("text")))
-    words = F.coalesce(*[F.when(F.col("field") == c, F.array(*map(F.lit, ws))) for c, _, ws in CHANNELS])
-    hit = first.where((F.col("text") != "") & F.exists(words, lambda w: F.contains(F.lower("text"), w)))
-    return hit.groupBy("page_id", F.col("field").alias("channel")).agg(F.min_by("text", "rank").alias("raw_text"))
-
-
-def delivery_options(pages: DataFrame, elements: DataFrame, as_of: Column) -> DataFrame:
-    """All promises of each page: from attributes, from channel rules, and from the source where these give none."""
-    attr = elements.where(matches(("span", "[data-csa-c-delivery-time]"), ())).select("page_id", "seq", F.trim(F.element_at("attrs", "data-csa-c-delivery-time")).alias("raw_text"))
-    first = attr.where(F.col("raw_text").rlike(r"\p{L}")).select("page_id", "seq", F.lit(STANDARD_CHANNEL).alias("channel"), "raw_text", F.lower("raw_text").contains("free").alias("is_free"))
-    order = F.coalesce(*[F.when(F.col("channel") == c, F.lit(1_000_000 + i)) for i, (c, _, _) in enumerate(CHANNELS)])
-    second = rule_match(elements).select("page_id", order.alias("seq"), "channel", "raw_text", is_free_text(F.col("raw_text")).alias("is_free"))
-    told = first.unionByName(second)
-    silent = pages.select("page_id", "html").join(told.select("page_id"), "page_id", "left_anti")
-    fast = F.trim(F.regexp_extract("html", r'(?i)(FREE delivery in \d+ minutes[^"<]{0,60})', 1))
-    slow = F.trim(F.regexp_extract("html", r'(?i)((?:Tomorrow|Today|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[^"<\n]{0,50})', 1))
-    found = F.array(F.struct(F.lit(2_000_000).alias("seq"), F.lit(FAST_CHANNEL).alias("channel"), fast.alias("raw_text"), F.lit(True).alias("is_free")), F.struct(F.lit(2_000_001).alias("seq"), F.lit(STANDARD_CHANNEL).alias("channel"), slow.alias("raw_text"), F.lower(slow).contains("free").alias("is_free")))
-    third = silent.select("page_id", F.inline(found)).where("raw_text <> ''")
-    both = told.unionByName(third)
-    return both.withColumn("sort_minutes", delivery_minutes(F.col("raw_text"), as_of)).withColumn("display_text", delivery_display(F.col("channel"), F.col("raw_text"), F.col("is_free")))
-
-
-def prices(elements: DataFrame, texts: DataFrame) -> DataFrame:
-    """(page_id, price, mrp) by their tiers; a price of zero counts only in the last."""
-    money = rule_first(elements, MONEY).withColumn("v", parse_money(F.col("text"))).where("v > 0")
-    tier1 = money.groupBy("page_id").agg(F.min_by(F.when(F.col("field") == "price", F.col("v")), F.when(F.col("field") == "price", F.col("rank"))).alias("price1"), F.min_by(F.when(F.col("field") == "mrp", F.col("v")), F.when(F.col("field") == "mrp", F.col("rank"))).alias("mrp1"))
-    parts = rule_first(elements, WHOLE).groupBy("page_id", "rank").agg(F.max(F.when(F.col("field") == "whole", F.trim("text"))).alias("whole"), F.max(F.when(F.col("field") == "fraction", F.trim("text"))).alias("fraction"))
-    tier2 = parts.where("whole <> ''").withColumn("v", whole_plus_fraction(F.col("whole"), F.nullif("fraction", F.lit("")))).where("v > 0").groupBy("page_id").agg(F.min_by("v", "rank").alias("price2"))
-    tier3 = texts.select("page_id", parse_money(F.col("old_price")).alias("price3"), parse_money(F.col("old_mrp")).alias("mrp3"))
-    joined = tier3.join(tier1, "page_id", "left").join(tier2, "page_id", "left")
-    return joined.select("page_id", F.coalesce("price1", "price2", "price3").alias("price"), F.coalesce("mrp1", "mrp3").alias("mrp"))
-
-
-def texts_of(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """One row for each page with the text of each single-cascade field, null where nothing was found."""
-    found = cascade_text(elements, SINGLE)
-    fields = list(dict.fromkeys(r[0] for r in SINGLE))
-    wide = found.groupBy("page_id").pivot("field", fields).agg(F.first("text"))
-    return pages.select("page_id").join(wide, "page_id", "left")
-
-
-def extract_rank(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """(page_id, bsr): rank and category of the first block that has a rank, else from the source, else N/A."""
-    text, low = F.col("text"), F.lower("text")
+#: The selectors of the page format, by field, in the order in which they are tried.
+SELECTORS = {
+    "name": ["#productTitle", ".product-title", "h1.a-size-large"],
+    "seller": ["#merchant-info a", "#sellerProfileTriggerId", ".offer-display-feature-text"],
+    "rating": ["#acrPopover span.a-icon-alt", "[data-hook='rating-out-of-text']"],
+    "reviews": ["#acrCustomerReviewText", "[data-hook='total-review-count']"],
+    "stock": ["#availability span", "#outOfStock", ".availRed", ".availGreen"],
+    "price": [
+        "#corePriceDisplay_desktop_feature_div .apexPriceToPay span.a-offscreen",
+        "#corePriceDisplay_desktop_feature_div .priceToPay span.a-offscreen",
+        "#corePrice_feature_div .apexPriceToPay span.a-offscreen",
+        "#corePrice_feature_div .priceToPay span.a-offscreen",
+        ".apexPriceToPay span.a-offscreen",
+        ".priceToPay span.a-offscreen",
+    ],
+    "whole": ["#corePriceDisplay_desktop_feature_div .a-price-whole", "#corePrice_feature_div .a-price-whole", ".apexPriceToPay .a-price-whole", ".priceToPay .a-price-whole", ".a-price-whole"],
+    "fraction": ["#corePriceDisplay_desktop_feature_div .a-price-fraction", "#corePrice_feature_div .a-price-fraction", ".apexPriceToPay .a-price-fraction", ".priceToPay .a-price-fraction", ".a-price-fraction"],
+    "old_price": ["#priceblock_dealprice", "#priceblock_ourprice", "#price_inside_buybox", "#tp_price_block_total_price_ww span.a-offscreen"],
+    "mrp": [
+        "#corePriceDisplay_desktop_feature_div .basisPrice span.a-offscreen",
+        "#corePrice_feature_div .basisPrice span.a-offscreen",
+        "#corePriceDisplay_desktop_feature_div .a-price.a-text-price span.a-offscreen",
+        "#corePrice_feature_div .a-price.a-text-price span.a-offscreen",
+    ],
+    "old_mrp": [".basisPrice span.a-offscreen", ".a-price.a-text-price span.a-offscreen", "span.a-text-price > span.a-offscreen", "#priceblock_ourprice"],
+    "rank": ["#SalesRank", "#productDetails_detailBullets_sections1", "#detailBulletsWrapper_feature_div", "#productDetails_db_sections", ".a-section.a-spacing-small.a-padding-small"],
+    "fast": ["#alm-delivery-message span.a-size-base", "#alm-delivery-message span", "#almLogoAndDeliveryMessage_feature_div .a-size-base"],
+    "standard": [
+        "#mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE span[data-csa-c-slot-id]",
+        "#mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE span",
+        "#deliveryMessageMirWidget span",
+        "#ddmDeliveryMessage",
+        ".delivery-message span",
+        "[data-feature-name='delivery-message'] span",
+    ],
+    "title": ["title"],
+    "can_add": ["#add-to-cart-button"],
+}
+PROMISE, PROMISE_ATTR = "span[data-csa-c-delivery-time]", "data-csa-c-delivery-time"
+#: The words by which a delivery text is known, by channel.
+KEYWORDS = {
+    "fast": ("minutes", "hours", "now", "instant"),
+    "standard": ("tomorrow", "today", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "day", "days"),
+}
+NAMES = {"fast": FAST_CHANNEL, "standard": STANDARD_CHANNEL}
+
+def found(pages: DataFrame) -> DataFrame:
+    """Pages with, for each field, the first text of each of its selectors, and the promises that attributes hold.
+
+    Spark works out only the fields that are used.
+    """
+    read = read_pages(pages)
+    promised = F.transform(F.filter("elements", lambda e: matches(PROMISE, e)), lambda e: F.trim(F.element_at(e["attrs"], PROMISE_ATTR)))
+    texts = [texts_by(css).alias(f"{field}_texts") for field, css in SELECTORS.items()]
+    return read.select(*pages.columns, *texts, F.filter(promised, lambda p: p.rlike(r"\p{L}")).alias("promised"))
+
+
+def text_of(field: str) -> Column:
+    return cascade(F.col(f"{field}_texts"))
+
+
+def _paid(texts: Column) -> Column:
+    """The first of some texts' money that is above zero."""
+    return F.get(F.filter(F.transform(texts, parse_money), lambda money: money > 0), F.lit(0))
+
+
+def price_of() -> Column:
+    """Three tiers; a price of zero counts only in the last."""
+    whole = lambda w, f: whole_plus_fraction(F.nullif(F.trim(w), F.lit("")), F.nullif(F.trim(f), F.lit("")))
+    parts = F.zip_with("whole_texts", "fraction_texts", whole)
+    return F.coalesce(_paid(F.col("price_texts")), F.get(F.filter(parts, lambda money: money > 0), F.lit(0)), parse_money(text_of("old_price")))
+
+
+def mrp_of() -> Column:
+    """Two tiers; the last selector of the second is one of a selling price, as the pages' readers have it."""
+    return F.coalesce(_paid(F.col("mrp_texts")), parse_money(text_of("old_mrp")))
+
+
+def rank_of() -> Column:
+    """Rank and category of the first block that has a rank, else from the page's source, else N/A."""
     pattern = r"#\s*([\d,]+)\s+in\s+([^\n(]{3,60})"
     tidy = lambda c: F.regexp_replace(squash_ws(c), r"\.+$", "")
     both = lambda c, p: F.when(F.regexp_extract(c, p, 1) != "", F.concat(F.lit("#"), F.replace(F.regexp_extract(c, p, 1), F.lit(","), F.lit("")), F.lit(" in "), tidy(F.regexp_extract(c, p, 2))))
-    alone = F.nullif(F.regexp_extract(text, r"#\s*([\d,]+)", 1), F.lit(""))
-    block = F.when(low.contains("best seller") | low.contains("best-seller") | text.contains("#"), F.coalesce(both(text, pattern), F.concat(F.lit("#"), F.replace(alone, F.lit(","), F.lit("")))))
-    ranked = rule_first(elements, RANK).withColumn("v", block).where("v is not null").groupBy("page_id").agg(F.min_by("v", "rank").alias("v"))
-    source = both(F.col("html"), r"#\s*([\d,]+)\s+in\s+([^<\n]{3,60}?)(?:<|\n|&)")
-    return pages.select("page_id", "html").join(ranked, "page_id", "left").select("page_id", F.coalesce("v", source, F.lit("N/A")).alias("bsr"))
+    alone = lambda c: F.nullif(F.regexp_extract(c, r"#\s*([\d,]+)", 1), F.lit(""))
+    block = lambda c: F.when(F.lower(c).rlike("best seller|best-seller|#"), F.coalesce(both(c, pattern), F.concat(F.lit("#"), F.replace(alone(c), F.lit(","), F.lit("")))))
+    ranked = F.get(F.filter(F.transform("rank_texts", block), lambda r: r.isNotNull()), F.lit(0))
+    return F.coalesce(ranked, both(F.col("html"), r"#\s*([\d,]+)\s+in\s+([^<\n]{3,60}?)(?:<|\n|&)"), F.lit("N/A"))
+
+
+def told_of(channel: str) -> Column:
+    """The text of the channel's first selector whose first element holds one of its words."""
+    words = "|".join(KEYWORDS[channel])
+    return F.get(F.filter(F.transform(f"{channel}_texts", squash_ws), lambda t: F.lower(t).rlike(words)), F.lit(0))
+
+
+def options_of() -> Column:
+    """All promises of a page, in order: from attributes, from the channels' selectors, and from the source where these give none."""
+    item = lambda channel, text, free: F.struct(F.lit(channel).alias("channel"), text.alias("raw_text"), free.alias("is_free"))
+    some = lambda items: F.filter(F.array(*items), lambda o: o["raw_text"] != "")
+    attrs = F.transform("promised", lambda p: item(STANDARD_CHANNEL, p, F.lower(p).contains("free")))
+    told = F.transform(F.array(*[F.struct(F.lit(NAMES[c]).alias("c"), told_of(c).alias("t")) for c in NAMES]), lambda o: item("", o["t"], is_free_text(o["t"])).withField("channel", o["c"]))
+    fast = F.trim(F.regexp_extract("html", r'(?i)(FREE delivery in \d+ minutes[^"<]{0,60})', 1))
+    slow = F.trim(F.regexp_extract("html", r'(?i)((?:Tomorrow|Today|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[^"<\n]{0,50})', 1))
+    source = some([item(FAST_CHANNEL, fast, F.lit(True)), item(STANDARD_CHANNEL, slow, F.lower(slow).contains("free"))])
+    both = F.concat(attrs, F.filter(told, lambda o: o["raw_text"].isNotNull()))
+    return F.transform(F.array(both), lambda b: F.when(F.size(b) > 0, b).otherwise(source))[0]
+
+
+def rule_match(pages: DataFrame) -> DataFrame:
+    """(page_id, channel, raw_text): for each channel the first selector whose first element holds one of its words."""
+    told = F.array(*[F.struct(F.lit(NAMES[c]).alias("channel"), told_of(c).alias("raw_text")) for c in NAMES])
+    return found(pages).select("page_id", F.inline(told)).where("raw_text is not null")
+
+
+def delivery_options(pages: DataFrame, as_of: Column) -> DataFrame:
+    """(page_id, seq, channel, raw_text, is_free, sort_minutes, display_text): all promises of each page, as found."""
+    rows = found(pages).select("page_id", F.posexplode(options_of()).alias("seq", "o")).select("page_id", "seq", "o.*")
+    return rows.withColumn("sort_minutes", delivery_minutes(F.col("raw_text"), as_of)).withColumn("display_text", delivery_display(F.col("channel"), F.col("raw_text"), F.col("is_free")))
+
+
+def with_earliest(rows: DataFrame, as_of: Column) -> DataFrame:
+    """``rows`` of ``found`` with ``best``, a page's earliest promise; only the first promise of a channel counts."""
+    out, bests = rows.withColumn("options", options_of()), []
+    of = lambda name: lambda x: x["channel"] == name
+    for name in (STANDARD_CHANNEL, FAST_CHANNEL):
+        at = F.array_position(F.transform("options", lambda x: x["channel"]), F.lit(name))
+        out = out.withColumn(f"first_{name}", F.get(F.filter("options", of(name)), F.lit(0))).withColumn(f"at_{name}", at)
+        o = F.col(f"first_{name}")
+        item = F.struct(delivery_minutes(o["raw_text"], as_of).alias("sort_minutes"), F.col(f"at_{name}").alias("seq"), delivery_display(o["channel"], o["raw_text"], o["is_free"]).alias("display_text"), o["is_free"].alias("is_free"))
+        bests.append(F.when(o.isNotNull(), item))
+    return out.select(*rows.columns, F.array_min(F.array_compact(F.array(*bests))).alias("best"))
 
 
 def rating_of(text: Column) -> Column:
@@ -104,26 +152,23 @@ def reviews_of(text: Column) -> Column:
     return F.when(F.coalesce(run, F.lit("")) == "", "Not Found").otherwise(F.replace(run, F.lit(","), F.lit("")))
 
 
-def build_offer(pages: DataFrame, elements: DataFrame, as_of: Column) -> DataFrame:
-    """One offer for each page (page_id, url, html, asin, pincode, city, captured_at)."""
-    texts = texts_of(pages, elements)
-    can_add = elements.where(F.array_contains("marks", "#add-to-cart-button")).select("page_id", F.lit(True).alias("can_add")).distinct()
-    best = earliest_delivery(delivery_options(pages, elements, as_of), ("page_id",), ("seq",))
-    wide = pages.join(texts, "page_id").join(prices(elements, texts), "page_id").join(extract_rank(pages, elements), "page_id").join(can_add, "page_id", "left").join(best, "page_id", "left")
-    state = F.when(is_challenge(F.col("url"), F.coalesce("title", F.lit("")), F.col("html")), "CAPTCHA").otherwise(classify_page(F.col("url"), F.col("html"), F.col("asin")))
+def build_offer(pages: DataFrame, as_of: Column) -> DataFrame:
+    """One offer for each page (page_id, url, html, asin, pincode, city, captured_at); no join and no shuffle."""
+    wide = with_earliest(found(pages), as_of).withColumn("price", price_of()).withColumn("mrp", mrp_of())
+    state = F.when(is_challenge(F.col("url"), F.coalesce(text_of("title"), F.lit("")), F.col("html")), "CAPTCHA").otherwise(classify_page(F.col("url"), F.col("html"), F.col("asin")))
     status, reason = outcome_of_page(F.col("state"))
     wide = wide.withColumn("state", state).withColumn("status", status).withColumn("failure_reason", reason)
-    good = F.col("status") == "OK"
+    good, can_add = F.col("status") == "OK", F.get("can_add_texts", F.lit(0)).isNotNull()
     lost = lambda value, captcha, missing: F.when(good, value).when(F.col("state") == "CAPTCHA", captcha).otherwise(missing)
     return wide.select(
         "page_id", "asin", "pincode", "city",
-        lost(F.coalesce(squash_ws(F.col("name")), F.lit("Not Found")), "", "Not Found").alias("product_name"),
+        lost(F.coalesce(squash_ws(text_of("name")), F.lit("Not Found")), "", "Not Found").alias("product_name"),
         F.when(good, F.col("mrp")).alias("mrp"), F.when(good, F.col("price")).alias("price"),
         lost(discount_pct(F.col("mrp"), F.col("price")), "", "N/A").alias("discount_percent"),
-        lost(normalise_stock(F.col("stock"), F.coalesce("can_add", F.lit(False))), "", "Not Found").alias("in_stock"),
-        lost(F.coalesce("delivery_date", F.lit("Not Available")), "", "Not Available").alias("delivery_date"),
-        lost(free_flag(F.coalesce("is_free", F.lit(False))), "", "N/A").alias("free_delivery"),
-        lost(F.coalesce(squash_ws(F.col("seller")), F.lit(DEFAULT_SELLER)), "", "").alias("seller"),
-        lost(rating_of(F.col("rating")), "", "").alias("rating"), lost(reviews_of(F.col("reviews")), "", "").alias("reviews"),
-        lost(F.col("bsr"), "", "N/A").alias("bsr"), product_url(F.col("asin")).alias("product_url"), stamp(F.col("captured_at")).alias("scraped_at"), "status", "failure_reason",
+        lost(normalise_stock(text_of("stock"), can_add), "", "Not Found").alias("in_stock"),
+        lost(F.coalesce("best.display_text", F.lit("Not Available")), "", "Not Available").alias("delivery_date"),
+        lost(free_flag(F.coalesce("best.is_free", F.lit(False))), "", "N/A").alias("free_delivery"),
+        lost(F.coalesce(squash_ws(text_of("seller")), F.lit(DEFAULT_SELLER)), "", "").alias("seller"),
+        lost(rating_of(text_of("rating")), "", "").alias("rating"), lost(reviews_of(text_of("reviews")), "", "").alias("reviews"),
+        lost(rank_of(), "", "N/A").alias("bsr"), product_url(F.col("asin")).alias("product_url"), stamp(F.col("captured_at")).alias("scraped_at"), "status", "failure_reason",
     )

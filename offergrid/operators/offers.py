@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offergrid.functions.text import delivery_display, delivery_minutes, is_free_text
+from offergrid.operators.grid import small
 from offergrid.schemas import UNKNOWN_STOCK
 
 WRITE_ORDER = ("captured_at", "l_orderkey", "l_linenumber", "l_suppkey")
@@ -22,13 +23,23 @@ def keyed_dict_dedupe(rows: DataFrame, key: str, value: str, order: str) -> Data
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))
 
 
-def attempt_resolution(attempts: DataFrame, order: tuple[str, ...], keys: tuple[str, ...] = ("asin", "pincode"), max_attempts: int = 3, final_reason: str = "Failed after retries") -> DataFrame:
-    """The first attempt that is OK, among the first ``max_attempts``; else the last of these, as FAILED."""
+def attempt_resolution(tries: DataFrame, order: tuple[str, ...], keys: tuple[str, ...] = ("asin", "pincode"), max_attempts: int = 3, final_reason: str = "Failed after retries", challenge: str = "CAPTCHA") -> DataFrame:
+    """The first attempt that is OK, among the first ``max_attempts``; else the last of these, as FAILED.
+
+    A try that meets a challenge gives its attempt one more try, whose outcome counts; a second challenge in one attempt
+    is its outcome. ``tries`` has status, failure_reason, seller and price; other columns are ignored.
+    """
     within = Window.partitionBy(*keys).orderBy(*order)
-    tried = attempts.withColumn("attempt", F.row_number().over(within)).where(F.col("attempt") <= max_attempts)
+    met = F.coalesce(F.col("failure_reason") == challenge, F.lit(False))
+    rows = tries.select(*keys, *[c for c in order if c not in keys], "status", "seller", "price", met.alias("_met")).withColumn("_n", F.row_number().over(within))
+    # In a run of challenges every second try is an extra one, and so is what follows a run of odd length.
+    rows = rows.withColumn("_last", F.coalesce(F.max(F.when(~F.col("_met"), F.col("_n"))).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("attempt", F.sum(F.when((F.col("_n") - F.col("_last")) % 2 == 1, 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     whole = F.struct("attempt", "status", "seller", "price")
+    ended = rows.where(F.col("attempt") <= max_attempts).groupBy(*keys, "attempt").agg(F.max_by(F.struct("status", "seller", "price"), "_n").alias("r"))
+    ended = ended.select(*keys, "attempt", "r.*")
     ok = F.min_by(whole, F.when(F.col("status") == "OK", F.col("attempt")))
-    out = tried.groupBy(*keys).agg(ok.alias("ok"), F.max_by(whole, "attempt").alias("last"), F.max("attempt").alias("attempts"))
+    out = ended.groupBy(*keys).agg(ok.alias("ok"), F.max_by(whole, "attempt").alias("last"), F.max("attempt").alias("attempts"))
     good = F.col("ok").isNotNull() & (F.col("ok.status") == "OK")
     pick = lambda c: F.when(good, F.col(f"ok.{c}")).otherwise(F.col(f"last.{c}"))
     return out.select(*keys, pick("attempt").alias("attempt"), F.when(good, "OK").otherwise("FAILED").alias("status"), F.when(good, "").otherwise(final_reason).alias("failure_reason"), pick("seller").alias("seller"), pick("price").alias("price"), "attempts")
@@ -59,14 +70,25 @@ def earliest_delivery(options: DataFrame, keys: tuple[str, ...], seq: tuple[str,
     return best.select(*keys, F.coalesce("b.display_text", F.lit("Not Available")).alias("delivery_date"), F.coalesce("b.is_free", F.lit(False)).alias("is_free"), "b.sort_minutes")
 
 
-def running_progress(rows: DataFrame, run: str, order: tuple[str, ...], total: Column, started: Column) -> DataFrame:
-    """Running counters, rate and remaining seconds of each run, in arrival order."""
-    so_far = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    done = F.count(F.lit(1)).over(so_far)
-    out = rows.withColumn("done", done).withColumn("success", F.count_if(F.col("status") == "OK").over(so_far)).withColumn("failed", F.col("done") - F.col("success"))
-    out = out.withColumn("total", total).withColumn("elapsed_s", F.unix_timestamp(F.col(order[0]).cast("timestamp")) - F.unix_timestamp(started.cast("timestamp")))
+def running_progress(rows: DataFrame, run: str, order: tuple[str, ...], started: Column, ranges: int = 64) -> DataFrame:
+    """Running counters, rate and remaining seconds of each run, in arrival order; the total is the run's rows.
+
+    A run is cut into ranges of its time, counted apart and shifted by the counts of the earlier ranges, so that one run
+    with most of the rows is spread over tasks. The table of counts has a row for each run and range.
+    """
+    at = F.unix_timestamp(F.col(order[0]).cast("timestamp"))
+    spans = rows.groupBy(run).agg(F.min(at).alias("_from"), F.max(at).alias("_to"), F.count(F.lit(1)).alias("total"))
+    cut = rows.join(small(spans), run).withColumn("_range", ((at - F.col("_from")) * ranges / (F.col("_to") - F.col("_from") + 1)).cast("int"))
+    counts = cut.groupBy(run, "_range").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("status") == "OK").alias("_ok"))
+    before = Window.partitionBy(run).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(run, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_ok")])
+    so_far = Window.partitionBy(run, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumn("_i", F.count(F.lit(1)).over(so_far)).withColumn("_s", F.count_if(F.col("status") == "OK").over(so_far)).join(starts, [run, "_range"])
+    out = out.withColumn("done", F.col("_i") + F.col("_n_before")).withColumn("success", F.col("_s") + F.col("_ok_before")).withColumn("failed", F.col("done") - F.col("success"))
+    out = out.withColumn("elapsed_s", at - F.unix_timestamp(started.cast("timestamp")))
     eta = F.col("elapsed_s") / F.greatest(F.lit(1), F.col("done")) * F.greatest(F.lit(0), F.col("total") - F.col("done"))
-    return out.withColumn("pct", (F.col("done") * 100 / F.col("total")).cast("int")).withColumn("eta_s", eta.cast("bigint"))
+    out = out.withColumn("pct", (F.col("done") * 100 / F.col("total")).cast("int")).withColumn("eta_s", eta.cast("bigint"))
+    return out.select(*rows.columns, "done", "success", "failed", "total", "elapsed_s", "pct", "eta_s")
 
 
 def retention(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], newest: int, cutoff: Column) -> DataFrame:

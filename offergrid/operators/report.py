@@ -15,19 +15,26 @@ def first_ok(offers: DataFrame, order: str = "loc_ord") -> DataFrame:
 
     Name and stamp come from the first OK offer or else the first offer of any status.
     """
+    return offers.groupBy("asin").agg(*_first_aggs(order)).select("asin", *_first_columns())
+
+
+def _first_aggs(order: str) -> list[Column]:
     ok = F.col("status") == "OK"
     money = F.struct("price", "mrp", "discount_percent", "bsr", "rating", "reviews", "seller")
     named = F.struct("product_name", "scraped_at")
-    g = offers.groupBy("asin").agg(
+    return [
         F.min_by(F.when(ok, money), F.when(ok, F.col(order))).alias("m"),
         F.min_by(F.when(ok, named), F.when(ok, F.col(order))).alias("n"),
         F.min_by(named, order).alias("any"),
         F.count_if(ok).alias("n_ok"),
-    )
+    ]
+
+
+def _first_columns() -> list[Column]:
     has = F.col("n_ok") > 0
     text = lambda c, missing: F.when(has, F.col(f"m.{c}")).otherwise(missing).alias(c)
     pick = lambda c: F.when(has, F.col(f"n.{c}")).otherwise(F.col(f"any.{c}")).alias(c)
-    return g.select("asin", pick("product_name"), pick("scraped_at"), F.col("m.price").alias("price"), F.col("m.mrp").alias("mrp"), text("discount_percent", "N/A"), text("bsr", "N/A"), text("rating", "Not Found"), text("reviews", "Not Found"), text("seller", "Not Found"))
+    return [pick("product_name"), pick("scraped_at"), F.col("m.price").alias("price"), F.col("m.mrp").alias("mrp"), text("discount_percent", "N/A"), text("bsr", "N/A"), text("rating", "Not Found"), text("reviews", "Not Found"), text("seller", "Not Found")]
 
 
 def catalog_with_results(catalog: DataFrame, offers: DataFrame) -> DataFrame:
@@ -58,17 +65,20 @@ def grid_status(grid: DataFrame, offers: DataFrame, pending: str = "Pending") ->
 def pivot_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, pending: str = "Pending") -> DataFrame:
     """One row for each catalog row with an offer: the fixed columns and one for each location, ``pending`` if empty.
 
-    The list of locations makes the columns, so it is read first and its length is checked; with the values given,
-    the pivot is one aggregation that combines before the shuffle.
+    The list of locations makes the columns, so it is read first and its length is checked. Offers are read once: one
+    aggregation by product gives the fixed columns and a map of location to cell, from which the columns are taken.
     """
     listed = locations.orderBy("ord").select("pincode", "city").limit(10_001).collect()
     if len(listed) > 10_000:
         raise ValueError("more than 10000 locations: a report can't have so many columns")
     names = {r["pincode"]: f"{r['pincode']} - {r['city']}" for r in listed}
-    wide = cells(offers).groupBy("asin").pivot("pincode", list(names)).agg(F.first("cell"))
-    wide = wide.select("asin", *[F.coalesce(F.col(f"`{p}`"), F.lit(pending)).alias(n) for p, n in names.items()])
-    rows = overlay_catalog(catalog, first_ok(offers))
-    return rows.join(wide, "asin").select("ord", *FIXED, *[F.col(f"`{n}`") for n in names.values()])
+    cell = F.struct("pincode", pivot_cell(F.col("status"), F.col("in_stock"), F.col("delivery_date")).alias("cell"))
+    one = offers.where(F.col("pincode").isNotNull()).groupBy("asin").agg(*_first_aggs("loc_ord"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    # Offers are keyed by product and location; of repeated ones the first cell in order counts.
+    apart = F.filter("cells", lambda c, i: (i == 0) | (c["pincode"] != F.get("cells", i - 1)["pincode"]))
+    wide = one.select("asin", *_first_columns(), F.map_from_entries(apart).alias("cells"))
+    rows = overlay_catalog(catalog, wide)
+    return rows.select("ord", *FIXED, *[F.coalesce(F.col("cells")[p], F.lit(pending)).alias(n) for p, n in names.items()])
 
 
 def failed_rows(offers: DataFrame) -> DataFrame:

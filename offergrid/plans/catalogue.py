@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from offergrid.functions import text as X
 from offergrid.operators import dom, extract, grid, offers, report
-from offergrid.plans.fixtures import Tables, as_of, duck, duck_band, duck_cell, duck_days, duck_discount, duck_display, duck_free, duck_minutes, duck_stock, duck_title
+from offergrid.plans.fixtures import Tables, as_of, duck, duck_band, duck_cell, duck_days, duck_discount, duck_display, duck_free, duck_minutes, duck_page, duck_stock, duck_title
+from offergrid.shared import shared_dir
 from offergrid.sources import json_store, lines, sinks
 from offergrid.streaming import progress
 
@@ -181,7 +182,7 @@ def is_challenge(t):
 
 @query("SELECT c.asin, c.pincode, true AS confirmed FROM capture c UNION ALL SELECT c.asin, c.pincode, contains(lower(c.seller), lower(l.city)) OR contains(c.seller, c.pincode) FROM capture c JOIN locations l USING (pincode)")
 def location_confirmed(t):
-    c = t.capture.join(F.broadcast(t.locations.select("pincode", "city")), "pincode")
+    c = t.capture.join(grid.small(t.locations.select("pincode", "city")), "pincode")
     line = F.concat(F.lit("Deliver to "), F.upper("city"), F.lit(" "), "pincode")
     one = c.select(*KEY, offers.location_confirmed(line, F.col("pincode"), F.col("city")).alias("confirmed"))
     return one.unionAll(c.select(*KEY, offers.location_confirmed(F.col("seller"), F.col("pincode"), F.col("city"))))
@@ -323,14 +324,17 @@ def upsert_latest(t):
     return offers.upsert_latest(t.attempts)
 
 
-_RES = """SELECT asin, pincode, CASE WHEN okn IS NULL THEN lastn ELSE okn END AS attempt, CASE WHEN okn IS NULL THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN okn IS NULL THEN 'Failed after retries' ELSE '' END AS failure_reason,
-CASE WHEN okn IS NULL THEN s1 ELSE s0 END AS seller, CASE WHEN okn IS NULL THEN p1 ELSE p0 END AS price, CAST(lastn AS INT) AS attempts FROM (SELECT asin, pincode, CAST(min(n) FILTER (WHERE status = 'OK') AS INT) AS okn, CAST(max(n) AS INT) AS lastn, min_by(seller, n) FILTER (WHERE status = 'OK') AS s0, max_by(seller, n) AS s1, min_by(price, n) FILTER (WHERE status = 'OK') AS p0, max_by(price, n) AS p1
-FROM (SELECT *, row_number() OVER (PARTITION BY asin, pincode ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey) AS n FROM attempts) WHERE n <= 3 GROUP BY asin, pincode)"""
+_WHY = "CASE WHEN status = 'FAILED' AND l_suppkey % 3 > 0 THEN 'CAPTCHA' WHEN status = 'OK' THEN '' ELSE status END"
+# Tries as letters: C challenge, O OK, F other failure. An attempt is a C with what follows it, or one letter.
+_RES = f"""SELECT asin, pincode, CAST(k AS INT) AS attempt, CASE WHEN ok THEN 'OK' ELSE 'FAILED' END AS status, CASE WHEN ok THEN '' ELSE 'Failed after retries' END AS failure_reason, sellers[place] AS seller, prices[place] AS price, CAST(n AS INT) AS attempts
+FROM (SELECT *, CAST(list_sum(list_transform(slots[1:k], lambda x: length(x))) AS INT) AS place FROM (SELECT *, len(slots) AS n, coalesce(nullif(list_position(list_transform(slots, lambda x: right(x, 1)), 'O'), 0), len(slots)) AS k, coalesce(list_position(list_transform(slots, lambda x: right(x, 1)), 'O'), 0) > 0 AS ok
+FROM (SELECT asin, pincode, regexp_extract_all(string_agg(CASE WHEN why = 'CAPTCHA' THEN 'C' WHEN status = 'OK' THEN 'O' ELSE 'F' END, '' ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey), 'C.|.')[1:3] AS slots, list(seller ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey) AS sellers, list(price ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey) AS prices
+FROM (SELECT *, {_WHY} AS why FROM attempts) GROUP BY asin, pincode)))"""
 
 
 @query(_RES)
 def attempt_resolution(t):
-    return offers.attempt_resolution(t.attempts, offers.WRITE_ORDER)
+    return offers.attempt_resolution(t.attempts.withColumn("failure_reason", F.expr(_WHY)), offers.WRITE_ORDER)
 
 
 def options(t: Tables) -> DataFrame:
@@ -360,9 +364,7 @@ def options_sorted(t):
 @query("""SELECT asin, pincode, l_orderkey, l_linenumber, l_suppkey, done, success, done - success AS failed, CAST(done * 100 // total AS INT) AS pct, CAST(trunc(date_diff('second', TIMESTAMP '1992-01-01', captured_at) / greatest(1, done) * greatest(0, total - done)) AS BIGINT) AS eta_s
 FROM (SELECT *, count(*) OVER w AS done, count(*) FILTER (WHERE status = 'OK') OVER w AS success, count(*) OVER (PARTITION BY pincode) AS total FROM attempts WINDOW w AS (PARTITION BY pincode ORDER BY captured_at, l_orderkey, l_linenumber, l_suppkey, asin ROWS UNBOUNDED PRECEDING))""")
 def running_progress(t):
-    sizes = t.attempts.groupBy("pincode").agg(F.count(F.lit(1)).alias("n"))
-    rows = t.attempts.join(F.broadcast(sizes), "pincode")
-    out = offers.running_progress(rows, "pincode", (*offers.WRITE_ORDER, "asin"), F.col("n"), F.lit("1992-01-01").cast("timestamp"))
+    out = offers.running_progress(t.attempts, "pincode", (*offers.WRITE_ORDER, "asin"), F.lit("1992-01-01").cast("timestamp"))
     return out.select(*KEY, *SEQ, "done", "success", "failed", "pct", "eta_s")
 
 
@@ -510,80 +512,78 @@ _H1 = "replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot
 
 @query(f"SELECT page_id, trim(coalesce(nullif({_H1}, ''), regexp_extract(html, '<title>(.*?)</title>', 1))) AS text FROM pages")
 def cascade_text(t):
-    found = dom.cascade_text(dom.dom_explode(t.read("pages")), [("head", 1, ("#missing",), ()), ("head", 2, ("h1",), ("article",)), ("head", 3, ("title",), ())])
-    return found.select("page_id", "text")
+    return dom.cascade_text(t.read("pages"), ["#missing", "article h1", "title"])
 
 
-def product_elements(t: Tables) -> DataFrame:
-    """Parsed once for all the fields that a query reads; a lost part is parsed again."""
-    return dom.dom_explode(t.product_pages).persist()
+_PID = "CAST(substr(asin, 2) AS BIGINT) * 1000 + CAST(pincode AS BIGINT) - 110001 AS page_id"
+_PAGE = duck_page()
 
 
-_PID = "CAST(substr(asin, 2) AS BIGINT) * 1000 + CAST(pincode AS BIGINT) - 110001 AS page_id"
+def _fields(t: Tables, **columns) -> DataFrame:
+    return extract.found(t.product_pages).select("page_id", *[c.alias(n) for n, c in columns.items()])
 
 
-@query(f"SELECT {_PID}, price FROM capture")
+@query(f"SELECT {_PID}, {_PAGE['price']} AS price FROM capture")
 def extract_price(t):
-    e = product_elements(t)
-    return extract.prices(e, extract.texts_of(t.product_pages, e)).select("page_id", "price")
+    return _fields(t, price=extract.price_of())
 
 
-@query(f"SELECT {_PID}, mrp FROM capture")
+@query(f"SELECT {_PID}, {_PAGE['mrp']} AS mrp FROM capture")
 def extract_mrp(t):
-    e = product_elements(t)
-    return extract.prices(e, extract.texts_of(t.product_pages, e)).select("page_id", "mrp")
-
-
-def _texts(t: Tables) -> DataFrame:
-    return extract.texts_of(t.product_pages, product_elements(t))
+    return _fields(t, mrp=extract.mrp_of())
 
 
 @query(f"SELECT {_PID}, trim(item_name) AS name FROM capture JOIN catalog USING (asin)")
 def extract_name(t):
-    return _texts(t).select("page_id", F.coalesce(X.squash_ws(F.col("name")), F.lit("Not Found")).alias("name"))
+    return _fields(t, name=F.coalesce(X.squash_ws(extract.text_of("name")), F.lit("Not Found")))
 
 
-@query(f"SELECT {_PID}, seller FROM capture")
+@query(f"SELECT {_PID}, {_PAGE['seller']} AS seller FROM capture")
 def extract_seller(t):
-    return _texts(t).select("page_id", F.coalesce(X.squash_ws(F.col("seller")), F.lit("Marketplace")).alias("seller"))
+    return _fields(t, seller=F.coalesce(X.squash_ws(extract.text_of("seller")), F.lit("Marketplace")))
 
 
-@query(f"SELECT {_PID}, l_linenumber || '.0' AS rating FROM capture")
+@query(f"SELECT {_PID}, {_PAGE['rating']} AS rating FROM capture")
 def extract_rating(t):
-    return _texts(t).select("page_id", extract.rating_of(F.col("rating")).alias("rating"))
+    return _fields(t, rating=extract.rating_of(extract.text_of("rating")))
 
 
 @query(f"SELECT {_PID}, CAST(l_orderkey AS VARCHAR) AS reviews FROM capture")
 def extract_reviews(t):
-    return _texts(t).select("page_id", extract.reviews_of(F.col("reviews")).alias("reviews"))
+    return _fields(t, reviews=extract.reviews_of(extract.text_of("reviews")))
 
 
-@query(f"SELECT {_PID}, '#' || l_suppkey || ' in Parts' AS bsr FROM capture")
+@query(f"SELECT {_PID}, {_PAGE['bsr']} AS bsr FROM capture")
 def extract_rank(t):
-    return extract.extract_rank(t.product_pages, product_elements(t))
-
+    return _fields(t, bsr=extract.rank_of())
 
-_TOLD = "delivery_text <> 'Ships soon'"
 
-
-@query(f"SELECT {_PID}, delivery_text AS raw_text, 'Standard' AS channel FROM capture WHERE l_linenumber BETWEEN 2 AND 6")
+@query(f"""SELECT {_PID}, delivery_text AS raw_text, 'Standard' AS channel FROM capture WHERE {_PAGE['d']} IN (0, 3, 4) AND {_PAGE['told']}
+UNION ALL SELECT {_PID}, {_PAGE['promise']}, 'Express' FROM capture WHERE {_PAGE['d']} IN (2, 3)""")
 def rule_match(t):
-    return extract.rule_match(product_elements(t)).select("page_id", "raw_text", "channel")
+    return extract.rule_match(t.product_pages).select("page_id", "raw_text", "channel")
 
 
-@query(f"SELECT {_PID}, CASE WHEN l_linenumber = 1 THEN 'Express' ELSE 'Standard' END AS channel, {duck_minutes('delivery_text')} AS sort_minutes, delivery_text AS raw_text FROM capture WHERE {_TOLD}")
+@query(f"""SELECT page_id, channel, raw_text, {duck_minutes('raw_text')} AS sort_minutes FROM (SELECT {_PID}, {_PAGE['channel']} AS channel, {_PAGE['promise']} AS raw_text FROM capture WHERE ({_PAGE['promise']}) IS NOT NULL
+UNION ALL SELECT {_PID}, 'Standard', 'Today' FROM capture WHERE {_PAGE['d']} = 1 UNION ALL SELECT {_PID}, 'Standard', delivery_text FROM capture WHERE {_PAGE['d']} = 3 AND {_PAGE['told']})""")
 def delivery_options(t):
-    return extract.delivery_options(t.product_pages, product_elements(t), as_of()).select("page_id", "channel", "sort_minutes", "raw_text")
+    return extract.delivery_options(t.product_pages, as_of()).select("page_id", "channel", "sort_minutes", "raw_text")
+
 
+def _offer_sql() -> str:
+    good = lambda value, captcha, missing: f"CASE state WHEN 'OK' THEN {value} WHEN 'CAPTCHA' THEN {captcha} ELSE {missing} END"
+    inner = f"SELECT {_PID}, asin, pincode, l.city, trim(k.item_name) AS name, {_PAGE['mrp']} AS mrp, {_PAGE['price']} AS price, {_PAGE['stock']} AS stock, {_PAGE['promise']} AS promise, {_PAGE['channel']} AS channel, {_PAGE['seller']} AS seller, {_PAGE['rating']} AS rating, {_PAGE['bsr']} AS bsr, l_orderkey, captured_at, {_PAGE['state']} AS state FROM capture JOIN locations l USING (pincode) JOIN catalog k USING (asin)"
+    return f"""SELECT page_id, asin, pincode, city, {good('name', "''", "'Not Found'")} AS product_name, CASE WHEN state = 'OK' THEN mrp END AS mrp, CASE WHEN state = 'OK' THEN price END AS price,
+{good(duck_discount('mrp', 'price'), "''", "'N/A'")} AS discount_percent, {good('stock', "''", "'Not Found'")} AS in_stock,
+{good("coalesce(" + duck_display('channel', 'promise', duck_free('promise')) + ", 'Not Available')", "''", "'Not Available'")} AS delivery_date,
+{good(f"CASE WHEN {duck_free('promise')} THEN 'Yes' ELSE 'No' END", "''", "'N/A'")} AS free_delivery, {good('seller', "''", "''")} AS seller, {good('rating', "''", "''")} AS rating,
+{good('CAST(l_orderkey AS VARCHAR)', "''", "''")} AS reviews, {good('bsr', "''", "'N/A'")} AS bsr, 'https://www.example.com/dp/' || asin AS product_url, strftime(captured_at, '%d %b %Y, %I:%M %p') AS scraped_at,
+CASE WHEN state = 'OK' THEN 'OK' ELSE 'FAILED' END AS status, CASE state WHEN 'OK' THEN '' WHEN 'CAPTCHA' THEN 'CAPTCHA' ELSE 'Product not found (404)' END AS failure_reason FROM ({inner})"""
 
-@query(f"""SELECT {_PID}, c.asin, c.pincode, l.city, trim(k.item_name) AS product_name, c.mrp, c.price, {duck_discount('c.mrp', 'c.price')} AS discount_percent, {duck_stock('availability_text')} AS in_stock,
-CASE WHEN {_TOLD} THEN {duck_display("CASE WHEN l_linenumber = 1 THEN 'Express' ELSE 'Standard' END", 'delivery_text', duck_free('delivery_text'))} ELSE 'Not Available' END AS delivery_date, CASE WHEN {duck_free('delivery_text')} THEN 'Yes' ELSE 'No' END AS free_delivery, c.seller, l_linenumber || '.0' AS rating,
-CAST(l_orderkey AS VARCHAR) AS reviews, '#' || l_suppkey || ' in Parts' AS bsr, 'https://www.example.com/dp/' || c.asin AS product_url, strftime(captured_at, '%d %b %Y, %I:%M %p') AS scraped_at, 'OK' AS status, '' AS failure_reason
-FROM capture c JOIN locations l USING (pincode) JOIN catalog k USING (asin)""".replace(f"SELECT {_PID}", "SELECT CAST(substr(c.asin, 2) AS BIGINT) * 1000 + CAST(c.pincode AS BIGINT) - 110001 AS page_id"))
+
+@query(_offer_sql())
 def build_offer(t):
-    # An id that holds 404 would read as a missing page: these pages have urls without the id.
-    pages = t.product_pages.withColumn("url", F.lit("https://www.example.com/"))
-    return extract.build_offer(pages, dom.dom_explode(pages).persist(), as_of())
+    return extract.build_offer(t.product_pages, as_of())
 
 
 # Streams: each is its batch twin over the same rows.
@@ -594,13 +594,8 @@ def _events(t: Tables) -> DataFrame:
 
 
 def _state(t: Tables) -> str:
-    """A folder for checkpoints and stream outputs: the cluster's shared one where it names one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder for checkpoints and stream outputs in what the cluster shares."""
+    return f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 _MSG = "SELECT event_id, ts, user_id % 4 AS worker, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'progress' END AS type, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'CAPTCHA' ELSE 'OK' END AS status, props AS msg FROM events"
@@ -649,7 +644,7 @@ def sink_incremental(t):
     sink = sinks.IncrementalSink(f"{_state(t)}/flushed")
     for i in range(4):
         sink(t.attempts.where(F.col("l_suppkey") % 4 == i), i)
-    return t.spark.read.parquet(sink.path(3))
+    return sink.table(t.spark, t.attempts.schema)
 
 
 @query("SELECT * EXCLUDE (rn) FROM capture")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,8 +59,10 @@ class Tables:
     @cached_property
     def offers(self) -> DataFrame:
         """The capture as offers, with names of the catalog and cities of the locations."""
+        from offergrid.operators.grid import small
+
         c = self.capture.join(self.catalog.select("asin", F.col("item_name").alias("product_name")), "asin")
-        c = c.join(F.broadcast(self.locations.select("pincode", "city", F.col("ord").alias("loc_ord"))), "pincode")
+        c = c.join(small(self.locations.select("pincode", "city", F.col("ord").alias("loc_ord"))), "pincode")
         free = X.is_free_text(F.col("delivery_text"))
         return c.select(
             "asin", "pincode", "city", "loc_ord", "product_name", "mrp", "price", X.discount_pct(F.col("mrp"), F.col("price")).alias("discount_percent"),
@@ -70,18 +73,68 @@ class Tables:
 
     @cached_property
     def product_pages(self) -> DataFrame:
-        """Product pages made of the capture by a template."""
-        c = self.capture.join(F.broadcast(self.locations.select("pincode", "city")), "pincode").join(self.catalog.select("asin", "item_name"), "asin")
-        number = lambda x: F.format_number(F.col(x), 4)
-        html = F.concat(
-            F.lit("<html><head><title>"), "item_name", F.lit('</title></head><body><span id="productTitle">  '), "item_name", F.lit('\n</span><div id="corePrice_feature_div"><span class="a-price priceToPay"><span class="a-offscreen">₹'), number("price"),
-            F.lit('</span></span><span class="a-price a-text-price"><span class="a-offscreen">₹'), number("mrp"), F.lit('</span></span></div><div id="availability"><span> '), "availability_text", F.lit(' </span></div><input id="asin" value="'), "asin",
-            F.lit('"><div id="mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE"><span data-csa-c-slot-id="x">'), "delivery_text", F.lit('</span></div><div id="merchant-info">Sold by <a href="#">'), "seller",
-            F.lit('</a></div><span data-hook="rating-out-of-text">'), F.col("l_linenumber").cast("string"), F.lit('.0 out of 7</span><span id="acrCustomerReviewText">'), F.format_number("l_orderkey", 0), F.lit(' ratings</span><div id="SalesRank">Best Sellers Rank: #'), F.format_number("l_suppkey", 0), F.lit(" in Parts (See Top 100)</div>"),
-            F.lit("<button>Add to Cart</button></body></html>"),
-        )
+        """Product pages made of the capture by a template that varies by row, so that each selector finds something."""
+        from offergrid.operators.grid import small
+
+        c = self.capture.join(small(self.locations.select("pincode", "city")), "pincode").join(self.catalog.select("asin", "item_name"), "asin")
+        money = c.withColumn("p", F.format_number("price", 4)).withColumn("m", F.format_number("mrp", 4)).withColumn("w", F.format_number(F.floor("price"), 0)).withColumn("n", F.format_number("l_suppkey", 0)).withColumn("r", F.format_number("l_orderkey", 0)).withColumn("dot", F.when(F.col("l_linenumber") % 2 == 0, ".").otherwise(""))
+        part = lambda choice: F.coalesce(*[F.when(F.expr(choice) == i, filled(text)) for i, text in enumerate(PARTS[choice])])
+        filled = lambda text: F.format_string(re.sub(r"\{\w+\}", "%s", text.replace("%", "%%")), *[F.col(x) for x in re.findall(r"\{(\w+)\}", text)])
+        frame = ["<html><head><title>", F.when(F.expr("l_orderkey % 97 = 0"), "Robot Check").otherwise(F.col("item_name")), "</title></head><body>", *[part(c) for c in PARTS], '<input id="asin" value="', F.col("asin"), '"><button>Add to Cart</button></body></html>']
+        html = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in frame])
         key = (F.expr("cast(substr(asin, 2) as bigint)") * 1000 + F.col("pincode").cast("bigint") - 110001).alias("page_id")
-        return c.select(key, X.product_url(F.col("asin")).alias("url"), html.alias("html"), "asin", "pincode", "city", "captured_at")
+        return money.select(key, X.product_url(F.col("asin")).alias("url"), html.alias("html"), "asin", "pincode", "city", "captured_at")
+
+
+#: The template: for each choice of a row, what its page holds. Some parts are there to be passed over.
+PARTS = {
+    "l_orderkey % 3": ['<span id="productTitle">  {item_name}\n</span>', '<div class="product-title">{item_name}</div>', '<h1>Shop</h1><h1 class="x a-size-large">{item_name}</h1>'],
+    "l_orderkey % 6": [
+        '<div id="corePrice_feature_div"><span class="a-price priceToPay"><span class="a-offscreen">₹{p}</span></span><span class="a-price a-text-price"><span class="a-offscreen">₹{m}</span></span></div>',
+        '<span class="a-price-whole">7</span><div id="corePriceDisplay_desktop_feature_div"><span class="apexPriceToPay"><span class="a-offscreen">₹0</span></span><span class="priceToPay"><span class="a-offscreen">₹{p}</span></span><span class="basisPrice">MRP <span class="a-offscreen">₹{m}</span></span></div>',
+        '<span class="a-price-whole">7</span><div id="corePrice_feature_div"><span class="a-price-whole">{w}<i>{dot}</i></span><span class="a-price-fraction">0{l_linenumber}</span></div><span class="a-price"><b class="a-text-price"><span class="a-offscreen">₹1</span></b></span><span class="a-text-price"><span class="a-offscreen">₹{m}</span></span>',
+        '<span id="priceblock_ourprice">₹{p}</span>',
+        '<div class="priceToPay"><div id="corePrice_feature_div"><span class="a-offscreen">₹{p}</span></div></div><div class="basis"><span class="a-offscreen">₹3</span></div><div class="a-text-price a-price"><i><span class="a-offscreen">₹{m}</span></i></div>',
+        '<div id="corePrice_feature_div"></div>',
+    ],
+    "l_suppkey % 4": ['<div id="availability"><span> {availability_text} </span></div>', '<div id="availability"><span></span></div><p class="availGreen">{availability_text}', '<div id="outOfStock">{availability_text}</div>', '<button id="add-to-cart-button">Add</button>'],
+    "(l_orderkey + l_suppkey) % 5": [
+        '<div id="mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE"><span>x</span><span data-csa-c-slot-id="x">{delivery_text}</span></div>',
+        '<span data-csa-c-delivery-time="12"></span><span data-csa-c-delivery-time=" {delivery_text} "></span><span data-csa-c-delivery-time="Today"></span>',
+        '<div id="alm-delivery-message"><span class="a-size-base">in {l_linenumber} hours</span></div>',
+        '<div id="almLogoAndDeliveryMessage_feature_div"><b class="a-size-base">instant: in  3 hours</b></div><span id="ddmDeliveryMessage">{delivery_text}</span>',
+        '<div class="delivery-message"><p><span>{delivery_text}</span></div>',
+    ],
+    "l_suppkey % 3": ['<div id="merchant-info">Sold by <a href="#">{seller}</a></div>', '<a id="sellerProfileTriggerId">{seller}</a>', "<p>Sold here"],
+    "l_orderkey % 2": ['<span data-hook="rating-out-of-text">{l_linenumber}.0 out of 7</span>', '<span id="acrPopover"><i><span class="a-icon-alt">{l_linenumber}.5 out of 7</span></i></span>'],
+    "l_suppkey % 2": ['<span id="acrCustomerReviewText">{r} ratings</span>', '<span data-hook="total-review-count">{r} global ratings</span>'],
+    "l_suppkey % 6": [
+        '<div id="SalesRank">Best Sellers Rank: #{n} in Parts (See Top 100)</div>',
+        '<table id="productDetails_detailBullets_sections1"><tr><td>Best Sellers Rank<td> #{n} in  Parts.\n</table>',
+        '<ul id="detailBulletsWrapper_feature_div"><li>Best-seller<li>#{n}</ul>',
+        '<div id="SalesRank">none yet</div><div id="productDetails_db_sections">Rank: # {n} in Parts</div>',
+        '<div class="a-section a-padding-small">#1 in Decoys</div><div class="a-padding-small a-section a-spacing-small">#{n} in Parts</div>',
+        '<i title="#{n} in Parts&"></i>',
+    ],
+}
+
+
+def duck_page() -> dict[str, str]:
+    """What the pages of the template hold, in SQL on the capture."""
+    k, d = "l_orderkey % 6", "(l_orderkey + l_suppkey) % 5"
+    told = "l_linenumber BETWEEN 2 AND 6"  # what the standard channel's words know
+    price = f"CASE {k} WHEN 2 THEN floor(price) + CASE WHEN l_linenumber % 2 = 0 THEN 0.0 ELSE l_linenumber / 100 END WHEN 5 THEN NULL ELSE price END"
+    mrp = f"CASE {k} WHEN 3 THEN price WHEN 5 THEN NULL ELSE mrp END"
+    state = "CASE WHEN l_orderkey % 97 = 0 THEN 'CAPTCHA' WHEN contains(asin, '404') THEN 'NOT_FOUND' ELSE 'OK' END"
+    shown = f"CASE WHEN {d} = 2 THEN 'in ' || l_linenumber || ' hours' WHEN {d} = 3 THEN 'instant: in 3 hours' WHEN {d} = 1 OR l_linenumber < 7 THEN delivery_text END"
+    channel = f"CASE WHEN {d} IN (2, 3) OR ({d} <> 1 AND l_linenumber = 1) THEN 'Express' ELSE 'Standard' END"
+    return {
+        "price": price, "mrp": mrp, "state": state, "promise": shown, "channel": channel, "told": told, "d": d,
+        "stock": f"CASE WHEN l_suppkey % 4 = 3 THEN 'In Stock' ELSE {duck_stock('availability_text')} END",
+        "seller": "CASE WHEN l_suppkey % 3 = 2 THEN 'Marketplace' ELSE seller END",
+        "rating": "l_linenumber || CASE WHEN l_orderkey % 2 = 0 THEN '.0' ELSE '.5' END",
+        "bsr": "'#' || l_suppkey || CASE WHEN l_suppkey % 6 = 2 THEN '' ELSE ' in Parts' END",
+    }
 
 
 def duck(sql: str) -> str:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from offergrid.operators.offers import upsert_latest
 from offergrid.operators.report import failed_rows, pivot_report, summary
+from offergrid.shared import erase, exists
 
 
 def run_id(now: dt.datetime) -> str:
@@ -29,21 +33,36 @@ def sink_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, roo
 
 
 class IncrementalSink:
-    """foreachBatch writer: every micro-batch makes a new version of the keyed table.
+    """foreachBatch writer: every micro-batch is merged into a keyed table, of which it rewrites only what it touches.
 
-    A version is written beside the last one and only then becomes current, and a batch that comes again after a
-    failure is recognised by its number, so a lost executor or a restarted query leaves no half-written state.
+    The table is partitioned by a hash of the key. A batch reads the partitions that its keys fall into, merges, writes
+    the result aside and then replaces just these partitions. The merge keeps the last write of each key, so a batch that
+    comes again after a failure changes nothing. ``report`` is called with the table after every ``every`` batches.
     """
 
-    def __init__(self, root: str, keys: tuple[str, ...] = ("asin", "pincode"), order: tuple[str, ...] = ("captured_at", "l_orderkey", "l_linenumber", "l_suppkey")):
-        self.root, self.keys, self.order, self.version = root, keys, order, -1
+    def __init__(self, root: str, keys: tuple[str, ...] = ("asin", "pincode"), order: tuple[str, ...] = ("captured_at", "l_orderkey", "l_linenumber", "l_suppkey"), parts: int = 16, report: Callable[[DataFrame, int], None] | None = None, every: int = 5):
+        self.root, self.keys, self.order, self.parts, self.report, self.every = root.rstrip("/"), keys, order, parts, report, every
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/v{version}"
+    def table(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """The table as it stands; without rows before the first batch, and as left after a restart without new rows."""
+        return self._whole(spark, schema).drop("_part")
+
+    def _whole(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        wide = StructType([*schema.fields, StructField("_part", IntegerType())])
+        if not exists(spark, self.root):
+            return spark.createDataFrame([], wide)
+        return spark.read.schema(wide).parquet(self.root)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(self.path(batch_id - 1)).unionByName(batch)
-        upsert_latest(rows, self.keys, self.order).select(*[F.col(c) for c in batch.columns]).write.mode("overwrite").parquet(self.path(batch_id))
-        self.version = batch_id
+        spark, columns = batch.sparkSession, batch.columns
+        part = F.pmod(F.hash(*self.keys), F.lit(self.parts)).cast("int")
+        aside = f"{self.root}-merged-{uuid.uuid4().hex}"
+        keyed = batch.withColumn("_part", part)
+        touched = keyed.select("_part").distinct()  # at most ``parts`` rows
+        old = self._whole(spark, batch.schema).join(F.broadcast(touched), "_part", "left_semi").select(*columns, "_part")
+        upsert_latest(old.unionByName(keyed), self.keys, self.order).select(*columns, "_part").write.parquet(aside)
+        merged = spark.read.schema(StructType([*batch.schema.fields, StructField("_part", IntegerType())])).parquet(aside)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.root)
+        erase(spark, aside)
+        if self.report and (batch_id + 1) % self.every == 0:
+            self.report(self.table(spark, batch.schema), batch_id)

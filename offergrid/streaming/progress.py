@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offergrid.shared import exists
 from offergrid.sources.sinks import IncrementalSink
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -40,20 +39,26 @@ def completion(messages: DataFrame, workers: int) -> DataFrame:
     return ended.select("ended", (F.col("ended") >= workers).alias("complete"))
 
 
-def run_complete(stream: DataFrame, checkpoint: str) -> DataFrame:
-    """Run an aggregated stream over all that is there and return its last state."""
-    name = "stream_" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_complete(stream: DataFrame, root: str) -> DataFrame:
+    """Run an aggregated stream over all that is there and return its last state, a table under ``root``.
+
+    Each batch replaces the state as a whole (it is an aggregate); started again without new rows, the last one stands.
+    """
+    state, spark = f"{root}/state", stream.sparkSession
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(state)).option("checkpointLocation", f"{root}/cursor").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(state) if exists(spark, state) else spark.createDataFrame([], stream.schema)
+
 
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...], **more) -> DataFrame:
+    """Merge arriving rows into a keyed table; after a restart the checkpoint tells where to go on.
 
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Merge arriving rows into a keyed table; after a restart the checkpoint tells where to go on."""
-    sink = IncrementalSink(root, keys, order)
+    Started again without new rows it returns the table as it stands. ``more`` goes to the sink: parts, report, every.
+    """
+    sink = IncrementalSink(root, keys, order, **more)
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink.path(sink.version))
+    return sink.table(stream.sparkSession, stream.schema)
 
 
 def replay(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
