@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def _send_windows(window: int, buckets: int):
 def _finish(window: int, buckets: int):
     def run(blocks: pa.Table, masks: pa.Table) -> pa.Table:
         answers = masks.to_pylist()
-        ids_out, n_words, spans, kept = [], [], [], []
+        ids_out, text_keys, n_words, spans, kept = [], [], [], [], []
         for row in blocks.to_pylist():
             ids, data, offs = _unpack(row)
             parts = list(_candidates(data, offs, window, buckets, answers))
@@ -201,8 +202,9 @@ def _finish(window: int, buckets: int):
                     d, a, b = first + i, woffs[i], woffs[i + 1]
                     ids_out.append(None if ids[d] == -(1 << 63) else int(ids[d]))
                     n_words.append(int(b - a))
-                    cut = gone[a:b]
-                    found = body[offs[d] : offs[d + 1]].split()
+                    cut, text = gone[a:b], body[offs[d] : offs[d + 1]]
+                    text_keys.append(xxhash.xxh64_intdigest(text, 42))
+                    found = text.split()
                     if cut.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
                         spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
@@ -211,7 +213,7 @@ def _finish(window: int, buckets: int):
                         spans.append([])
                     kept.append(b" ".join(found).decode())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"id": pa.array(ids_out, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, kind), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"id": pa.array(ids_out, pa.int64()), "text_key": pa.array(np.array(text_keys, np.uint64).view(np.int64)), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, kind), "kept_text": pa.array(kept, pa.string())})
 
     return run
 
@@ -228,8 +230,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one key for each block. Anchors that recur extend to the windows that hold them; these windows' 96-bit
     hashes make the same round, and the answers mark the words to remove. Nothing is paired.
 
-    Returns id, n_words, spans (removed ranges of words, end excluded) and kept_text (kept words joined by one
-    space). Null and empty texts have no words; null ids stay null; repeated rows repeat each other and lose all
+    Returns id, text_key (xxhash64 of the text), n_words, spans (removed ranges of words, end excluded) and kept_text
+    (kept words joined by one space). Null and empty texts have no words; null ids stay null; repeated rows repeat each other and lose all
     windows; texts shorter than a window keep all; an empty table gives no rows; other columns are ignored.
     """
     if window < PERIOD:
@@ -241,4 +243,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(anchors.groupBy("bucket").applyInArrow(_repeated(1, False), answer), "anchors")
     windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, buckets), sent)
     repeated = written(windows.groupBy("bucket").applyInArrow(_repeated(2, True), answer), "windows")
-    return blocks.groupBy("block").cogroup(shared.unionByName(repeated).groupBy("block")).applyInArrow(_finish(window, buckets), "id long, n_words long, spans array<struct<start:long,end:long>>, kept_text string")
+    return blocks.groupBy("block").cogroup(shared.unionByName(repeated).groupBy("block")).applyInArrow(_finish(window, buckets), "id long, text_key long, n_words long, spans array<struct<start:long,end:long>>, kept_text string")
