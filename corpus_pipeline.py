@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offergrid.llm import bpe, mixing, near_dedup, substring_dedup, toxicity
@@ -25,23 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the smallest id."""
-    classes = near_dedup.near_duplicates(docs)
-    leaders = classes.where("doc = component_id").select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.where("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each class of near-duplicates: the one of the smallest id, then text key.
 
+    Of rows equal in id and text one stays; rows of one id and different texts are judged apart. Rows without an id stay.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept and doc is not null").select(F.col("doc").alias("_doc"), "text_key").distinct()
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    leaders = keyed.join(kept, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("text_key")), "left_semi")
+    order = Window.partitionBy("doc_id", "_key").orderBy("source", "lang", "n_chars")
+    one = leaders.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of repeated 35-word windows; every document stays, some with less text.
 
-    Ids are unique here, as the stage before leaves them; documents without an id keep their text.
-    """
-    cut = substring_dedup.substring_dedup(docs, window=35).where("size(spans) > 0").select("id", "kept_text")
-    joined = docs.join(cut, docs["doc_id"] == cut["id"], "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    out = joined.withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated 35-word windows; every document stays, some with less text."""
+    cut = substring_dedup.substring_dedup(docs, window=35).where("size(spans) > 0").select("id", "text_key", "kept_text").dropDuplicates(["id", "text_key"])
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["id"]) & (F.xxhash64(docs["text"]) == cut["text_key"]), "left")
+    gone = F.col("kept_text").isNotNull()
+    out = joined.withColumn("text", F.coalesce("kept_text", "text"))
+    return out.withColumn("n_chars", F.when(gone, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
