@@ -178,74 +178,137 @@ def costs(block: Block, has_main: bool, clean: bool = True) -> tuple[float, floa
     return keep, drop
 
 
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """(block, block, capacity): each block with the one before it, and with the last one before it in the same element.
+
+    Either edge grows with the share of the two paths in common, so neighbours in one element hold on to each other
+    twice, and paragraphs of one element hold on to each other across what stands between them. Blocks that the markup
+    decides take no part.
+    """
+    edges, last, before = [], {}, None
+    for i, b in enumerate(blocks):
+        if b.bad:
+            continue
+        frame = b.path[:-1]
+        for j in (before, last.get(frame)):
+            if j is not None:
+                a, common = blocks[j].path, 0
+                for x, y in zip(a, b.path, strict=False):
+                    if x != y:
+                        break
+                    common += 1
+                if common:
+                    edges.append((j, i, common / max(len(a), len(b.path))))
+        before = last[frame] = i
+    return edges
+
+
 def label(blocks: list[Block]) -> list[bool]:
     """True for content: the side of the source in a minimum cut.
 
-    The source's capacity to a block is the cost of dropping it, the block's capacity to the sink that of keeping
-    it. Neighbours in page order are joined by an edge whose capacity grows with the share of their paths in common.
+    The source's capacity to a block is the cost of dropping it, the block's capacity to the sink that of keeping it;
+    ``smoothness`` gives the edges between blocks.
     """
-    if not blocks:
-        return []
     has_main = any(b.good and not b.bad for b in blocks)
     # Without an article the text under no such name counts if it is at least half; else the name is on the page's frame.
     sizes = [(b.doubt, len(b.text) - b.linked) for b in blocks if not b.bad]
     free, whole = sum(n for doubt, n in sizes if not doubt), sum(n for _, n in sizes)
     clean = any(b.good and not b.bad and not b.doubt for b in blocks) if has_main else 2 * free >= whole
-    n, s, t = len(blocks), len(blocks), len(blocks) + 1
-    edges: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    given = [costs(b, has_main, clean) for b in blocks]
+    return minimum_cut([keep - drop for keep, drop in given], smoothness(blocks))
 
-    def join(u: int, v: int, there: float, back: float) -> None:
-        edges[u][v] = edges[u].get(v, 0.0) + there
-        edges[v][u] = edges[v].get(u, 0.0) + back
 
-    for i, b in enumerate(blocks):
-        keep, drop = costs(b, has_main, clean)
-        # Flow straight through a block needs no search.
-        through = min(keep, drop)
-        if keep > through:
-            join(s, i, keep - through, 0.0)
-        if drop > through:
-            join(i, t, drop - through, 0.0)
-        if i:
-            a = blocks[i - 1]
-            if a.bad or b.bad:
-                continue  # both sides are decided apart
-            common = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            near = common / max(len(a.path), len(b.path), 1)
-            join(i - 1, i, 2.0 * near, 2.0 * near)
+def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source's side of a minimum cut: ``gain`` is each node's capacity from the source, below 0 to the sink.
+
+    A node that its own capacity decides, whatever its neighbours do, is settled first, and its edges pass into its
+    neighbours' capacities; most of a page goes this way. What is left is cut by blocking flows on shortest
+    paths. Ties go to the source.
+    """
+    n = len(gain)
+    gain, out = list(gain), [True] * n
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for u, v, c in edges:
+        near[u][v] = near[u].get(v, 0.0) + c
+        near[v][u] = near[v].get(u, 0.0) + c
+    hold = [sum(e.values()) for e in near]
+    open_, todo = [True] * n, list(range(n))
+    while todo:
+        u = todo.pop()
+        if not open_[u] or abs(gain[u]) < hold[u] - 1e-9 or (abs(gain[u]) <= hold[u] + 1e-9 and hold[u] > 0):
+            continue
+        open_[u], out[u] = False, gain[u] >= 0
+        for v, c in near[u].items():
+            if open_[v]:
+                gain[v] += c if out[u] else -c
+                hold[v] -= c
+                todo.append(v)
+    rest = [u for u in range(n) if open_[u]]
+    at = {u: i for i, u in enumerate(rest)}
+    s, t = len(rest), len(rest) + 1
+    head: list[list[int]] = [[] for _ in range(t + 1)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def arc(u: int, v: int, there: float, back: float) -> None:
+        head[u].append(len(to))
+        head[v].append(len(to) + 1)
+        to.extend((v, u))
+        room.extend((there, back))
+
+    for u in rest:
+        if gain[u] > 0:
+            arc(s, at[u], gain[u], 0.0)
+        elif gain[u] < 0:
+            arc(at[u], t, -gain[u], 0.0)
+        for v, c in near[u].items():
+            if open_[v] and u < v:
+                arc(at[u], at[v], c, c)
     while True:
-        came = {s: s}
-        queue = deque([s])
-        while queue and t not in came:
+        depth = [-1] * (t + 1)
+        depth[s], queue = 0, deque([s])
+        while queue:
             u = queue.popleft()
-            for v, c in edges[u].items():
-                if c > 1e-12 and v not in came:
-                    came[v] = u
-                    queue.append(v)
-        if t not in came:
+            for e in head[u]:
+                if room[e] > 1e-12 and depth[to[e]] < 0:
+                    depth[to[e]] = depth[u] + 1
+                    queue.append(to[e])
+        if depth[t] < 0:
             break
-        push, v = INFINITE * 2, t
-        while v != s:
-            push, v = min(push, edges[came[v]][v]), came[v]
-        v = t
-        while v != s:
-            edges[came[v]][v] -= push
-            edges[v][came[v]] = edges[v].get(came[v], 0.0) + push
-            v = came[v]
-    # Ties go to content: what can still reach the sink is boilerplate.
-    back = {t}
-    queue = deque([t])
+        seen, path, u = [0] * (t + 1), [], s
+        while True:
+            if u == t:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                first = next(i for i, e in enumerate(path) if room[e] <= 1e-12)
+                u = to[path[first] ^ 1]
+                del path[first:]
+            while seen[u] < len(head[u]):
+                e = head[u][seen[u]]
+                if room[e] > 1e-12 and depth[to[e]] == depth[u] + 1:
+                    break
+                seen[u] += 1
+            if seen[u] < len(head[u]):
+                path.append(head[u][seen[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                seen[u] += 1
+            else:
+                break
+    # What can still reach the sink is boilerplate.
+    back, queue = {t}, deque([t])
     while queue:
         v = queue.popleft()
-        for u in list(edges[v]):
-            if u not in back and edges[u].get(v, 0.0) > 1e-12:
-                back.add(u)
-                queue.append(u)
-    return [i not in back for i in range(n)]
+        for e in head[v]:
+            if room[e ^ 1] > 1e-12 and to[e] not in back:
+                back.add(to[e])
+                queue.append(to[e])
+    for u in rest:
+        out[u] = at[u] not in back
+    return out
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
