@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,27 +11,34 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from offergrid.shared import erase, shared_dir
 
+_open: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dirs[app]
 
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    A result that is read later stays until the cluster clears its folder; within ``scratch``, only with ``keep``.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables ``written`` within are deleted at its end: for steps whose outcome is itself written with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            erase(spark, path)
+
+
 def bucketed(df: DataFrame, name: str, part: str, key: str, n: int) -> DataFrame:
     """Write ``df`` as a table in the shared folder, in folders by ``part`` and bucketed by ``key``.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offergrid.llm.common import batched, mix, powers, slices, text_buffer, word_hashes, written
+from offergrid.llm.common import batched, mix, powers, scratch, slices, text_buffer, word_hashes, written
 from offergrid.llm.components import connected_components
 
 PERMUTATIONS, BAND_ROWS = 64, 4
@@ -165,7 +165,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.where("n_shingles > 0 and doc is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n"))
     first = sets.agg(F.min(F.struct("doc", "text_key", "bands", "sig")).alias("r"))
     nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "n", F.col("r.doc").alias("doc"), F.col("r.text_key").alias("text_key"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "nodes")
-    comps = _classes(base, nodes, words, percent)
+    with scratch(docs.sparkSession):
+        comps = _classes(base, nodes, words, percent)
+        comps = None if comps is None else written(comps, "classes", keep=True)
     rows = F.struct("doc", "text_key")
     if comps is None:
         classes = nodes.select("set_a", "set_b", "n", rows.alias("least"))
