@@ -118,8 +118,28 @@ def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str
     the others keep to their weights, so every row is placed exactly once and none is dropped or repeated.
 
     Adds block (in the source), release, deadline and slot (of the endless schedule) and place (row in the slot).
-    Sources without a weight get the smallest one; repeated rows take a place each; an empty table gives none.
+    Sources that ``weights`` doesn't name get its smallest weight above 0. A weight of 0 means none: such rows stay, with
+    nulls for all of these. A weight below 0 is an error. Repeated rows take a place each; an empty table gives none; other
+    columns pass through, but for those named like an added one, which it replaces.
     """
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("a weight below 0")
+    # Within, columns go by numbers, so that no name of docs meets one of these steps.
+    added = ["block", "release", "deadline", "slot", "place"]
+    names = [c for c in docs.columns if c not in added]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = lambda c: f"c{names.index(c)}"
+    none = F.lit(False)
+    for s in [s for s, w in weights.items() if w == 0]:
+        none = none | F.col(at(source_col)).eqNullSafe(F.lit(s))
+    given = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    out = _placed(inner.where(~none), weights, at(id_col), at(source_col), block_rows, [at(c) for c in tie or []]).select(*given, *added)
+    if any(w == 0 for w in weights.values()):
+        out = out.unionByName(inner.where(none).select(*given, *[F.lit(None).cast("int" if c == "place" else "long").alias(c) for c in added]))
+    return out
+
+
+def _placed(docs: DataFrame, weights: dict, id_col: str, source_col: str, block_rows: int, tie: list[str]) -> DataFrame:
     spark = docs.sparkSession
     found = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -131,7 +151,7 @@ def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str
     kind = docs.schema[source_col].dataType.simpleString()
     plan = spark.range(0, 1, 1, 1).mapInArrow(_scheduled(shares, blocks), "_s long, _k long, _slot long, _release long, _deadline long")
     numbers = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(found)], f"_name {kind}, _number long")
-    ranked = scalable_rank(docs, [source_col], F.xxhash64(F.col(id_col), F.lit("mix")), [F.col(id_col), *[F.col(c) for c in tie or []]], "_rank")
+    ranked = scalable_rank(docs, [source_col], F.xxhash64(F.col(id_col), F.lit("mix")), [F.col(id_col), *[F.col(c) for c in tie]], "_rank")
     numbered = ranked.join(F.broadcast(numbers), F.col(source_col).eqNullSafe(F.col("_name"))).withColumn("_block", F.expr(f"_rank div {block_rows}"))
     # A task's output has no known size, and the schedule grows with the rows: it must not be broadcast.
     placed = numbered.join(plan.hint("merge"), (F.col("_number") == F.col("_s")) & (F.col("_block") == F.col("_k")))
