@@ -59,11 +59,15 @@ def shard(docs: DataFrame, key: Column, tie: list[Column], shards: int = 24, vno
     room. So counts differ by at most one, and most rows stay where plain consistent hashing puts them. In each
     arc rows are ranked by hash in ranges (no arc is one window), and only the counts of the shards x vnodes
     arcs come to the driver. Null keys hash like any value; repeated rows take a slot each; an empty table gives
-    no rows; all columns of ``docs`` pass through (names that begin with an underscore are reserved).
+    no rows; all columns of ``docs`` pass through, but for those named like an added one, which it replaces.
     """
     spark = docs.sparkSession
     ring = ring_slots(spark, shards, vnodes)
-    hashed = docs.withColumn("_slot", F.pmod(F.xxhash64(key, F.lit("ring")), F.lit(RING)))
+    # Within, columns go by numbers, so that no name of docs meets one of these steps.
+    names = [c for c in docs.columns if c not in ("shard", "slot", "home_shard")]
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key.alias("_key"), *[t.alias(f"_tie{i}") for i, t in enumerate(tie)])
+    key, tie = F.col("_key"), [F.col(f"_tie{i}") for i in range(len(tie))]
+    hashed = inner.withColumn("_slot", F.pmod(F.xxhash64(key, F.lit("ring")), F.lit(RING)))
     on_ring = hashed.join(F.broadcast(ring.select(F.col("slot").alias("_slot"), F.col("arc").alias("_arc"), F.col("owner").alias("_owner"))), "_slot").drop("_slot")
     ranked = written(scalable_rank(on_ring, ["_arc"], F.xxhash64(key, *tie), [key, *tie], "_rank", subs=8), "ring")
     counts = {r["_arc"]: r["n"] for r in ranked.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -73,4 +77,4 @@ def shard(docs: DataFrame, key: Column, tie: list[Column], shards: int = 24, vno
     plan = place([counts.get(a, 0) for a in range(len(owner))], owner, [n // shards + (s < n % shards) for s in range(shards)])
     table = spark.createDataFrame(plan, "_arc int, _from long, _to long, _shard int, _first long")
     joined = ranked.join(F.broadcast(table), "_arc").where("_rank >= _from and _rank < _to")
-    return joined.select(*docs.columns, F.col("_shard").alias("shard"), (F.col("_rank") - F.col("_from") + F.col("_first")).alias("slot"), F.col("_owner").alias("home_shard"))
+    return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("_shard").alias("shard"), (F.col("_rank") - F.col("_from") + F.col("_first")).alias("slot"), F.col("_owner").alias("home_shard"))
