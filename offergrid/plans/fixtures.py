@@ -78,12 +78,14 @@ class Tables:
 
         c = self.capture.join(small(self.locations.select("pincode", "city")), "pincode").join(self.catalog.select("asin", "item_name"), "asin")
         money = c.withColumn("p", F.format_number("price", 4)).withColumn("m", F.format_number("mrp", 4)).withColumn("w", F.format_number(F.floor("price"), 0)).withColumn("n", F.format_number("l_suppkey", 0)).withColumn("r", F.format_number("l_orderkey", 0)).withColumn("dot", F.when(F.col("l_linenumber") % 2 == 0, ".").otherwise(""))
+        key = F.expr("cast(substr(asin, 2) as bigint)") * 1000 + F.col("pincode").cast("bigint") - 110001
+        # Narrow rows are dealt out again before pages are made of them: the work begins here, and rows look too few to Spark.
+        money = money.withColumn("page_id", key).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
         part = lambda choice: F.coalesce(*[F.when(F.expr(choice) == i, filled(text)) for i, text in enumerate(PARTS[choice])])
         filled = lambda text: F.format_string(re.sub(r"\{\w+\}", "%s", text.replace("%", "%%")), *[F.col(x) for x in re.findall(r"\{(\w+)\}", text)])
         frame = ["<html><head><title>", F.when(F.expr("l_orderkey % 97 = 0"), "Robot Check").otherwise(F.col("item_name")), "</title></head><body>", *[part(c) for c in PARTS], '<input id="asin" value="', F.col("asin"), '"><button>Add to Cart</button></body></html>']
         html = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in frame])
-        key = (F.expr("cast(substr(asin, 2) as bigint)") * 1000 + F.col("pincode").cast("bigint") - 110001).alias("page_id")
-        return money.select(key, X.product_url(F.col("asin")).alias("url"), html.alias("html"), "asin", "pincode", "city", "captured_at")
+        return money.select("page_id", X.product_url(F.col("asin")).alias("url"), html.alias("html"), "asin", "pincode", "city", "captured_at")
 
 
 #: The template: for each choice of a row, what its page holds. Some parts are there to be passed over.
