@@ -102,7 +102,7 @@ def neighbour_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table. Of the table only a number or two for each range come to the driver.
 
     Returns id, text, next_id, edited, fp, edited_fp, next_fp, near_edited, near_next. Null texts count as empty;
-    null ids come last; repeated rows succeed each other; a single row succeeds itself; an empty table gives none.
+    ids are integers, null ids come last; repeated rows succeed each other; a single row succeeds itself; an empty table gives none.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     n, unnamed = base.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()

@@ -231,7 +231,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes make the same round, and the answers mark the words to remove. Nothing is paired.
 
     Returns id, text_key (xxhash64 of the text), n_words, spans (removed ranges of words, end excluded) and kept_text
-    (kept words joined by one space). Null and empty texts have no words; null ids stay null; repeated rows repeat each other and lose all
+    (kept words joined by one space). Null and empty texts have no words; ids are integers, null ids stay null (and -2**63 counts as null); repeated rows repeat each other and lose all
     windows; texts shorter than a window keep all; an empty table gives no rows; other columns are ignored.
     """
     if window < PERIOD:

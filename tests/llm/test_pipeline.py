@@ -1,14 +1,19 @@
 """Each stage of the pipeline on its own input, against what the operators' definitions say of it."""
 
+import base64
 import hashlib
 import math
 import re
 from fractions import Fraction
 
+import public_tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from test_ops import classes_of
 
 import corpus_pipeline as P
-from offergrid.llm import near_dedup, toxicity
+from offergrid.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,8 +44,30 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 
 def test_one_of_each_class_stays(stages):
-    classes = {r["doc"]: r["component_id"] for r in near_dedup.near_duplicates(stages[1]).collect()}
-    assert {r["doc_id"] for r in stages[2].collect()} == set(classes.values())
+    """By brute force over all pairs of the stage's own input."""
+    classes = classes_of([(r["doc_id"], r["text"]) for r in stages[1].collect()])
+    assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted({i for (i, _), c in classes.items() if i == c})
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (5, b), (7, None), (7, None), (8, ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, a), (5, b), (9, c), (7, None), (8, ""), (None, a), (None, None)], key=str)
+    cut = P.cut_repeats(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, cut), key=str) == sorted([(i, t if t in (None, "", c) else "") for i, t in rows], key=str)
+
+
+def test_tokens_are_the_library_s(spark, stages):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(x): int(n) for x, n in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in stages[4].collect():
+        own = enc.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in stages[5].collect()} == want
 
 
 def test_no_repeated_window_is_left_of_the_input(stages):
@@ -87,8 +114,6 @@ def _schedule(rows, id_hash, block_rows=16):
 
 
 def test_the_output_stands_in_the_mixture(spark, stages):
-    from pyspark.sql import functions as F
-
     hashes = {r["doc_id"]: r["h"] for r in stages[3].select("doc_id", F.xxhash64("doc_id", F.lit("mix")).alias("h")).collect()}
     want = _schedule([(r["doc_id"], r["text"], r["source"]) for r in stages[3].collect()], hashes)
     got = [(r["doc_id"], r["slot"], r["place"]) for r in stages[5].collect()]
