@@ -166,4 +166,31 @@ SELECT part, o AS filter_order, CAST(step AS INT) AS step, CAST(sum(CASE WHEN NO
   CAST(sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
   CAST(sum(CASE WHEN fails THEN n * 120 // n_fails ELSE 0 END) AS BIGINT) AS shapley
 FROM s GROUP BY ALL""",
+    # The CRC goes bit by bit; the search folds the rows with the best (cost, edits) of each of the four grammar states.
+    "op13_structure_repair": r"""
+WITH g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))) AS crc FROM conversations),
+h AS (SELECT *, xor(crc, 4294967295) % 20 AS kind FROM g),
+x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, lag(role[1]) OVER w || role[1] AS pair FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
+c AS (SELECT conv_id, list({i: i, r: role, t: text, x: role[1], k: CASE WHEN fault IN (1, 2) THEN 1000000 WHEN fault = 3 THEN 5 ELSE 0 END} ORDER BY i) AS rs, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+v AS (SELECT conv_id, rs, list_reduce(list_prepend({x: '', k: 0, b: [{c: 0, p: ''}, {c: 900000000, p: ''}, {c: 5, p: 'I'}, {c: 10, p: 'II'}]}, list_transform(rs, lambda r: {x: r.x, k: r.k, b: [{c: 0, p: ''}]})),
+  lambda s, r: list_transform([list_transform([[
+      {c: s.b[1].c + 2, p: s.b[1].p || 'D'},
+      list_sort([{c: s.b[2].c + 2, p: s.b[2].p || 'D'}, {c: CASE WHEN r.x = 's' THEN s.b[1].c + r.k ELSE 900000000 END, p: s.b[1].p || 'K'}])[1],
+      list_sort([{c: s.b[3].c + 2, p: s.b[3].p || 'D'}] || flatten(list_transform([s.b[1], s.b[2], s.b[4]], lambda q: [{c: q.c + r.k + 1, p: q.p || 'R'}, {c: CASE WHEN r.x = 'u' THEN q.c + r.k ELSE 900000000 END, p: q.p || 'K'}])))[1],
+      list_sort([{c: s.b[4].c + 2, p: s.b[4].p || 'D'}, {c: s.b[3].c + r.k + 1, p: s.b[3].p || 'R'}, {c: CASE WHEN r.x = 'a' THEN s.b[3].c + r.k ELSE 900000000 END, p: s.b[3].p || 'K'}])[1]]],
+    lambda n: [n[1], n[2], list_sort([n[3]] || list_transform([n[1], n[2], n[4]], lambda q: {c: q.c + 5, p: q.p || 'I'}))[1], n[4]])[1]],
+    lambda n: {x: '', k: 0, b: [n[1], n[2], n[3], list_sort([n[4], {c: n[3].c + 5, p: n[3].p || 'I'}])[1]]})[1]).b AS b FROM c),
+e AS (SELECT conv_id, rs, list_sort([b[1], b[4]])[1] AS z FROM v),
+u AS (SELECT conv_id, j, z.p[j] AS edit, rs[length(replace(z.p[1:j], 'I', ''))] AS row, length(replace(z.p[1:j], 'D', '')) AS m FROM (SELECT *, unnest(range(1, length(z.p) + 1)) AS j FROM e)),
+y AS (SELECT *, first_value(edit = 'K' AND row.x = 's') OVER (PARTITION BY conv_id ORDER BY edit = 'D', j) AS led FROM u),
+a AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN row.r WHEN (m - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE row.t END, chr(10) ORDER BY j)) AS sha FROM y WHERE edit <> 'D' GROUP BY conv_id)
+SELECT d.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  CAST(coalesce(e.z.c, 0) AS BIGINT) AS cost, coalesce(e.z.p, '') AS audit, coalesce(a.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }

@@ -32,7 +32,7 @@ def sha(text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, twin = run(spark, name), con.sql(queries.ORACLE[name])
     cols = sorted(df.columns)
