@@ -224,7 +224,7 @@ def work_grid(t):
 
 @query(f"SELECT g.* FROM ({_GRID}) g LEFT JOIN capture c ON g.asin = c.asin AND g.pincode = c.pincode WHERE c.asin IS NULL")
 def todo_grid(t):
-    return grid.todo_grid(grid.work_grid(t.catalog, t.locations), t.capture)
+    return grid.todo_grid(t.catalog, t.locations, t.capture)
 
 
 @query("SELECT * FROM catalog WHERE asin IN (SELECT asin FROM capture WHERE status <> 'OK')")
@@ -313,7 +313,7 @@ def tail_n(t):
 
 @query("SELECT DISTINCT asin, pincode FROM attempts")
 def done_set(t):
-    return grid.done_set(t.attempts)
+    return grid.done_set(t.attempts, t.locations)
 
 
 # Windows and resolutions.
