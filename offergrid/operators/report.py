@@ -62,22 +62,32 @@ def grid_status(grid: DataFrame, offers: DataFrame, pending: str = "Pending") ->
     return grid.select("asin", "pincode").join(cells(offers), ["asin", "pincode"], "left").withColumn("cell", F.coalesce("cell", F.lit(pending)))
 
 
+def product_rows(offers: DataFrame) -> DataFrame:
+    """(asin, the fixed columns of first_ok, cells): one row for each product, ``cells`` a map of location to cell.
+
+    Offers are keyed by product and location; of repeated ones the first cell in order counts.
+    """
+    cell = F.struct("pincode", pivot_cell(F.col("status"), F.col("in_stock"), F.col("delivery_date")).alias("cell"))
+    one = offers.where(F.col("pincode").isNotNull()).groupBy("asin").agg(*_first_aggs("loc_ord"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    apart = F.filter("cells", lambda c, i: (i == 0) | (c["pincode"] != F.get("cells", i - 1)["pincode"]))
+    return one.select("asin", *_first_columns(), F.map_from_entries(apart).alias("cells"))
+
+
 def pivot_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, pending: str = "Pending") -> DataFrame:
     """One row for each catalog row with an offer: the fixed columns and one for each location, ``pending`` if empty.
 
-    The list of locations makes the columns, so it is read first and its length is checked. Offers are read once: one
-    aggregation by product gives the fixed columns and a map of location to cell, from which the columns are taken.
+    Offers are read once: one aggregation by product gives the fixed columns and the cells.
     """
+    return pivot_of_products(catalog, locations, product_rows(offers), pending)
+
+
+def pivot_of_products(catalog: DataFrame, locations: DataFrame, products: DataFrame, pending: str = "Pending") -> DataFrame:
+    """The report of ``product_rows``. The list of locations makes the columns, so it is read first and its length is checked."""
     listed = locations.orderBy("ord").select("pincode", "city").limit(10_001).collect()
     if len(listed) > 10_000:
         raise ValueError("more than 10000 locations: a report can't have so many columns")
     names = {r["pincode"]: f"{r['pincode']} - {r['city']}" for r in listed}
-    cell = F.struct("pincode", pivot_cell(F.col("status"), F.col("in_stock"), F.col("delivery_date")).alias("cell"))
-    one = offers.where(F.col("pincode").isNotNull()).groupBy("asin").agg(*_first_aggs("loc_ord"), F.sort_array(F.collect_list(cell)).alias("cells"))
-    # Offers are keyed by product and location; of repeated ones the first cell in order counts.
-    apart = F.filter("cells", lambda c, i: (i == 0) | (c["pincode"] != F.get("cells", i - 1)["pincode"]))
-    wide = one.select("asin", *_first_columns(), F.map_from_entries(apart).alias("cells"))
-    rows = overlay_catalog(catalog, wide)
+    rows = overlay_catalog(catalog, products)
     return rows.select("ord", *FIXED, *[F.coalesce(F.col("cells")[p], F.lit(pending)).alias(n) for p, n in names.items()])
 
 
@@ -88,20 +98,33 @@ def failed_rows(offers: DataFrame) -> DataFrame:
 
 def summary(offers: DataFrame, ok_only: bool) -> DataFrame:
     """One row of totals, over OK offers alone or over all. Sums are of decimals, so they don't depend on order."""
+    return offers.agg(*summary_sums(ok_only)).select(*summary_columns())
+
+
+def summary_sums(ok_only: bool, weight: Column | None = None) -> list[Column]:
+    """The totals as sums of ``weight`` (1): with -1 for rows that are taken back, a change of the totals."""
+    weight = F.lit(1) if weight is None else weight
     ok = F.col("status") == "OK"
     counted = ok if ok_only else F.lit(True)
     rating = F.when(counted, F.col("rating").try_cast("decimal(18,4)"))
     price = F.when(counted, F.col("price").cast("decimal(18,4)"))
-    return offers.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(ok).alias("success"),
-        F.count_if(~ok).alias("failed"),
-        F.count_if(counted & F.lower(F.coalesce("in_stock", F.lit(""))).startswith("out of stock")).alias("out_of_stock"),
-        F.sum(price).cast("double").alias("price_sum"),
-        F.count(price).alias("price_count"),
-        F.sum(rating).cast("double").alias("rating_sum"),
-        F.count(rating).alias("rating_count"),
-    )
+    n = lambda test: F.coalesce(F.sum(F.when(test, weight)), F.lit(0)).cast("long")
+    return [
+        n(F.lit(True)).alias("total"),
+        n(ok).alias("success"),
+        n(~ok).alias("failed"),
+        n(counted & F.lower(F.coalesce("in_stock", F.lit(""))).startswith("out of stock")).alias("out_of_stock"),
+        F.sum(price * weight).alias("price_sum"),
+        n(price.isNotNull()).alias("price_count"),
+        F.sum(rating * weight).alias("rating_sum"),
+        n(rating.isNotNull()).alias("rating_count"),
+    ]
+
+
+def summary_columns() -> list[Column]:
+    """The totals as shown: sums as doubles, null where nothing was summed."""
+    whole = ["total", "success", "failed", "out_of_stock", "price_count", "rating_count"]
+    return [F.col(c) for c in whole] + [F.when(F.col(f"{c}_count") > 0, F.col(f"{c}_sum").cast("double")).alias(f"{c}_sum") for c in ("price", "rating")]
 
 
 def summary_metrics(totals: DataFrame, catalog: DataFrame, finished: Column, taken: Column) -> DataFrame:

@@ -628,7 +628,23 @@ def stream_upsert_offers(t):
     messages = progress.progress_messages(stream).select("event_id", "ts", "worker", "status", "msg")
     keyed = messages.join(t.read("events").select("event_id", "user_id"), "event_id")
     root = _state(t)
-    return progress.upsert_stream(keyed, f"{root}/table", f"{root}/cursor", ("user_id",), ("ts", "event_id")).select("event_id", "worker", "status")
+    return progress.upsert_stream(keyed, f"{root}/table", f"{root}/cursor", ("user_id",), ("ts", "event_id")).read(keyed.schema).select("event_id", "worker", "status")
+
+
+def _live(t: Tables):
+    root = _state(t)
+    return progress.report_stream(t.as_offers(t.attempt_stream(f"{root}/in")), root, f"{root}/cursor")
+
+
+@query(_pivot_sql().format(cells=_CELLS, aggs=_AGGS))
+def stream_report(t):
+    """The report kept up to date over the batches of a stream."""
+    return _short(_live(t).report(t.catalog, t.locations))
+
+
+@query(_SUM.format(c="true"))
+def stream_summary(t):
+    return _live(t).summary(ok_only=False)
 
 
 @query(f"SELECT event_id, worker, type, status FROM ({_MSG})")
@@ -644,7 +660,7 @@ def sink_incremental(t):
     sink = sinks.IncrementalSink(f"{_state(t)}/flushed")
     for i in range(4):
         sink(t.attempts.where(F.col("l_suppkey") % 4 == i), i)
-    return sink.table(t.spark, t.attempts.schema)
+    return sink.table(t.spark).read(t.attempts.schema)
 
 
 @query("SELECT * EXCLUDE (rn) FROM capture")

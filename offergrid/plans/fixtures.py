@@ -58,10 +58,14 @@ class Tables:
 
     @cached_property
     def offers(self) -> DataFrame:
-        """The capture as offers, with names of the catalog and cities of the locations."""
+        """The capture as offers."""
+        return self.as_offers(self.capture).drop("captured_at", "l_orderkey", "l_linenumber", "l_suppkey")
+
+    def as_offers(self, rows: DataFrame) -> DataFrame:
+        """Attempts as offers, with names of the catalog, cities of the locations and their place in the order of writes."""
         from offergrid.operators.grid import small
 
-        c = self.capture.join(self.catalog.select("asin", F.col("item_name").alias("product_name")), "asin")
+        c = rows.join(self.catalog.select("asin", F.col("item_name").alias("product_name")), "asin")
         c = c.join(small(self.locations.select("pincode", "city", F.col("ord").alias("loc_ord"))), "pincode")
         free = X.is_free_text(F.col("delivery_text"))
         return c.select(
@@ -69,8 +73,14 @@ class Tables:
             X.normalise_stock(F.col("availability_text")).alias("in_stock"), X.delivery_display(F.lit(STANDARD_CHANNEL), F.col("delivery_text"), free).alias("delivery_date"), X.free_flag(free).alias("free_delivery"),
             "seller", F.when(F.col("l_linenumber") == 7, "Not Found").otherwise(F.col("l_linenumber").cast("string")).alias("rating"), F.lit("Not Found").alias("reviews"), F.lit("N/A").alias("bsr"),
             X.product_url(F.col("asin")).alias("product_url"), X.stamp(F.col("captured_at")).alias("scraped_at"), "status", F.when(F.col("status") == "PINCODE_FAILED", "Pincode Failed").otherwise("").alias("failure_reason"),
+            "captured_at", "l_orderkey", "l_linenumber", "l_suppkey",
         )
 
+    def attempt_stream(self, root: str, files: int = 4) -> DataFrame:
+        """The attempts as a stream of several batches: written as files under ``root``, one file a batch."""
+        self.attempts.repartition(files, "l_orderkey").write.parquet(root)
+        return self.spark.readStream.schema(self.attempts.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
     @cached_property
     def product_pages(self) -> DataFrame:
         """Product pages made of the capture by a template that varies by row, so that each selector finds something."""

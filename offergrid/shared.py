@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
@@ -31,3 +33,47 @@ def erase(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote, wherever Spark's own file systems keep it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Names in a folder with their modification times (ms); none if it isn't there."""
+    where, fs = _at(spark, folder)
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(where)} if fs.exists(where) else {}
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    where, fs = _at(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file as a whole, by a rename that doesn't replace; False if there is one already.
+
+    As for the checkpoints of streams, the file system has to rename atomically.
+    """
+    jvm, aside = spark.sparkContext._jvm, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"
+    where, fs = _at(spark, aside)
+    stream = fs.create(where)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    keep = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    keep[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(where, there, keep)
+    except Py4JJavaError:
+        fs.delete(where, False)
+        if fs.exists(there):
+            return False
+        raise
+    return True

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from offergrid.operators.offers import upsert_latest
+from offergrid.operators.offers import WRITE_ORDER
 from offergrid.operators.report import failed_rows, pivot_report, summary
-from offergrid.shared import erase, exists
+from offergrid.sources.keyed_table import KeyedTable
 
 
 def run_id(now: dt.datetime) -> str:
@@ -33,36 +30,28 @@ def sink_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, roo
 
 
 class IncrementalSink:
-    """foreachBatch writer: every micro-batch is merged into a keyed table, of which it rewrites only what it touches.
+    """foreachBatch writer: every micro-batch becomes a commit of a keyed table.
 
-    The table is partitioned by a hash of the key. A batch reads the partitions that its keys fall into, merges, writes
-    the result aside and then replaces just these partitions. The merge keeps the last write of each key, so a batch that
-    comes again after a failure changes nothing. ``report`` is called with the table after every ``every`` batches.
+    ``cadence`` maps a number of results to what is to be done each time that many more have arrived, counted over all
+    batches and restarts: {10: flush, 50: rebuild}. The count is part of the table's versions; that something was done is
+    noted after it, so a crash in between has it done again.
     """
 
-    def __init__(self, root: str, keys: tuple[str, ...] = ("asin", "pincode"), order: tuple[str, ...] = ("captured_at", "l_orderkey", "l_linenumber", "l_suppkey"), parts: int = 16, report: Callable[[DataFrame, int], None] | None = None, every: int = 5):
-        self.root, self.keys, self.order, self.parts, self.report, self.every = root.rstrip("/"), keys, order, parts, report, every
+    def __init__(self, root: str, keys: tuple[str, ...] = ("asin", "pincode"), order: tuple[str, ...] = WRITE_ORDER, writer: str = "", cadence: dict[int, Callable[[KeyedTable], None]] | None = None, **layout):
+        self.root, self.keys, self.order, self.writer, self.cadence, self.layout = root, keys, order, writer, cadence or {}, layout
 
-    def table(self, spark: SparkSession, schema: StructType) -> DataFrame:
-        """The table as it stands; without rows before the first batch, and as left after a restart without new rows."""
-        return self._whole(spark, schema).drop("_part")
-
-    def _whole(self, spark: SparkSession, schema: StructType) -> DataFrame:
-        wide = StructType([*schema.fields, StructField("_part", IntegerType())])
-        if not exists(spark, self.root):
-            return spark.createDataFrame([], wide)
-        return spark.read.schema(wide).parquet(self.root)
+    def table(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.root, self.keys, self.order, **self.layout)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, columns = batch.sparkSession, batch.columns
-        part = F.pmod(F.hash(*self.keys), F.lit(self.parts)).cast("int")
-        aside = f"{self.root}-merged-{uuid.uuid4().hex}"
-        keyed = batch.withColumn("_part", part)
-        touched = keyed.select("_part").distinct()  # at most ``parts`` rows
-        old = self._whole(spark, batch.schema).join(F.broadcast(touched), "_part", "left_semi").select(*columns, "_part")
-        upsert_latest(old.unionByName(keyed), self.keys, self.order).select(*columns, "_part").write.parquet(aside)
-        merged = spark.read.schema(StructType([*batch.schema.fields, StructField("_part", IntegerType())])).parquet(aside)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.root)
-        erase(spark, aside)
-        if self.report and (batch_id + 1) % self.every == 0:
-            self.report(self.table(spark, batch.schema), batch_id)
+        table = self.table(batch.sparkSession)
+        table.commit(batch, self.writer, batch_id)
+        self.catch_up(table)
+
+    def catch_up(self, table: KeyedTable) -> None:
+        """Do what the results so far ask for and is not noted as done."""
+        for n, act in sorted(self.cadence.items()):
+            at = table.snapshot()
+            if at["results"] // n > at["meta"].get(f"done_{n}", 0) // n:
+                act(table)
+                table.note({f"done_{n}": at["results"]})

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offergrid.operators.offers import WRITE_ORDER
 from offergrid.shared import exists
+from offergrid.sources.keyed_table import KeyedTable
 from offergrid.sources.sinks import IncrementalSink
+from offergrid.streaming.live_report import LiveReport
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -50,15 +53,29 @@ def run_complete(stream: DataFrame, root: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(state) if exists(spark, state) else spark.createDataFrame([], stream.schema)
 
 
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...], **more) -> DataFrame:
-    """Merge arriving rows into a keyed table; after a restart the checkpoint tells where to go on.
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...], **more) -> KeyedTable:
+    """Commit arriving rows to a keyed table, a version a batch; after a restart the checkpoint tells where to go on.
 
-    Started again without new rows it returns the table as it stands. ``more`` goes to the sink: parts, report, every.
+    Started again without new rows it returns the table as it stands. ``more`` goes to the sink: its cadence and layout.
     """
-    sink = IncrementalSink(root, keys, order, **more)
+    sink = IncrementalSink(root, keys, order, writer=checkpoint, **more)
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sink.table(stream.sparkSession, stream.schema)
+    table = sink.table(stream.sparkSession)
+    sink.catch_up(table)
+    return table
+
+
+def report_stream(stream: DataFrame, root: str, checkpoint: str, every: int = 50, **more) -> LiveReport:
+    """Offers from a stream into a keyed table under ``root``, and the report of them, rebuilt each ``every`` results.
+
+    What the last results left over is in the report when the stream ends, as after a run.
+    """
+    view = lambda table: LiveReport(stream.sparkSession, table, f"{root}/report")
+    table = upsert_stream(stream, f"{root}/offers", checkpoint, ("asin", "pincode"), WRITE_ORDER, cadence={every: lambda t: view(t).refresh()}, **more)
+    live = view(table)
+    live.refresh()
+    return live
 
 
 def replay(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:

@@ -79,20 +79,18 @@ def test_keyed_table_over_batches_and_restarts(spark, tmp_path, source):
     add, read = source
     add([(1, 3, "c"), (3, 1, "d")])
     add([(1, 2, "late"), (4, 1, None)])
-    reports = []
-    run = lambda: progress.upsert_stream(read(), str(tmp_path / "table"), str(tmp_path / "cursor"), ("k",), ("n",), parts=4, report=lambda df, i: reports.append((i, df.count())), every=3)
+    seen = []
+    run = lambda: progress.upsert_stream(read(), str(tmp_path / "table"), str(tmp_path / "cursor"), ("k",), ("n",), cadence={5: lambda t: seen.append((t.snapshot()["results"], t.read().count()))})
     want = [(1, 3, "c"), (2, 1, "b"), (3, 1, "d"), (4, 1, None)]
-    assert sorted(run().collect(), key=str) == sorted(want, key=str)
-    assert reports == [(2, 4)]
-    assert sorted(run().collect(), key=str) == sorted(want, key=str)  # nothing new: the table as it stands
-    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    assert sorted(run().read().collect(), key=str) == sorted(want, key=str)
+    assert seen == [(6, 4)]  # two results a batch: the fifth came with the third batch
+    assert sorted(run().read().collect(), key=str) == sorted(want, key=str)  # nothing new: the table as it stands
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
     add([(2, 5, "e")])
-    assert (2, 5, "e") in rows_of(run().where("v is not null"))
-    part = spark.range(1).select(F.pmod(F.hash(F.lit(2)), F.lit(4))).first()[0]
-    kept = [p for p in untouched if p.exists()]
-    assert kept and all(f"_part={part}" not in str(p) for p in kept)  # only the partition of the new key was written
-    assert {p.parent for p in kept} == {p.parent for p in untouched if f"_part={part}" not in str(p)}
-    assert not [p for p in tmp_path.iterdir() if "merged" in p.name]
+    assert (2, 5, "e") in rows_of(run().read().where("v is not null"))
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items())  # what was written stays as it was
+    add([(5, 1, "f"), (6, 1, "g"), (7, 1, "h")])
+    assert run().read().count() == 7 and seen == [(6, 4), (10, 7)]
 
 
 def test_state_over_restarts(spark, tmp_path, source):
