@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offergrid.functions.text import delivery_display, delivery_minutes, discount_pct, free_flag, is_free_text, normalise_stock, parse_money, product_url, squash_ws, stamp, whole_plus_fraction
-from offergrid.operators.dom import cascade, matches, read_pages, texts_by
+from offergrid.operators.dom import Channel, cascade, parts_of, read_texts
 from offergrid.operators.offers import classify_page, is_challenge, outcome_of_page
 from offergrid.schemas import DEFAULT_SELLER, FAST_CHANNEL, STANDARD_CHANNEL
 
@@ -55,16 +57,81 @@ KEYWORDS = {
     "standard": ("tomorrow", "today", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "day", "days"),
 }
 NAMES = {"fast": FAST_CHANNEL, "standard": STANDARD_CHANNEL}
+FIELDS = tuple(f for f in SELECTORS if f not in NAMES)
+
 
-def found(pages: DataFrame) -> DataFrame:
-    """Pages with, for each field, the first text of each of its selectors, and the promises that attributes hold.
+@dataclass(frozen=True)
+class Rules:
+    """What is read from a page: selectors by field, delivery channels, and attributes that hold a promise.
 
-    Spark works out only the fields that are used.
+    ``promises`` are (channel, selector, attribute). Fields without selectors find nothing.
     """
-    read = read_pages(pages)
-    promised = F.transform(F.filter("elements", lambda e: matches(PROMISE, e)), lambda e: F.trim(F.element_at(e["attrs"], PROMISE_ATTR)))
-    texts = [texts_by(css).alias(f"{field}_texts") for field, css in SELECTORS.items()]
-    return read.select(*pages.columns, *texts, F.filter(promised, lambda p: p.rlike(r"\p{L}")).alias("promised"))
+
+    fields: tuple[tuple[str, tuple[str, ...]], ...]
+    channels: tuple[Channel, ...]
+    promises: tuple[tuple[str, str, str], ...] = ()
+
+    def selectors(self) -> tuple[str, ...]:
+        return tuple(s for _, own in self.fields for s in own)
+
+    def names(self) -> list[str]:
+        return list(dict.fromkeys([*[c for c, *_ in self.promises], *[c.name for c in self.channels]]))
+
+
+RULES = Rules(tuple((f, tuple(SELECTORS[f])) for f in FIELDS), tuple(Channel(n, tuple(SELECTORS[c]), KEYWORDS[c]) for c, n in NAMES.items()), ((STANDARD_CHANNEL, PROMISE, PROMISE_ATTR),))
+#: Rules as rows: kind is field, channel (a selector of it), word or promise; name the field or channel; seq their order.
+RULE_ROW = "kind string, name string, seq int, value string, attribute string"
+MOST_RULES = 10_000
+
+
+def rules_table(spark: SparkSession, rules: Rules = RULES) -> DataFrame:
+    rows = [("field", f, s, None) for f, own in rules.fields for s in own]
+    rows += [("channel", c.name, s, None) for c in rules.channels for s in c.selectors] + [("word", c.name, w, None) for c in rules.channels for w in c.words]
+    rows += [("promise", *p) for p in rules.promises]
+    return spark.createDataFrame([(kind, name, i, value, attribute) for i, (kind, name, value, attribute) in enumerate(rows)], RULE_ROW)
+
+
+def rules_of(table: DataFrame) -> Rules:
+    """The rules of a table, checked: known kinds and fields, selectors that are understood, words in lower case.
+
+    They go to every task, so there may be at most MOST_RULES; of fields and channels the first seq gives the order.
+    """
+    rows = table.orderBy("seq", "kind", "name", "value").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    by: dict[str, dict[str, list]] = {"field": {}, "channel": {}, "word": {}, "promise": {}}
+    for r in rows:
+        if r["kind"] not in by or not r["value"] or not r["name"]:
+            raise ValueError(f"not a rule: {r}")
+        if r["kind"] == "word":
+            if r["value"] != r["value"].lower():
+                raise ValueError(f"a word in lower case is needed: {r}")
+        else:
+            parts_of(r["value"])
+        if r["kind"] == "field" and r["name"] not in FIELDS:
+            raise ValueError(f"no such field: {r}")
+        if r["kind"] == "promise" and not r["attribute"]:
+            raise ValueError(f"a promise needs an attribute: {r}")
+        by[r["kind"]].setdefault(r["name"], []).append((r["value"], r["attribute"]) if r["kind"] == "promise" else r["value"])
+    if lost := set(by["word"]) - set(by["channel"]):
+        raise ValueError(f"words of channels without selectors: {sorted(lost)}")
+    channels = tuple(Channel(n, tuple(own), tuple(by["word"].get(n, ()))) for n, own in by["channel"].items())
+    return Rules(tuple((f, tuple(own)) for f, own in by["field"].items()), channels, tuple((n, s, a) for n, own in by["promise"].items() for s, a in own))
+
+
+def found(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """Pages with, for each field, the first text of each of its selectors; what channels tell; what attributes promise."""
+    read = read_texts(pages, rules.selectors(), tuple((s, a) for _, s, a in rules.promises), rules.channels)
+    texts, at, own = [], 1, dict(rules.fields)
+    for field in own:
+        texts.append(F.slice("found", at, len(own[field])).alias(f"{field}_texts"))
+        at += len(own[field])
+    texts += [F.array().cast("array<string>").alias(f"{f}_texts") for f in FIELDS if f not in own]
+    told = [F.struct(F.lit(c.name).alias("channel"), squash_ws(F.get("told", F.lit(i))).alias("text")) for i, c in enumerate(rules.channels)]
+    promise = lambda c: lambda p: F.struct(F.lit(c).alias("channel"), F.trim(p).alias("text"))
+    promised = [F.transform(F.get("every", F.lit(i)), promise(c)) for i, (c, _, _) in enumerate(rules.promises)]
+    none = F.array().cast("array<struct<channel: string, text: string>>")
+    return read.select(*pages.columns, *texts, (F.array(*told) if told else none).alias("told"), (F.filter(F.concat(*promised), lambda p: p["text"].rlike(r"\p{L}")) if promised else none).alias("promised"))
 
 
 def text_of(field: str) -> Column:
@@ -99,46 +166,38 @@ def rank_of() -> Column:
     return F.coalesce(ranked, both(F.col("html"), r"#\s*([\d,]+)\s+in\s+([^<\n]{3,60}?)(?:<|\n|&)"), F.lit("N/A"))
 
 
-def told_of(channel: str) -> Column:
-    """The text of the channel's first selector whose first element holds one of its words."""
-    words = "|".join(KEYWORDS[channel])
-    return F.get(F.filter(F.transform(f"{channel}_texts", squash_ws), lambda t: F.lower(t).rlike(words)), F.lit(0))
-
-
 def options_of() -> Column:
     """All promises of a page, in order: from attributes, from the channels' selectors, and from the source where these give none."""
-    item = lambda channel, text, free: F.struct(F.lit(channel).alias("channel"), text.alias("raw_text"), free.alias("is_free"))
+    item = lambda channel, text, free: F.struct(channel.alias("channel"), text.alias("raw_text"), free.alias("is_free"))
     some = lambda items: F.filter(F.array(*items), lambda o: o["raw_text"] != "")
-    attrs = F.transform("promised", lambda p: item(STANDARD_CHANNEL, p, F.lower(p).contains("free")))
-    told = F.transform(F.array(*[F.struct(F.lit(NAMES[c]).alias("c"), told_of(c).alias("t")) for c in NAMES]), lambda o: item("", o["t"], is_free_text(o["t"])).withField("channel", o["c"]))
+    attrs = F.transform("promised", lambda p: item(p["channel"], p["text"], F.lower(p["text"]).contains("free")))
+    told = F.transform(F.filter("told", lambda t: t["text"].isNotNull()), lambda t: item(t["channel"], t["text"], is_free_text(t["text"])))
     fast = F.trim(F.regexp_extract("html", r'(?i)(FREE delivery in \d+ minutes[^"<]{0,60})', 1))
     slow = F.trim(F.regexp_extract("html", r'(?i)((?:Tomorrow|Today|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[^"<\n]{0,50})', 1))
-    source = some([item(FAST_CHANNEL, fast, F.lit(True)), item(STANDARD_CHANNEL, slow, F.lower(slow).contains("free"))])
-    both = F.concat(attrs, F.filter(told, lambda o: o["raw_text"].isNotNull()))
-    return F.transform(F.array(both), lambda b: F.when(F.size(b) > 0, b).otherwise(source))[0]
+    source = some([item(F.lit(FAST_CHANNEL), fast, F.lit(True)), item(F.lit(STANDARD_CHANNEL), slow, F.lower(slow).contains("free"))])
+    return F.transform(F.array(F.concat(attrs, told)), lambda b: F.when(F.size(b) > 0, b).otherwise(source))[0]
 
 
-def rule_match(pages: DataFrame) -> DataFrame:
+def rule_match(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
     """(page_id, channel, raw_text): for each channel the first selector whose first element holds one of its words."""
-    told = F.array(*[F.struct(F.lit(NAMES[c]).alias("channel"), told_of(c).alias("raw_text")) for c in NAMES])
-    return found(pages).select("page_id", F.inline(told)).where("raw_text is not null")
+    return found(pages, rules).select("page_id", F.inline("told").alias("channel", "raw_text")).where("raw_text is not null")
 
 
-def delivery_options(pages: DataFrame, as_of: Column) -> DataFrame:
+def delivery_options(pages: DataFrame, as_of: Column, rules: Rules = RULES) -> DataFrame:
     """(page_id, seq, channel, raw_text, is_free, sort_minutes, display_text): all promises of each page, as found."""
-    rows = found(pages).select("page_id", F.posexplode(options_of()).alias("seq", "o")).select("page_id", "seq", "o.*")
+    rows = found(pages, rules).select("page_id", F.posexplode(options_of()).alias("seq", "o")).select("page_id", "seq", "o.*")
     return rows.withColumn("sort_minutes", delivery_minutes(F.col("raw_text"), as_of)).withColumn("display_text", delivery_display(F.col("channel"), F.col("raw_text"), F.col("is_free")))
 
 
-def with_earliest(rows: DataFrame, as_of: Column) -> DataFrame:
+def with_earliest(rows: DataFrame, as_of: Column, rules: Rules = RULES) -> DataFrame:
     """``rows`` of ``found`` with ``best``, a page's earliest promise; only the first promise of a channel counts."""
     out, bests = rows.withColumn("options", options_of()), []
     of = lambda name: lambda x: x["channel"] == name
-    for name in (STANDARD_CHANNEL, FAST_CHANNEL):
+    for i, name in enumerate(dict.fromkeys([*rules.names(), STANDARD_CHANNEL, FAST_CHANNEL])):
         at = F.array_position(F.transform("options", lambda x: x["channel"]), F.lit(name))
-        out = out.withColumn(f"first_{name}", F.get(F.filter("options", of(name)), F.lit(0))).withColumn(f"at_{name}", at)
-        o = F.col(f"first_{name}")
-        item = F.struct(delivery_minutes(o["raw_text"], as_of).alias("sort_minutes"), F.col(f"at_{name}").alias("seq"), delivery_display(o["channel"], o["raw_text"], o["is_free"]).alias("display_text"), o["is_free"].alias("is_free"))
+        out = out.withColumn(f"first_{i}", F.get(F.filter("options", of(name)), F.lit(0))).withColumn(f"at_{i}", at)
+        o = F.col(f"first_{i}")
+        item = F.struct(delivery_minutes(o["raw_text"], as_of).alias("sort_minutes"), F.col(f"at_{i}").alias("seq"), delivery_display(o["channel"], o["raw_text"], o["is_free"]).alias("display_text"), o["is_free"].alias("is_free"))
         bests.append(F.when(o.isNotNull(), item))
     return out.select(*rows.columns, F.array_min(F.array_compact(F.array(*bests))).alias("best"))
 
@@ -152,9 +211,9 @@ def reviews_of(text: Column) -> Column:
     return F.when(F.coalesce(run, F.lit("")) == "", "Not Found").otherwise(F.replace(run, F.lit(","), F.lit("")))
 
 
-def build_offer(pages: DataFrame, as_of: Column) -> DataFrame:
+def build_offer(pages: DataFrame, as_of: Column, rules: Rules = RULES) -> DataFrame:
     """One offer for each page (page_id, url, html, asin, pincode, city, captured_at); no join and no shuffle."""
-    wide = with_earliest(found(pages), as_of).withColumn("price", price_of()).withColumn("mrp", mrp_of())
+    wide = with_earliest(found(pages, rules), as_of, rules).withColumn("price", price_of()).withColumn("mrp", mrp_of())
     state = F.when(is_challenge(F.col("url"), F.coalesce(text_of("title"), F.lit("")), F.col("html")), "CAPTCHA").otherwise(classify_page(F.col("url"), F.col("html"), F.col("asin")))
     status, reason = outcome_of_page(F.col("state"))
     wide = wide.withColumn("state", state).withColumn("status", status).withColumn("failure_reason", reason)

@@ -60,6 +60,15 @@ def scan_catalog(t):
     return lines.scan_catalog(part_lines(t))
 
 
+@query(_with(_LINES, "SELECT CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS BIGINT) AS place, file, 'B' || lpad(CAST(line_no AS VARCHAR), 9, '0') AS asin, category, head OR bad OR blank AS left_out FROM filled").replace("SELECT * FROM (WITH", "SELECT file, place, asin, category FROM (WITH") + " WHERE NOT left_out")
+def scan_catalog_files(t):
+    """The lists as text files, read back in splits; a line's place is counted from 0."""
+    root = f"{_state(t)}/lists"
+    lines.write_lines(part_lines(t), root)
+    read = lines.scan_catalog(lines.read_lines(t.spark, root))
+    return read.select(F.url_decode(F.url_decode(F.regexp_extract("file", "file=([^/]*)", 1))).alias("file"), F.col("line_no").alias("place"), "asin", "category")
+
+
 @query(_with(_LINES, "SELECT file, line_no, 'X' || line_no AS asin FROM filled WHERE bad"))
 def rejects(t):
     return lines.rejects(part_lines(t))
@@ -103,12 +112,23 @@ def location_fallback(t):
     return grid.location_fallback(t.locations.where("ord < 0"), t.locations)
 
 
-@query("SELECT asin, pincode, city, product_name, mrp, price, discount_percent, in_stock, delivery_date, free_delivery, seller, rating, reviews, bsr, product_url, scraped_at, status, failure_reason FROM offers")
+_ORACLE_OFFERS = "SELECT asin, pincode, city, product_name, mrp, price, discount_percent, in_stock, delivery_date, free_delivery, seller, rating, reviews, bsr, product_url, scraped_at, status, failure_reason FROM offers"
+
+
+@query(_ORACLE_OFFERS)
 def scan_offers_json(t):
     names = ["asin", "pincode", "city", "product_name", "mrp", "price", "discount_percent", "in_stock", "delivery_date", "free_delivery", "seller", "rating", "reviews", "bsr", "product_url", "scraped_at", "status", "failure_reason"]
     return json_store.scan_offers_json(json_store.sink_offers_json(t.offers.drop("loc_ord"))).select(*names)
 
 
+@query(_ORACLE_OFFERS)
+def scan_offers_files(t):
+    """The offers as nested files, read back in splits."""
+    root = f"{_state(t)}/nested"
+    json_store.sink_offers_files(t.offers.drop("loc_ord"), root, 4)
+    return json_store.read_offers_json(t.spark, root)
+
+
 @query("SELECT asin, count(*) AS n FROM offers GROUP BY asin")
 def sink_offers_json(t):
     body = json_store.sink_offers_json(t.offers.drop("loc_ord"))
@@ -564,6 +584,18 @@ def rule_match(t):
     return extract.rule_match(t.product_pages).select("page_id", "raw_text", "channel")
 
 
+_HEADING = "trim(regexp_replace(coalesce(nullif(CASE WHEN regexp_matches(lower(h), 'en|qu') THEN h END, ''), CASE WHEN regexp_matches(lower(ti), 'en|qu') THEN ti END), '\\s+', ' ', 'g'))"
+_PLAIN = "replace(replace(replace(regexp_extract(html, '<{t}>(.*?)</{t}>', 1), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, 'Heading' AS channel, {_HEADING} AS raw_text FROM (SELECT page_id, {_PLAIN.format(t='h1')} AS h, {_PLAIN.format(t='title')} AS ti FROM pages) WHERE {_HEADING} IS NOT NULL")
+def rule_table(t):
+    """rule_match by rules of another table: headings that hold certain letters."""
+    rows = [("channel", "Heading", 0, "article h1", None), ("channel", "Heading", 1, "title", None), ("word", "Heading", 2, "en", None), ("word", "Heading", 3, "qu", None)]
+    rules = extract.rules_of(t.spark.createDataFrame(rows, extract.RULE_ROW))
+    return extract.rule_match(t.read("pages"), rules)
+
+
 @query(f"""SELECT page_id, channel, raw_text, {duck_minutes('raw_text')} AS sort_minutes FROM (SELECT {_PID}, {_PAGE['channel']} AS channel, {_PAGE['promise']} AS raw_text FROM capture WHERE ({_PAGE['promise']}) IS NOT NULL
 UNION ALL SELECT {_PID}, 'Standard', 'Today' FROM capture WHERE {_PAGE['d']} = 1 UNION ALL SELECT {_PID}, 'Standard', delivery_text FROM capture WHERE {_PAGE['d']} = 3 AND {_PAGE['told']})""")
 def delivery_options(t):

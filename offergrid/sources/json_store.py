@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offergrid.operators.grid import tail_n
+from offergrid.operators.grid import small, tail_n
 from offergrid.schemas import OFFER_DEFAULTS, OFFER_FIELDS, OFFERS
+from offergrid.sources.lines import before_blocks, read_pieces
 
 RECORD = [f.split()[0] for f in OFFER_FIELDS.split(", ")]
 
@@ -18,6 +19,15 @@ def sink_offers_json(offers: DataFrame) -> DataFrame:
     return nested.select("asin", F.to_json(F.create_map("asin", "m"), {"ignoreNullFields": "false"}).alias("body"))
 
 
+def sink_offers_files(offers: DataFrame, path: str, files: int) -> None:
+    """Offers as nested objects {asin: {pincode: record}}, one a file: products are dealt to ``files`` files by their id."""
+    dealt = sink_offers_json(offers).withColumn("file", F.pmod(F.xxhash64("asin"), F.lit(files)))
+    within = Window.partitionBy("file").orderBy("asin")
+    n, last = F.row_number().over(within), F.lead("asin").over(within).isNull()
+    line = F.concat(F.when(n == 1, "{").otherwise(","), F.expr("substring(body, 2, char_length(body) - 2)"), F.when(last, "}").otherwise(""))
+    dealt.select("file", "asin", line.alias("value")).sortWithinPartitions("file", "asin").drop("asin").write.partitionBy("file").text(path)
+
+
 def scan_offers_json(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Offers of nested objects {asin: {pincode: record}}.
 
@@ -35,6 +45,57 @@ def scan_offers_json(bodies: DataFrame, column: str = "body") -> DataFrame:
     return seen.select(*cols)
 
 
+def read_offers_json(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Offers of files that hold one nested object {asin: {pincode: record}} each, a large file read by many tasks.
+
+    A file is cut at every closing brace; ``product_bodies`` finds which of them end a product. A file that is no such
+    object (cut short, or not JSON) gives no rows; with ``whole`` False its whole products are kept. Of products that
+    stand twice in a file the last counts.
+    """
+    bodies = product_bodies(read_pieces(spark, path, "}"))
+    key = F.json_object_keys("body")
+    sound = F.coalesce(F.from_json("body", "map<string,map<string,string>>").isNotNull() & (F.size(key) == 1), F.lit(False))
+    parsed = bodies.withColumn("key", key[0]).withColumn("sound", sound)
+    if whole:
+        good = parsed.groupBy("file").agg(F.min(F.col("sound") & F.col("ended")).alias("good")).where("good")
+        parsed = parsed.join(small(good.select("file")), "file", "left_semi")
+    return scan_offers_json(parsed.where("sound").groupBy("file", "key").agg(F.max_by("body", "product").alias("body")))
+
+
+def product_bodies(pieces: DataFrame) -> DataFrame:
+    """(file, product, body, ended): an object {asin: {...}} for each product of a nested file, from its pieces.
+
+    Braces inside strings don't count, and whether a piece begins inside a string depends on all quotes before it; how
+    deep it begins, on all braces before it; its product, on all products that ended before it. Each is a running sum,
+    taken within blocks and shifted by the sums of the blocks before. ``body`` is null where what stands before the product
+    is no brace or comma. ``ended``: after the last product the file's object is closed and nothing else follows.
+    """
+    bare = F.regexp_replace("text", r"(?s)\\.", "")  # a cut can't part an escape: it stands before a brace
+    marks = lambda text, mark: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))).cast("long")
+    rows = running(pieces.withColumn("quotes", marks(bare, '"')), "quotes", "quoted")
+    inside = F.col("quoted") % 2 == 1
+    code = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), bare), r'"[^"]*(?:"|$)', "")
+    rows = rows.withColumn("closes", (F.col("cut") & ((F.col("quoted") + F.col("quotes")) % 2 == 0)).cast("long"))
+    rows = rows.withColumn("deeper", marks(code, "{") - F.col("closes")).withColumn("plain", (F.trim(F.regexp_replace(code, r"\s", "")) == "") & (F.col("quotes") == 0))
+    rows = running(rows, "deeper", "depth")
+    rows = rows.withColumn("ends", F.when(F.col("depth") + F.col("deeper") == 1, F.col("closes")).otherwise(0))
+    rows = running(rows, "ends", "product")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "piece", "text"))), lambda p: p["text"])
+    one = rows.groupBy("file", "product").agg(F.array_join(texts, "}").alias("raw"), F.max("ends").alias("whole"), F.sum("closes").alias("closes"), F.max("depth").alias("depth"), F.min("plain").alias("plain"))
+    tail = one.where("whole = 0").select("file", (F.col("plain") & (F.col("closes") == 1) & (F.col("depth") == 1)).alias("ended"))
+    lead = F.when(F.col("product") == 0, r"^\s*\{").otherwise(r"^\s*,")
+    body = F.when(F.regexp_like("raw", lead), F.concat(F.lit("{"), F.regexp_replace("raw", lead, ""), F.lit("}}")))
+    return one.where("whole = 1").select("file", "product", body.alias("body")).join(tail, "file", "left").withColumn("ended", F.coalesce("ended", F.lit(False)))
+
+
+def running(rows: DataFrame, what: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``what`` over all earlier pieces of the file."""
+    starts = before_blocks(rows.groupBy("file", "block").agg(F.sum(what).alias("_before")), "_before")
+    within = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn(name, F.coalesce(F.sum(what).over(within), F.lit(0)))
+    return own.join(starts, ["file", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
 def sink_progress(done: DataFrame, order: tuple[str, ...], stamp: str, keep: int = 10_000) -> DataFrame:
     """One JSON row: how many pairs are done, and the last ``keep`` of them (the file's own bound)."""
     last = tail_n(done, keep, *order)

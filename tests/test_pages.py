@@ -16,21 +16,41 @@ def pages(spark, *bodies):
 
 
 def chosen(spark, selector, body):
-    rows = dom.dom_explode(pages(spark, body)).where(dom.matches(selector)).orderBy("seq").select("text").collect()
-    return [r[0] for r in rows]
+    reader, text = dom._page(body, dom.Selectors([selector]))
+    assert dom.read_texts(pages(spark, body), (selector,)).first()["found"] == [next((text[a : a + n] for a, n, _ in reader.hits.get(0, ())), None)]
+    return [text[a : a + n] for a, n, _ in reader.hits.get(0, ())]
 
 
 def test_elements(spark):
     rows = dom.dom_explode(pages(spark, "<ul id=u><li>a<li>b <b>c</b><p>d<p>e</ul><br><p>f &amp; g</i><div>h", None, "", "plain")).where("page_id = 0").orderBy("seq").collect()
-    assert [(r["tag"], r["parent"], r["ancestors"], r["text"]) for r in rows] == [
-        ("ul", None, [], "ab cde"), ("li", 0, [0], "a"), ("li", 0, [0], "b cde"), ("b", 2, [0, 2], "c"), ("p", 2, [0, 2], "d"), ("p", 2, [0, 2], "e"), ("br", None, [], ""), ("p", None, [], "f & g"), ("div", None, [], "h"),
+    assert [(r["tag"], r["parent"], r["last"], r["text"]) for r in rows] == [
+        ("ul", None, 5, "ab cde"), ("li", 0, 1, "a"), ("li", 0, 5, "b cde"), ("b", 2, 3, "c"), ("p", 2, 4, "d"), ("p", 2, 5, "e"), ("br", None, 6, ""), ("p", None, 7, "f & g"), ("div", None, 8, "h"),
     ]
+    assert [r["path"] for r in rows] == [0, 1, 1, 2, 3, 3, 4, 5, 6]
+    paths = dom.read_elements(pages(spark, "<ul><li><b><li><p>")).first()["paths"]
+    assert [tuple(p) for p in paths] == [(None, "ul"), (0, "li"), (1, "b"), (1, "p")]
     assert rows[0]["attrs"] == {"id": "u"} and rows[0]["id"] == "u"
 
 
 def test_open_tags_do_not_nest_without_end(spark):
-    deepest = dom.dom_explode(pages(spark, "<p>x" * 2000)).agg(F.max(F.size("ancestors")), F.count("*")).first()
-    assert tuple(deepest) == (0, 2000)
+    deepest = dom.dom_explode(pages(spark, "<p>x" * 2000)).agg(F.max(F.col("last") - F.col("seq")), F.count("parent"), F.count("*")).first()
+    assert tuple(deepest) == (0, 0, 2000)
+
+
+def test_deep_pages_in_proportion_to_their_length():
+    import time
+    import tracemalloc
+
+    page = "<div class=a>" * 4000 + "x"
+    tracemalloc.start()
+    reader, _ = dom._page(page, dom.Selectors([".a .a .a b", "#x .a", ".a > .a"]), keep=True)
+    dom._elements([reader.rows])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(reader.rows) == 4000 and reader.rows[0]["last"] == 3999 and peak < 20e6
+    began = time.time()
+    dom._page("<b>" * 40_000 + "</i>" * 40_000 + "<p>", dom.Selectors(["b b u", "b > b"]))
+    assert time.time() - began < 10
 
 
 @pytest.mark.parametrize(
@@ -43,6 +63,11 @@ def test_open_tags_do_not_nest_without_end(spark):
         ("span[data-t]", '<span data-t>yes</span><span data-tt="">no</span><i data-t="1">no</i>', ["yes"]),
         (".x", '<i class="xx x-y">no</i><i class="z x">yes</i>', ["yes"]),
         (".x .x", '<i class="x">no<b class="x">yes</b></i>', ["yes"]),
+        (".x .x .x", '<i class="x"><b class="x">no<u class="x">yes</u></b></i>', ["yes"]),
+        ("#a .x > i b".replace("> i b", "b > i"), '<p id="a"><u class="x"><b><i>yes</i><u><i>no</i></u></b></u></p><b><i>no</i></b>', ["yes"]),
+        ("i>b", '<i><b>one</b><u><b>no</b></u></i><i><b>two</b></i>', ["one", "two"]),
+        ("[data-f='a > b'] span", '<p data-f="a > b"><span>yes</span></p>', ["yes"]),
+        ("b, i".replace(", ", " "), "<b><b><i>yes</i></b></b><i>no</i>", ["yes"]),
     ],
 )
 def test_selectors(spark, selector, body, found):
@@ -50,9 +75,9 @@ def test_selectors(spark, selector, body, found):
 
 
 def test_selectors_that_are_not_understood():
-    for css in ("a:hover", "a > b c", "a + b"):
+    for css in ("a:hover", "a > b c", "a + b", ""):
         with pytest.raises(ValueError, match="selector|last part"):
-            dom.matches(css, F.col("e"))
+            dom.Selectors([css])
 
 
 def test_first_element_counts_even_if_empty(spark):
@@ -113,3 +138,61 @@ def test_delivery_options(spark):
     ]
     best = extract.with_earliest(extract.found(pages(spark, *bodies)), plain_date()).select("page_id", F.col("best").alias("b")).orderBy("page_id").collect()
     assert [r["b"] and r["b"]["display_text"] for r in best] == ["Express – In 20 Minutes, ₹0 (Free)", "Express – 15 Minutes To You (Free)", "Standard – Monday", None]
+
+
+def test_selectors_against_plain_walks():
+    """Random pages: what the index finds is what a walk over all ancestors finds."""
+    import random
+
+    rng = random.Random(1)
+    names = ["#a", ".x", ".y", "i", "b", "[k]", "i.x", "b.x.y"]
+
+    def fits(part, e):
+        return part.fits(e[0], e[1], e[1].get("class", "").split())
+
+    for _ in range(150):
+        css = [" ".join(rng.choice(names) for _ in range(rng.randint(1, 3))) for _ in range(6)] + [rng.choice(names) + " " + rng.choice(names) + " > " + rng.choice(names), rng.choice(names) + " > " + rng.choice(names)]
+        page, stack, want = [], [], {i: [] for i in range(len(css))}
+        for n in range(40):
+            if stack and rng.random() < 0.4:
+                page.append(f"</{stack.pop()[0]}>")
+                continue
+            attrs = {k: v for k, v in (("id", "a"), ("class", rng.choice(["x", "y", "y x", "z"])), ("k", "1")) if rng.random() < 0.4}
+            e = (rng.choice("ib"), attrs, n)
+            page.append(f"<{e[0]}" + "".join(f' {k}="{v}"' for k, v in attrs.items()) + ">")
+            for i, s in enumerate(css):
+                parts, child = dom.parts_of(s)
+                above, need = stack[:], parts[:-1]
+                ok = fits(parts[-1], e)
+                if child:
+                    ok, above, need = ok and bool(stack) and fits(need[-1], stack[-1]), stack[:-1], need[:-1]
+                for part in reversed(need):
+                    while above and not fits(part, above[-1]):
+                        above.pop()
+                    ok = ok and bool(above)
+                    above = above[:-1]
+                if ok:
+                    want[i].append(attrs)
+            stack.append(e)
+        reader, _ = dom._page("".join(page), dom.Selectors(css))
+        assert {i: [h[2] for h in reader.hits.get(i, [])] for i in want} == want, css
+
+
+def test_rules_as_a_table(spark):
+    table = extract.rules_table(spark)
+    assert extract.rules_of(table) == extract.RULES
+    own = spark.createDataFrame(
+        [("channel", "Drone", 0, ".air p", None), ("channel", "Drone", 1, "#sky", None), ("word", "Drone", 2, "wings", None), ("channel", "Boat", 3, "p", None), ("word", "Boat", 4, "sea", None), ("word", "Boat", 5, "wings", None), ("promise", "Post", 6, "i[data-when]", "data-when"), ("field", "name", 7, "h2", None)], extract.RULE_ROW,
+    )
+    rules = extract.rules_of(own)
+    df = pages(spark, '<h2>N</h2><p>by Sea</p><div class="air"><p>no</p><p>wings</p></div><b id="sky">on WINGS</b><i data-when=" in 2 days "></i>', "<p>nothing", None)
+    assert sorted(map(tuple, extract.rule_match(df, rules).collect())) == [(0, "Boat", "by Sea"), (0, "Drone", "on WINGS")]
+    assert sorted((r["channel"], r["raw_text"]) for r in extract.delivery_options(df, plain_date(), rules).collect()) == [("Boat", "by Sea"), ("Drone", "on WINGS"), ("Post", "in 2 days")]
+    best = extract.with_earliest(extract.found(df, rules), plain_date(), rules).select("page_id", "best.display_text", extract.text_of("name").alias("n"), extract.text_of("seller").alias("s")).orderBy("page_id").first()
+    assert tuple(best) == (0, "Post – In 2 Days", "N", None)
+
+
+@pytest.mark.parametrize("row", [("other", "x", 0, "p", None), ("field", "nothing", 0, "p", None), ("field", "name", 0, "p:hover", None), ("word", "x", 0, "w", None), ("promise", "x", 0, "p", None), ("channel", "x", 0, None, None)])
+def test_rules_are_checked(spark, row):
+    with pytest.raises(ValueError, match="rule|field|selector|words|attribute"):
+        extract.rules_of(spark.createDataFrame([row], extract.RULE_ROW))

@@ -1,0 +1,125 @@
+"""Lists and nested JSON files in many splits: the same result as in one."""
+
+import json
+import random
+
+import pytest
+
+from offergrid.sources import json_store, lines
+
+
+@pytest.fixture
+def splits(spark):
+    """Set how many bytes of a file a task reads."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def catalog_text(rng, n):
+    out = []
+    for i in range(n):
+        kind = rng.random()
+        out.append("# " + f"category {i}" if kind < 0.03 else "#" if kind < 0.04 else "" if kind < 0.1 else f"bad{i},x" if kind < 0.15 else f"B{i:09d} , name {i} é,c{i},more # note")
+    return "".join(x + rng.choice(["\n", "\r\n", "\r"]) for x in out)
+
+
+def by_hand(text):
+    category, rows = "", []
+    for i, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n")):
+        line = line.strip()
+        if line.startswith("#"):
+            category = line[1:].strip()
+        elif data := line.split("#")[0].strip():
+            parts = [p.strip() for p in data.split(",")]
+            if len(parts[0]) == 10 and parts[0].startswith("B"):
+                rows.append((i, parts[0], parts[1], parts[2], category))
+    return rows
+
+
+@pytest.mark.parametrize("size", [700, 4096, 1 << 27])
+def test_lists_of_many_splits(spark, tmp_path, splits, size):
+    rng, texts = random.Random(6), {}
+    for name, n in (("a", 1500), ("b", 40), ("c", 0)):
+        texts[name] = catalog_text(rng, n)
+        (tmp_path / name).write_bytes(texts[name].encode())
+    splits(size)
+    read = lines.read_lines(spark, str(tmp_path))
+    for ranges in (1 << 16, 50):
+        filled = lines.category_ffill(read, ranges).collect()
+        assert len({(r["file"], r["line_no"]) for r in filled}) == len(filled)
+    found = {}
+    for r in lines.scan_catalog(read).collect():
+        found.setdefault(r["file"][-1], []).append((r["line_no"], r["asin"], r["item_name"], r["item_code"], r["category"]))
+    assert {k: sorted(v) for k, v in found.items()} == {k: by_hand(t) for k, t in texts.items() if t}
+    if size == 700:
+        pieces = lines.read_pieces(spark, str(tmp_path))
+        assert pieces.where("file like '%a'").select("block").distinct().count() > 10
+
+
+def test_ranges_hand_on_headers(spark):
+    rows = [("f", i, x) for i, x in enumerate(["a", "# one", "b", "c", "d", "e", "#", "f", "g", "# two", "h", "i"])] + [("g", 0, "x"), (None, 5, "# none"), (None, 9, "y")]
+    df = spark.createDataFrame(rows, "file string, line_no int, line string")
+    for n in (1, 2, 3, 100):
+        got = {(r["file"], r["line_no"]): r["category"] for r in lines.category_ffill(df, n).collect()}
+        assert [got["f", i] for i in range(12)] == ["", *["one"] * 5, "", "", "", *["two"] * 3]
+        assert (got["g", 0], got[None, 9]) == ("", "none")
+    assert lines.category_ffill(df.limit(0)).count() == 0
+
+
+def offers(rng, n):
+    text = lambda: rng.choice(["plain", "brace } in { text", 'quote " and \\ slash', "\\\\}", "}}{{", "é ", ""])
+    return {f"B{i:09d}": {f"{110001 + j}": {"product_name": text(), "price": rng.choice([None, 1.5]), "city": text(), "seller": text(), "status": "OK"} for j in range(rng.randint(0, 5))} for i in range(n)}
+
+
+def found(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["asin"], {})[r["pincode"]] = (r["product_name"], r["price"], r["city"], r["seller"], r["status"], r["discount_percent"])
+    return out
+
+
+def want(data):
+    return {a: {p: (r["product_name"], r["price"], r["city"], r["seller"], r["status"], "N/A") for p, r in own.items()} for a, own in data.items() if own}
+
+
+@pytest.mark.parametrize(("size", "indent"), [(900, 2), (900, None), (1 << 27, 2)])
+def test_one_nested_file_of_many_splits(spark, tmp_path, splits, size, indent):
+    data = offers(random.Random(2), 60)
+    (tmp_path / "all.json").write_text(json.dumps(data, indent=indent, ensure_ascii=False) + ("\n" if indent else ""), encoding="utf-8")
+    splits(size)
+    assert found(json_store.read_offers_json(spark, str(tmp_path / "all.json"))) == want(data)
+    if size == 900:
+        assert lines.read_pieces(spark, str(tmp_path), "}").select("block").distinct().count() > 10
+
+
+def test_files_that_are_no_object(spark, tmp_path, splits):
+    data = offers(random.Random(3), 12)
+    good = json.dumps(data, indent=1)
+    files = {
+        "good": good, "again": good[: good.rindex("}")] + ', "B000000003": {"1": {"city": "last"}}}', "cut": good[: len(good) // 2], "last_brace": good[:-1], "last_brace_line": good[:-1] + "\n", "more": good + "x", "two": good + good,
+        "array": f"[{good}]", "scalar": '{"B1": 5, "B2": {"1": {}}}', "no_comma": '{"B1": {"1": {}} "B2": {"1": {}}}', "junk": '{"B1": {"1": {}}, junk "B2": {"1": {}}}', "empty": "", "none": "{}", "text": "no json", "tail": good[: good.rindex("}")] + ', "x"}', "brace": "}" + good,
+    }
+    for name, text in files.items():
+        folder = tmp_path / ("good" if name in ("good", "again") else "bad")
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text(text, encoding="utf-8")
+    splits(400)
+    assert found(json_store.read_offers_json(spark, str(tmp_path / "bad"))) == {}
+    assert found(json_store.read_offers_json(spark, str(tmp_path / "good" / "good"))) == want(data)
+    again = found(json_store.read_offers_json(spark, str(tmp_path / "good" / "again")))
+    assert again == want(data) | {"B000000003": {"1": ("", None, "last", "", "FAILED", "N/A")}}
+    part = found(json_store.read_offers_json(spark, str(tmp_path / "bad" / "cut"), whole=False))
+    assert part and part.items() <= want(data).items()
+
+
+def test_nested_files_round_trip(spark, tmp_path, splits):
+    rows = [(f"B{i % 9}", f"{i}", 'a "}" \\ b', float(i), "OK") for i in range(40)]
+    df = spark.createDataFrame(rows, "asin string, pincode string, city string, price double, status string")
+    full = df.selectExpr("asin", "pincode", *[c if c in df.columns else f"cast(null as string) as {c}" for c in json_store.RECORD])
+    json_store.sink_offers_files(full, str(tmp_path / "out"), files=3)
+    for f in (tmp_path / "out").rglob("*.txt"):
+        assert json.loads(f.read_text(encoding="utf-8"))
+    splits(300)
+    back = json_store.read_offers_json(spark, str(tmp_path / "out"))
+    assert sorted((r["asin"], r["pincode"], r["city"], r["price"], r["status"]) for r in back.collect()) == sorted(rows)
