@@ -13,7 +13,7 @@ from offergrid.operators import dom, extract, grid, offers, report
 from offergrid.plans.fixtures import Tables, as_of, duck, duck_band, duck_cell, duck_days, duck_discount, duck_display, duck_free, duck_minutes, duck_page, duck_stock, duck_title
 from offergrid.shared import shared_dir
 from offergrid.sources import json_store, lines, sinks
-from offergrid.streaming import progress
+from offergrid.streaming import attempts, entry_log, progress
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -681,9 +681,27 @@ def stream_summary(t):
 
 @query(f"SELECT event_id, worker, type, status FROM ({_MSG})")
 def stream_replay(t):
+    """The log of messages, written by two runs from one cursor."""
     root = _state(t)
-    progress.replay(_events(t), f"{root}/log", f"{root}/cursor")
-    return progress.replay(_events(t), f"{root}/log", f"{root}/cursor").select("event_id", "worker", "type", "status")
+    entry_log.log_stream(_events(t), f"{root}/log", f"{root}/cursor", ("ts", "event_id"))
+    return entry_log.log_stream(_events(t), f"{root}/log", f"{root}/cursor", ("ts", "event_id")).read().select("event_id", "worker", "type", "status")
+
+
+@query(f"SELECT entry, event_id, status FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS entry FROM ({_MSG})) WHERE entry >= (SELECT count(*) // 3 FROM events)")
+def stream_replay_from(t):
+    """The log from a third of its entries on."""
+    root = _state(t)
+    log = entry_log.log_stream(_events(t), f"{root}/log", f"{root}/cursor", ("ts", "event_id"), last=True)
+    return log.read(log.entries() // 3).select("entry", "event_id", "status")
+
+
+@query(_RES)
+def stream_attempts(t):
+    """attempt_resolution over a stream of files."""
+    root = _state(t)
+    tries = t.attempt_stream(f"{root}/in", files=2).withColumn("failure_reason", F.expr(_WHY))
+    out = attempts.resolved_table(tries, f"{root}/table", f"{root}/cursor", late="3650 days")
+    return out.read().drop("rev")
 
 
 @query("SELECT * EXCLUDE (rn) FROM capture")

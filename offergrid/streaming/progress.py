@@ -59,7 +59,7 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str
     Started again without new rows it returns the table as it stands. ``more`` goes to the sink: its cadence and layout.
     """
     sink = IncrementalSink(root, keys, order, writer=checkpoint, **more)
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     table = sink.table(stream.sparkSession)
     sink.catch_up(table)
@@ -76,10 +76,3 @@ def report_stream(stream: DataFrame, root: str, checkpoint: str, every: int = 50
     live = view(table)
     live.refresh()
     return live
-
-
-def replay(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Append what has arrived since the cursor in ``checkpoint`` to the log at ``out``; return the whole log."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)

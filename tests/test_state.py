@@ -1,12 +1,14 @@
 """Attempts, running counters, text files, and streams of several batches with restarts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from offergrid.operators import offers
 from offergrid.shared import shared_dir
 from offergrid.sources import lines
-from offergrid.streaming import progress
+from offergrid.streaming import attempts, entry_log, progress
 
 
 @pytest.mark.parametrize(
@@ -102,12 +104,66 @@ def test_state_over_restarts(spark, tmp_path, source):
     assert rows_of(run()) == [(1, 2), (2, 1)]
 
 
-def test_log_goes_on_from_its_cursor(spark, tmp_path, source):
+def test_log_goes_on_from_any_entry(spark, tmp_path, source):
     add, read = source
-    run = lambda: progress.replay(read(), str(tmp_path / "log"), str(tmp_path / "at"))
-    assert run().count() == 2 and run().count() == 2
-    add([(9, 9, "z")])
-    assert rows_of(run())[-1] == (9, 9, "z")
+    run = lambda **more: entry_log.log_stream(read(), str(tmp_path / "log"), str(tmp_path / "at"), ("k",), **more)
+    assert [r["entry"] for r in run().read().orderBy("k").collect()] == [0, 1] and run().entries() == 2
+    add([(9, 9, "z"), (8, 9, "y")])
+    add([(7, 9, "x")])
+    log = run()
+    seen = [tuple(r) for r in log.read().orderBy("entry").collect()]
+    assert [r[-1] for r in seen] == [0, 1, 2, 3, 4] and {r[0] for r in seen[2:]} == {7, 8, 9}
+    for k in range(7):
+        assert [tuple(r) for r in log.read(k).orderBy("entry").collect()] == seen[k:]
+    again = entry_log.EntryLog(spark, str(tmp_path / "log"), ("k",))  # another process
+    assert again.read(3).count() == 2 and not again.ended()
+    assert run(last=True).ended() and again.ended()
+    with pytest.raises(ValueError, match="ended"):
+        again.append(read_all(spark))
+    assert entry_log.EntryLog(spark, str(tmp_path / "none"), ("k",)).read(0, read_all(spark).schema).count() == 0
+
+
+def read_all(spark):
+    return spark.createDataFrame([(1, 1, "q")], "k int, n int, v string")
+
+
+def test_numbers_over_many_tasks(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x"))
+    assert sorted(tuple(r) for r in entry_log.numbered(df, ("x",), 10).collect()) == [(i, i + 10) for i in range(5000)]
+
+
+TRIES = "asin string, pincode string, s int, i int, status string, failure_reason string, seller string, price double"
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_attempts_of_a_stream(spark, tmp_path, shuffled):
+    rng = random.Random(5)
+    kinds = {"O": ("OK", ""), "F": ("FAILED", "x"), "C": ("FAILED", "CAPTCHA"), "N": (None, None)}
+    rows = [(f"a{k}", "p", i, i, *kinds[rng.choice("OFFCCN")], rng.choice([None, f"s{i}"]), rng.choice([None, float(i)])) for k in range(40) for i in range(rng.randint(1, 9))]
+    if shuffled:
+        rng.shuffle(rows)
+    folder, at = str(tmp_path / "in"), F.timestamp_seconds(F.col("s") + 10**9)
+    write = lambda part: spark.createDataFrame(part, TRIES).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: attempts.resolved_table(spark.readStream.schema(TRIES).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", at), str(tmp_path / "t"), str(tmp_path / "c"), order=("at", "i"))
+    third = len(rows) // 3
+    want = lambda n: offers.attempt_resolution(spark.createDataFrame(rows[:n], TRIES), ("i",))
+    write(rows[:third])
+    write(rows[third : 2 * third])
+    assert sorted(map(str, run().read().drop("rev").collect())) == sorted(map(str, want(2 * third).collect()))
+    write(rows[2 * third :])  # after a restart
+    assert sorted(map(str, run().read().drop("rev").collect())) == sorted(map(str, want(len(rows)).collect()))
+
+
+def test_state_of_idle_pairs_is_dropped(spark, tmp_path):
+    folder, at = str(tmp_path / "in"), F.timestamp_seconds(F.col("s") + 10**9)
+    for rows in ([("a", "p", 0, 0, "FAILED", "x", "s", 1.0)], [("b", "p", 10_000, 1, "OK", "", "s", 1.0)], [("c", "p", 10_001, 2, "OK", "", "s", 1.0)]):
+        spark.createDataFrame(rows, TRIES).coalesce(1).write.mode("append").parquet(folder)
+    kept = []
+    out = attempts.attempt_stream(spark.readStream.schema(TRIES).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", at), ("at", "i"), late="1 second", idle_s=60)
+    query = out.writeStream.foreachBatch(lambda df, i: kept.append(df.count())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(kept) == 3
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1] == 2
 
 
 def test_no_temporary_folder_off_local_masters():
