@@ -77,21 +77,46 @@ def resolved(base: Column, to: Column) -> Column:
     )
 
 
+#: Text that holds no tags: comments, and elements whose content is not markup. An end that is missing is the page's.
+RAW = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp|iframe|noembed|noframes|template)(?=[\s/>]).*?(?:</\1(?=[\s/>])|$)"
+#: A tag up to its own ``>``, not one within quotes; of at most 1,000 quoted values, more are no tag of a page.
+TAG = r"""(?is)<(?:link|meta|base)(?=[\s/])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,1000}+>"""
+PAIR = r"""(?s)[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*))?"""
+
+
+def pairs_of(tag: Column) -> Column:
+    """The attributes of a tag as an array of ``name=value`` texts; a name within another one's quotes is none."""
+    return F.regexp_extract_all(F.regexp_replace(tag, r"(?s)^<\w+", ""), F.lit(PAIR), F.lit(0))
+
+
+def value_of(pairs: Column, name: str) -> Column:
+    """The value of the first attribute of this name, without quotes and outer space; null if there is none."""
+    pair = F.get(F.filter(pairs, lambda p: F.lower(p).rlike(rf"^{name}\s*(?:=|$)")), F.lit(0))
+    bare = F.regexp_replace(F.regexp_replace(pair, r"(?s)^[^=]*=?\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?s)^\s+|\s+$", ""), "(?i)&(?:amp|#38|#x26);", "&")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys: each page's canonical link and refresh redirect to another URL.
+    """(src, dst) keys: each page's canonical links (``rel`` holds that word) and refresh redirects to another URL.
 
-    Targets are resolved against the page's first ``<base href>``, itself resolved against the page's url, or that url.
+    Tags in comments, scripts and other raw text are none. Targets are resolved against the page's first ``<base href>``,
+    itself resolved against the page's url, or that url. Each step works on the columns of the one before, and the ends are
+    written before they are filtered, so that no expression is put into another.
     """
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), F.lit(1))
-    unescaped = lambda c: F.regexp_replace(c, "(?i)&amp;", "&")
-    href = unescaped(F.regexp_extract("html", r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    based = F.when(href == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), href), F.col("url")))
-    tag = pages.select("url", "html", F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh"))).alias("tag")).select("url", based.alias("base"), "tag")
-    canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\s.*?rel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\s.*?http-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    to = tag.select("url", "base", unescaped(F.coalesce(canonical, refresh)).alias("to")).where("to <> ''")
-    ends = to.select("url", resolved(F.col("base"), F.col("to")).alias("to"))
-    keys = ends.select(url_key(host_of(F.col("url")), F.col("url")).alias("src"), url_key(host_of(F.col("to")), F.col("to")).alias("dst"))
+    some = pages.where(F.col("html").rlike(r"(?i)<(?:link|meta)[\s/]"))
+    tags = some.select("url", F.regexp_extract_all(F.regexp_replace("html", RAW, " "), F.lit(TAG), F.lit(0)).alias("tags"))
+    first = F.get(F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: value_of(pairs_of(t), "href")), lambda h: h != ""), F.lit(0))
+    tag = tags.select("url", first.alias("given"), F.explode(F.filter("tags", lambda t: t.rlike("(?i)^<(?:link|meta)"))).alias("tag"))
+    named = tag.select("url", "given", F.lower(F.substring("tag", 2, 4)).alias("kind"), pairs_of(F.col("tag")).alias("pairs"))
+    valued = named.select("url", "given", "kind", *[value_of(F.col("pairs"), n).alias(n) for n in ("rel", "href", "http-equiv", "content")])
+    rest = r"""(?is)^[\d.\s]+[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
+    goes = F.concat(*[F.regexp_extract("content", rest, i) for i in (1, 2, 3)])
+    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    to = F.when(canonical, F.col("href")).when((F.col("kind") == "meta") & (F.lower("http-equiv") == "refresh"), F.trim(goes))
+    based = valued.select("url", F.when(F.col("given").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("given")), F.col("url"))).alias("base"), to.alias("to"))
+    ends = based.select("url", F.when(F.col("to") != "", resolved(F.col("base"), F.col("to"))).alias("to"))
+    hosts = ends.select("url", "to", host_of(F.col("url")).alias("from_host"), host_of(F.col("to")).alias("to_host"))
+    keys = written(hosts.select(url_key(F.col("from_host"), F.col("url")).alias("src"), url_key(F.col("to_host"), F.col("to")).alias("dst")), "ends")
     return keys.where("src is not null and dst is not null and src <> dst").distinct()
 
 
