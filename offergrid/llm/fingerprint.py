@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offergrid.llm.common import buckets_of
+
 #: Each lane of the equality part is a sum modulo 2**60; each lane of the likeness part holds two sums of up to 2**30.
 EQUAL_LANES, BITS_EACH, FIELD = 8, 6, 30
 LANES = EQUAL_LANES + 4 * BITS_EACH
@@ -83,30 +87,37 @@ def _last_line(text: Column) -> tuple[Column, Column]:
     return before, F.when(newlines > 0, F.char_length(before) + 2).otherwise(1)
 
 
+def _numbers(values: list[int | None]) -> Column:
+    """An array of constants as one literal, so that a plan doesn't grow by an expression for each."""
+    return F.from_json(F.lit(json.dumps(values)), "array<long>")
+
+
 def _rank_in(cuts: list[int], value: Column) -> Column:
     """How many of the sorted ``cuts`` are below ``value``, by halving."""
     steps = max(1, len(cuts).bit_length())
-    padded = F.array(*[F.lit(c) for c in cuts])
+    padded = _numbers(cuts)
     return F.aggregate(F.array(*[F.lit(1 << b) for b in range(steps - 1, -1, -1)]), F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) < value, step).otherwise(0))
 
 
-def neighbour_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000) -> DataFrame:
+def neighbour_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000, most_ranges: int | None = None) -> DataFrame:
     """Fingerprint every text and the text edited from its successor's start.
 
     The successor of a row is the next one by descending id (ties by the text's hash, then the text; after the last row
     the first). The edited text has its last floor(n/2) code points replaced by the successor's first as many. Its
     fingerprint is not made anew: that of the lines before the edit stays, and only the rest is added to it.
 
-    Rows are dealt into ranges of the id of about ``rows`` rows (from approximate quantiles) and rows without an id into
-    ranges of their hash, and the first rows of a range are copied into the one before it, so that no window spans the
-    table. Of the table only a number or two for each range come to the driver.
+    Rows are dealt into ranges of the id (from approximate quantiles) and rows without an id into ranges of their hash, and
+    the first rows of a range are copied into the one before it, so that no window spans the table. A range has about
+    ``rows`` rows, or more where there would be over ``most_ranges`` of them (by default 8 for each shuffle partition): how
+    many there are follows the cluster, not the rows. Of the table only two numbers for each range come to the driver.
 
     Returns id, text, next_id, edited, fp, edited_fp, next_fp, near_edited, near_next. Null texts count as empty;
     ids are integers, null ids come last; repeated rows succeed each other; a single row succeeds itself; an empty table gives none.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     n, unnamed = base.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
-    ranges, hashed = max(1, (n - unnamed) // rows), max(1, unnamed // rows)
+    most = most_ranges or 8 * buckets_of(docs.sparkSession)
+    ranges, hashed = min(most, max(1, (n - unnamed) // rows)), min(most, max(1, unnamed // rows))
     cuts = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
@@ -121,7 +132,7 @@ def neighbour_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = {p: i for i, p in enumerate(order)}
     low, high = (order[-1], order[0]) if order else (0, 0)
     spots = [p in at and (order[at[p] - 1], *tops[p]) for p in range(low, high + 1)]
-    pick = lambda i: F.get(F.array(*[F.lit(s[i] if s else None).cast("long") for s in spots]), F.col("part") - low)
+    pick = lambda i: F.get(_numbers([s[i] if s else None for s in spots]), F.col("part") - low)
     leads = F.when(F.col("id").isNull(), F.col("key") == pick(2)).otherwise(F.col("id") == pick(1))
     half = F.expr("cast(char_length(text) div 2 as int)")
     kept = F.expr("left(text, char_length(text) - cast(char_length(text) div 2 as int))")
