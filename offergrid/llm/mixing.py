@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -12,41 +13,7 @@ from pyspark.sql import functions as F
 
 from offergrid.llm.common import scalable_rank
 
-PERIOD, MOST_SOURCES = 1000, 20_000
-
-
-def whole_shares(weights: dict, period: int = PERIOD) -> dict:
-    """Blocks of each source in a period (at least one each): largest remainders, summing to the period."""
-    if not weights:
-        return {}
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: 1 + (period - len(weights)) * w / total for s, w in weights.items()}
-    shares = {s: int(x) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (shares[s] - exact[s], str(s)))
-    for s in order[: period - sum(shares.values())]:
-        shares[s] += 1
-    return shares
-
-
-def pfair_period(shares: dict) -> list[tuple[object, int, int, int, int]]:
-    """(source, k, slot, release, deadline) of every block in one period, by earliest deadline first.
-
-    Block k of a source with share c of the period P is released at floor(k P / c) and due at ceil((k + 1) P / c).
-    In each slot the released block with the earliest deadline goes; every deadline is met, so after t slots each
-    source has within one block of t c / P. The next period repeats the slots.
-    """
-    period = sum(shares.values())
-    waiting = sorted(((k * period) // c, -(-(k + 1) * period // c), str(s), k, s) for s, c in shares.items() for k in range(c))
-    out, ready, at = [], [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, name, k, s = waiting[at]
-            heapq.heappush(ready, (deadline, name, k, release, s))
-            at += 1
-        deadline, _, k, release, s = heapq.heappop(ready)
-        out.append((s, k, slot, release, deadline))
-    return out
+MOST_SOURCES = 20_000
 
 
 def tempered_weights(docs: DataFrame, alpha: float = 0.5, source_col: str = "source") -> dict:
@@ -101,12 +68,11 @@ def _scheduled(weights: list[int], blocks: list[int], rows: int = 20_000):
     return run
 
 
-def tempered_weights(docs: DataFrame, alpha: float = 0.5, source_col: str = "source") -> dict:
-    """Target weights: each source's share of all rows to the power ``alpha``. The number of sources is checked."""
-    rows = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    return {r[0]: r["n"] ** alpha for r in rows}
+def checked_weights(weights: dict) -> None:
+    """Raise a ValueError that names the source for weights that no schedule can follow."""
+    for s, w in weights.items():
+        if isinstance(w, bool) or not isinstance(w, int | float) or not math.isfinite(w) or w < 0:
+            raise ValueError(f"the weight of {s!r} is {w!r}: finite numbers from 0 on are weights")
 
 
 def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, tie: list[str] | None = None) -> DataFrame:
@@ -119,11 +85,11 @@ def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str
 
     Adds block (in the source), release, deadline and slot (of the endless schedule) and place (row in the slot).
     Sources that ``weights`` doesn't name get its smallest weight above 0. A weight of 0 means none: such rows stay, with
-    nulls for all of these. A weight below 0 is an error. Repeated rows take a place each; an empty table gives none; other
+    nulls for all of these. Weights that are below 0, infinite or no number are errors, and so are weights so far
+    apart that a slot of a source's last block would not fit 64 bits; both are told before any row moves. Repeated rows take a place each; an empty table gives none; other
     columns pass through, but for those named like an added one, which it replaces.
     """
-    if any(w < 0 for w in weights.values()):
-        raise ValueError("a weight below 0")
+    checked_weights(weights)
     # Within, columns go by numbers, so that no name of docs meets one of these steps.
     added = ["block", "release", "deadline", "slot", "place"]
     names = [c for c in docs.columns if c not in added]
@@ -148,6 +114,8 @@ def _placed(docs: DataFrame, weights: dict, id_col: str, source_col: str, block_
     low = min((w for w in weights.values() if w > 0), default=1.0)
     shares = whole_weights([max(weights.get(s, low), low) for s, _ in found])
     blocks = [-(-n // block_rows) for _, n in found]
+    if any(-(-n * sum(shares) // w) >= 1 << 63 for n, w in zip(blocks, shares, strict=True)):
+        raise ValueError("weights too far apart: a slot of the schedule would not fit 64 bits")
     kind = docs.schema[source_col].dataType.simpleString()
     plan = spark.range(0, 1, 1, 1).mapInArrow(_scheduled(shares, blocks), "_s long, _k long, _slot long, _release long, _deadline long")
     numbers = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(found)], f"_name {kind}, _number long")
