@@ -101,6 +101,9 @@ def summary(offers: DataFrame, ok_only: bool) -> DataFrame:
     return offers.agg(*summary_sums(ok_only)).select(*summary_columns())
 
 
+SUMS = ("total", "success", "failed", "out_of_stock", "price_sum", "price_count", "rating_sum", "rating_count")
+
+
 def summary_sums(ok_only: bool, weight: Column | None = None) -> list[Column]:
     """The totals as sums of ``weight`` (1): with -1 for rows that are taken back, a change of the totals."""
     weight = F.lit(1) if weight is None else weight
@@ -109,16 +112,9 @@ def summary_sums(ok_only: bool, weight: Column | None = None) -> list[Column]:
     rating = F.when(counted, F.col("rating").try_cast("decimal(18,4)"))
     price = F.when(counted, F.col("price").cast("decimal(18,4)"))
     n = lambda test: F.coalesce(F.sum(F.when(test, weight)), F.lit(0)).cast("long")
-    return [
-        n(F.lit(True)).alias("total"),
-        n(ok).alias("success"),
-        n(~ok).alias("failed"),
-        n(counted & F.lower(F.coalesce("in_stock", F.lit(""))).startswith("out of stock")).alias("out_of_stock"),
-        F.sum(price * weight).alias("price_sum"),
-        n(price.isNotNull()).alias("price_count"),
-        F.sum(rating * weight).alias("rating_sum"),
-        n(rating.isNotNull()).alias("rating_count"),
-    ]
+    stock = counted & F.lower(F.coalesce("in_stock", F.lit(""))).startswith("out of stock")
+    sums = [n(F.lit(True)), n(ok), n(~ok), n(stock), F.sum(price * weight), n(price.isNotNull()), F.sum(rating * weight), n(rating.isNotNull())]
+    return [s.alias(name) for name, s in zip(SUMS, sums, strict=True)]
 
 
 def summary_columns() -> list[Column]:

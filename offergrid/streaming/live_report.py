@@ -40,11 +40,12 @@ class LiveReport:
         after = self.offers.read(version=now, only=touched)
         before = self.offers.read(after.schema, version=seen, only=touched) if seen else after.limit(0)
         both = after.withColumn("_w", F.lit(1)).unionByName(before.withColumn("_w", F.lit(-1)))
-        totals = {}
-        for name, ok_only in (("ok", True), ("all", False)):
-            old = self.products.snapshot()["meta"].get(name, {})
-            change = both.agg(*report.summary_sums(ok_only, F.col("_w"))).first()
-            totals[name] = {c: old.get(c, 0) + change[c] for c in _COUNTS} | {c: str(Decimal(old.get(c, "0")) + (change[c] or 0)) for c in _SUMS}
+        names = {"ok": True, "all": False}
+        sums = [s.alias(f"{name}_{c}") for name, ok_only in names.items() for c, s in zip(report.SUMS, report.summary_sums(ok_only, F.col("_w")), strict=True)]
+        change, held, totals = both.agg(*sums).first(), self.products.snapshot()["meta"], {}
+        for name in names:
+            old = held.get(name, {})
+            totals[name] = {c: old.get(c, 0) + change[f"{name}_{c}"] for c in _COUNTS} | {c: str(Decimal(old.get(c, "0")) + (change[f"{name}_{c}"] or 0)) for c in _SUMS}
         rows = report.product_rows(after).withColumn("shows", F.lit(now))
         self.products.commit(rows, "refresh", now, totals | {"shows": now})
         return now

@@ -170,10 +170,10 @@ def test_report_after_each_batch(spark, tmp_path):
     offers = KeyedTable(spark, str(tmp_path / "offers"), order=("n",), fanout=3, part_rows=6)
     live = LiveReport(spark, offers, str(tmp_path / "view"))
     assert rows_of(live.summary(True)) == [(0, 0, 0, 0, 0, 0, None, None)] and live.refresh() == 0
-    for b in range(6):
+    for b in range(4):
         batch = [offer(rng, f"B{rng.randint(0, 11)}", rng.randint(0, 3), 100 * b + i) for i in range(rng.choice([1, 5, 12]))]
         offers.commit(spark.createDataFrame(batch, OFFER), "w", b)
-        if b == 2:
+        if b == 1:
             continue  # the view may be behind by some batches
         live.refresh()
         whole = offers.read()
