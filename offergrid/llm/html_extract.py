@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,12 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ENDS = {**{t: ("p",) for t in BLOCKS - {"body", "html"}}, "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "option": ("option",)}
 BARRIER = frozenset("ul ol dl table div article section body main aside nav footer header form".split())
 
-BAD_TAGS = frozenset("nav footer header aside form menu button dialog fieldset label".split())
-BAD_WORDS = frozenset("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget footer header masthead comment comments disqus reply replies respond cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer skip search form tags teaser".split())
+BAD_TAGS = frozenset("nav footer header aside menu button dialog fieldset label".split())
+#: Within a line of text a label is a part of it, and so is a button that stands after other text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption summary".split())
+#: Words that tell of what readers wrote: no word of content beside them, and no length, speaks for such a text.
+READERS = frozenset("comment comments disqus discussion discussions reply replies respond".split())
+BAD_WORDS = READERS | frozenset("adslot adsense adsbygoogle dfp gpt outbrain taboola revcontent mgid ad ads advert advertisement adverts advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget footer header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer skip search form tags teaser".split())
 GOOD_TAGS = frozenset("article main".split())
 GOOD_WORDS = frozenset("article content entry post story body main text".split())
 #: A class that begins so tells of a page's layout, not of what the element is.
@@ -35,19 +40,29 @@ INFINITE = 1e9
 DOUBT, SLIGHT, LONG = 8.0, 1.0, 80
 
 
+class Frame:
+    """An open block element: what is above it is one shared link, so that deep pages take no more room than long ones."""
+
+    __slots__ = ("depth", "up")
+
+    def __init__(self, up: Frame | None = None):
+        self.up, self.depth = up, up.depth + 1 if up else 1
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "bad", "good", "tag", "doubt")
+    __slots__ = ("bad", "doubt", "form", "frame", "good", "linked", "tag", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], bad: bool, good: bool, tag: str, doubt: bool = False):
-        self.text, self.linked, self.path, self.bad, self.good, self.tag, self.doubt = text, linked, path, bad, good, tag, doubt
+    def __init__(self, text: str, linked: int, frame: Frame, bad: bool, good: bool, tag: str, doubt: int = 0, form: bool = False):
+        self.text, self.linked, self.frame, self.bad, self.good, self.tag, self.doubt, self.form = text, linked, frame, bad, good, tag, doubt, form
 
 
-def named(attrs: str) -> tuple[bool, bool, bool]:
-    """(hidden, called boilerplate, called content) by the attributes of a tag.
+def named(attrs: str) -> tuple[bool, int, bool]:
+    """(hidden, called boilerplate: 1, or 2 for readers' comments, called content) by the attributes of a tag.
 
-    A name such as post-comments tells of boilerplate; beside a name that only tells of content it doesn't count.
+    A name such as post-share tells of boilerplate; beside a name that only tells of content it doesn't count, unless it
+    tells of readers' comments.
     """
-    hidden = doubt = good = False
+    hidden = doubt = good = readers = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
@@ -58,26 +73,39 @@ def named(attrs: str) -> tuple[bool, bool, bool]:
                 if words and words[0] in LAYOUT_WORDS:
                     continue
                 if not BAD_WORDS.isdisjoint(words):
-                    doubt = True
+                    doubt, readers = True, readers or not READERS.isdisjoint(words)
                 elif not GOOD_WORDS.isdisjoint(words):
                     good = True
-    return hidden, doubt and not good, good
+    return hidden, 2 if readers else int(doubt and not good), good and not readers
+
+
+class _Open(NamedTuple):
+    """An open element; the flags hold for all below it."""
+
+    tag: str
+    frame: Frame
+    block: bool
+    bad: bool
+    good: bool
+    doubt: int
+    form: bool
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, with the path of open elements above each."""
+    """The text blocks of a page in order, each with the innermost block element around it."""
     out: list[Block] = []
-    # Tag, number, under a boilerplate element, under an article, under a name of boilerplate.
-    stack: list[tuple[str, int, bool, bool, bool]] = []
+    outside = _Open("", Frame(), True, False, False, 0, False)
+    stack: list[_Open] = []
+    tops: list[_Open] = []
+    tags: Counter = Counter()
     parts: list[str] = []
-    state = {"linked": 0, "number": 0, "at": None}
+    state = {"linked": 0, "at": None}
 
     def flush() -> None:
         if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text and state["at"] is not None:
-                own = state["at"]
-                out.append(Block(text, min(state["linked"], len(text)), tuple(s[1] for s in own), own[-1][2], own[-1][3], own[-1][0], own[-1][4]))
+            text, own = " ".join(html_lib.unescape("".join(parts)).split()), state["at"]
+            if text and own is not None:
+                out.append(Block(text, min(state["linked"], len(text)), own.frame, own.bad, own.good, own.tag, own.doubt, own.form))
             parts.clear()
         state["linked"], state["at"] = 0, None
 
@@ -85,19 +113,29 @@ def blocks_of(page: str) -> list[Block]:
         if state["at"] is None:
             if not text.strip():
                 return
-            state["at"] = [s for s in stack if s[0] in BLOCKS or s[0] in BAD_TAGS] or [("", 0, False, False, False)]
+            state["at"] = tops[-1] if tops else outside
         parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if tags["a"]:
             state["linked"] += len(text.strip())
 
+    def cut(i: int) -> None:
+        """The elements from ``i`` on are closed."""
+        for x in stack[i:]:
+            tags[x.tag] -= 1
+            if x.block:
+                tops.pop()
+        del stack[i:]
+
     def close(tag: str) -> None:
+        if not tags[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if any(s[0] in BLOCKS or s[0] in BAD_TAGS for s in stack[i:]):
+            if stack[i].tag == tag:
+                if any(x.block for x in stack[i:]):
                     flush()
-                del stack[i:]
+                cut(i)
                 return
-            if tag not in BLOCKS and stack[i][0] in BARRIER:
+            if tag not in BLOCKS and stack[i].tag in BARRIER:
                 return
 
     at = 0
@@ -128,25 +166,29 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             add(" ") if state["at"] is not None else None
             continue
-        block = tag in BLOCKS or tag in BAD_TAGS
+        within = tag in ("label", "button") and bool(tops) and tops[-1].tag in LINES and (tag == "label" or state["at"] is not None)
+        block = (tag in BLOCKS or tag in BAD_TAGS) and not within
         if block:
             flush()
         for ended in ENDS.get(tag, ()):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == ended:
-                    del stack[i:]
+            for i in range(len(stack) - 1, -1, -1) if tags[ended] else ():
+                if stack[i].tag == ended:
+                    cut(i)
                     break
-                if stack[i][0] in BARRIER:
+                if stack[i].tag in BARRIER:
                     break
         if tag in VOID or attrs.rstrip().endswith("/") and not block:
             continue
-        state["number"] += 1
-        hidden, doubt, praised = named(attrs) if attrs else (False, False, False)
+        hidden, doubt, praised = named(attrs) if attrs else (False, 0, False)
         if tag in ("body", "html"):
-            doubt = praised = False
-        under = stack[-1] if stack else ("", 0, False, False, False)
-        bad = under[2] or tag in BAD_TAGS and not (tag == "header" and under[3]) or hidden
-        stack.append((tag, state["number"], bad, under[3] or tag in GOOD_TAGS or praised, under[4] or doubt))
+            doubt, praised = 0, False
+        under, frame = stack[-1] if stack else outside, tops[-1].frame if tops else None
+        bad = under.bad or tag in BAD_TAGS and not within and not (tag == "header" and under.good) or hidden
+        new = _Open(tag, Frame(frame) if block else frame or outside.frame, block, bad, under.good or tag in GOOD_TAGS or praised, max(under.doubt, doubt), under.form or tag == "form")
+        stack.append(new)
+        tags[tag] += 1
+        if block:
+            tops.append(new)
     flush()
     return out
 
@@ -170,7 +212,7 @@ def costs(block: Block, has_main: bool, clean: bool = True) -> tuple[float, floa
     if density > 0.6:
         drop += 3.0
     if block.doubt:
-        drop += (DOUBT if clean or has_main and not block.good else SLIGHT) * (LONG / max(LONG, n) if density < 0.2 else 1.0)
+        drop += (DOUBT if clean or has_main and not block.good else SLIGHT) * (LONG / max(LONG, n) if density < 0.2 and block.doubt == 1 else 1.0)
     if block.tag in ("h1", "h2", "h3", "p", "blockquote", "pre"):
         keep += 0.5
     if re.match(r"\s*(?:©|copyright\b|all rights reserved)", block.text, re.I):
@@ -178,10 +220,20 @@ def costs(block: Block, has_main: bool, clean: bool = True) -> tuple[float, floa
     return keep, drop
 
 
+def shared(a: Frame | None, b: Frame | None) -> int:
+    """How many elements two frames have in common: up from the deeper one until they meet."""
+    while a is not b:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a.depth if a else 0
+
+
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """(block, block, capacity): each block with the one before it, and with the last one before it in the same element.
 
-    Either edge grows with the share of the two paths in common, so neighbours in one element hold on to each other
+    Either edge grows with the share of the elements above them that they have in common, so neighbours in one element hold on to each other
     twice, and paragraphs of one element hold on to each other across what stands between them. Blocks that the markup
     decides take no part.
     """
@@ -189,16 +241,10 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         if b.bad:
             continue
-        frame = b.path[:-1]
+        frame = b.frame.up
         for j in (before, last.get(frame)):
-            if j is not None:
-                a, common = blocks[j].path, 0
-                for x, y in zip(a, b.path, strict=False):
-                    if x != y:
-                        break
-                    common += 1
-                if common:
-                    edges.append((j, i, common / max(len(a), len(b.path))))
+            if j is not None and (common := shared(blocks[j].frame, b.frame)):
+                edges.append((j, i, common / max(blocks[j].frame.depth, b.frame.depth)))
         before = last[frame] = i
     return edges
 
@@ -207,8 +253,13 @@ def label(blocks: list[Block]) -> list[bool]:
     """True for content: the side of the source in a minimum cut.
 
     The source's capacity to a block is the cost of dropping it, the block's capacity to the sink that of keeping it;
-    ``smoothness`` gives the edges between blocks.
+    ``smoothness`` gives the edges between blocks. What stands in a form is boilerplate, unless it is more than all the rest:
+    some pages are one form as a whole.
     """
+    plain = [(b.form, len(b.text) - b.linked) for b in blocks if not b.bad]
+    if sum(n for form, n in plain if form) <= sum(n for form, n in plain if not form):
+        for b in blocks:
+            b.bad = b.bad or b.form
     has_main = any(b.good and not b.bad for b in blocks)
     # Without an article the text under no such name counts if it is at least half; else the name is on the page's frame.
     sizes = [(b.doubt, len(b.text) - b.linked) for b in blocks if not b.bad]
