@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from offergrid.llm.common import written
 
 BITS = 32
+#: Dense cells up to this many are broadcast (16 bytes each).
+SMALL_CELLS = 1_000_000
 
 
 def planes(dim: int, trees: int, sample: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -179,11 +181,30 @@ def _calibrated(points: DataFrame, trial: DataFrame, found: DataFrame, forest, k
     return float(limits[min(len(limits) - 1, math.ceil(recall * len(limits)) - 1)])
 
 
+def dense_cells(leaves: DataFrame, finer: int, cell: int) -> DataFrame:
+    """(tree, cell, salts): the cells of over twice ``cell`` entries, and how many parts of about ``cell`` each is dealt into.
+
+    Vectors that lie close together share all bits of a string, so no longer prefix would part them.
+    """
+    held = leaves.groupBy("tree", F.expr(f"shiftright(leaf, {finer})").alias("cell")).agg(F.sum("n").alias("held"))
+    dense = written(held.where(F.col("held") > 2 * cell).select("tree", "cell", F.expr(f"cast(ceil(held / {cell}) as int)").alias("salts")), "dense")
+    return F.broadcast(dense) if dense.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS else dense
+
+
+def _placed(entries: DataFrame, dense: DataFrame, shallow: int) -> DataFrame:
+    """Entries with their cell, and the part of it where it is dense: any part may hold any of its vectors.
+
+    A query of a dense cell goes to all parts, each of which gives its own best, so nothing is lost.
+    """
+    at = entries.withColumn("cell", F.shiftright("hash", BITS - shallow)).join(dense, ["tree", "cell"], "left")
+    return at.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 12, recall: float = 0.95, leaf: int = 32, cell: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 5000, trials: int = 300) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest vectors found for every row that ``is_query`` marks.
 
     Every vector has a string of 32 hyperplane sides in each of ``trees`` trees. A tree is a sorted array of these
-    strings, dealt out in cells by their first bits. All trees descend to the longest prefix of the query and ascend
+    strings, dealt out in cells by their first bits, dense cells in parts. All trees descend to the longest prefix of the query and ascend
     together, one bit at a time, until the runs that share the prefix hold enough entries over all trees. How many is
     measured: about ``trials`` of the queries at most are compared with all vectors, and searches read what these need for
     ``recall``. Clustered vectors need about a hundredth of all; vectors without any clusters need about half.
@@ -233,8 +254,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 12, re
     by = F.least(F.col("level"), F.lit(shallow))
     tops = cells.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.lit(shallow))).alias("by")).withColumn("top", F.expr(f"shiftright(cell, {shallow} - by)"))
     routed = ready.withColumn("by", by).withColumn("top", F.expr(f"shiftright(hash, {BITS} - by)")).join(tops, ["tree", "by", "top"]).select("tree", "cell", "query", "embedding", "hash", "level")
-    placed = points.mapInArrow(_entries(shared), "tree int, hash long, vec_id long, code binary").withColumn("cell", F.shiftright("hash", BITS - shallow))
-    near = placed.groupBy("tree", "cell").cogroup(routed.groupBy("tree", "cell")).applyInArrow(_search_cell(k + 1), "query long, vec_id long, low double, high double")
+    dense = dense_cells(leaves, deep - shallow, cell)
+    placed = _placed(points.mapInArrow(_entries(shared), "tree int, hash long, vec_id long, code binary"), dense, shallow)
+    routed = routed.join(dense, ["tree", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    near = placed.groupBy("tree", "cell", "salt").cogroup(routed.groupBy("tree", "cell", "salt")).applyInArrow(_search_cell(k + 1), "query long, vec_id long, low double, high double")
     best = near.groupBy("query", "vec_id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
     ordered = Window.partitionBy("query").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     best = best.withColumn("_cut", F.nth_value("low", k + 1).over(ordered)).where("_cut is null or high >= _cut").select("query", "vec_id")
