@@ -72,7 +72,7 @@ def checked_weights(weights: dict) -> None:
     """Raise a ValueError that names the source for weights that no schedule can follow."""
     for s, w in weights.items():
         if isinstance(w, bool) or not isinstance(w, int | float) or not math.isfinite(w) or w < 0:
-            raise ValueError(f"the weight of {s!r} is {w!r}: finite numbers from 0 on are weights")
+            raise ValueError(f"the weight of {s!r} is {w!r}: weights are finite numbers, none a weight below 0")
 
 
 def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, tie: list[str] | None = None) -> DataFrame:
