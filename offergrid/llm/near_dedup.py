@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,10 @@ from offergrid.llm.components import connected_components
 
 PERMUTATIONS, BAND_ROWS = 64, 4
 BAND = 1.05  # set sizes are dealt into bands of this ratio
+MEETS = 2000  # a node whose offered shingles meet more offers than this is crowded: long bands find its partners
+MISS = 1e-5  # how likely long bands may miss a pair that links
 _MULT = powers(0x9E3779B97F4A7C15, 2 * PERMUTATIONS + 2)[2:]  # odd multipliers permute the 64-bit hashes
+_LONG = 0xD1342543DE82EF95  # powers of this one permute for the long bands
 _SIG = "doc long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
 
 
@@ -41,25 +46,28 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(count)])
 
 
-def signatures(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, offs: np.ndarray, mult: np.ndarray = _MULT[:PERMUTATIONS]) -> tuple[np.ndarray, np.ndarray]:
     """(minima, maxima) of each nonempty set under each permutation: two values for one hash evaluation."""
     rows = np.flatnonzero(np.diff(offs))
-    low, high = np.zeros((len(rows), PERMUTATIONS), np.uint64), np.zeros((len(rows), PERMUTATIONS), np.uint64)
+    low, high = np.zeros((len(rows), len(mult)), np.uint64), np.zeros((len(rows), len(mult)), np.uint64)
     if len(rows):
         at = offs[:-1][rows]
-        for p in range(PERMUTATIONS):
-            x = sets * _MULT[p]
+        for p, m in enumerate(mult):
+            x = sets * m
             low[:, p] = np.minimum.reduceat(x, at)
             high[:, p] = np.maximum.reduceat(x, at)
     return low, high
 
 
-def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Bands of four values, each from another permutation: two minima with two maxima, and the rest."""
-    keys = []
-    for b in range(0, PERMUTATIONS, BAND_ROWS):
-        for pair in ((low, low, high, high), (high, high, low, low)):
-            key = np.full(len(low), len(keys) + 1, np.uint64)
+def band_keys(low: np.ndarray, high: np.ndarray, rows: int = BAND_ROWS, before: int = 0) -> np.ndarray:
+    """Bands of ``rows`` values, each from another permutation: half of them minima, half maxima, and the rest.
+
+    The first band is number ``before``.
+    """
+    keys, half = [], rows // 2
+    for b in range(0, low.shape[1], rows):
+        for pair in ((low,) * half + (high,) * half, (high,) * half + (low,) * half):
+            key = np.full(len(low), before + len(keys) + 1, np.uint64)
             for j, side in enumerate(pair):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + side[:, b + j])
             keys.append(key)
@@ -107,6 +115,33 @@ def _tokens(words: int):
     return run
 
 
+def long_bands(nodes: int, percent: int) -> tuple[int, int]:
+    """(values a band, bands) for ``nodes`` crowded nodes.
+
+    Bands have as many values as the number of nodes has bits (6 to 16, even), so texts that share about half of their
+    shingles meet ever more seldom as there are more of them, and as many bands as keep a link's miss below MISS.
+    """
+    rows = 2 * min(8, max(3, nodes.bit_length() // 2))
+    return rows, 2 * math.ceil(-math.log(MISS) / (percent / 100) ** rows / 2)
+
+
+def _banded(words: int, rows: int, bands: int):
+    """The long band keys of each text: further permutations, ``rows`` for two bands."""
+
+    def run(batches):
+        mult = powers(_LONG, bands // 2 * rows + 2)[2:]
+        for batch in batched(batches, 500, 1_000_000):
+            data, offs = text_buffer(batch.column(1))
+            sets, soffs = shingle_hashes(data, offs, words)
+            keys = [band_keys(*signatures(sets, soffs, mult[i : i + rows]), rows, 2 * (i // rows)) for i in range(0, len(mult), rows)]
+            nodes = batch.column(0).filter(pa.array(np.diff(soffs) > 0))
+            flat = np.concatenate(keys, 1)
+            at = np.arange(len(flat) + 1, dtype=np.int32) * np.int32(flat.shape[1])
+            yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(at), pa.array(flat.ravel().view(np.int64)))], ["node", "buckets"])
+
+    return run
+
+
 def _linked(words: int, percent: int):
     """The pairs that link by their full sets."""
 
@@ -153,8 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``_crossing``), never from the bucket: a group's common text is no key, so a large group whose members differ too
        much to link makes few pairs, and nothing is capped or sampled. First each node meets one member of each other
        component, then what is still apart meets pair by pair.
+    4. Texts made of common parts have no rare shingles. Nodes whose shingles meet too many others (``MEETS``) meet each
+       other in long bands of further min-max values instead (see ``_in_long_bands``).
 
-    At similarity 0.75 a pair shares no bucket with probability below 1e-5. component_id is the smallest id reachable
+    At similarity 0.75 a pair shares no bucket with probability below 1e-5, and no long band with one below 1e-5. component_id is the smallest id reachable
     (its own for null-text, empty and single rows); kept marks the class's row of the smallest (id, text_key). A node is
     a set of shingles, so rows of one id and different texts are apart and may be in two classes; equal rows are all kept
     or all not. Null ids stay alone with a null component; an empty table gives no rows; other columns are ignored. Ids
@@ -202,11 +239,18 @@ def _classes(base: DataFrame, nodes: DataFrame, words: int, percent: int) -> Dat
     apart = written(now.join(mixed, "bucket").select("node", "n", "comp").distinct(), "apart")
     if apart.isEmpty():
         return comps
-    pairs = written(_crossing(apart, held, words, percent), "crossing")
+    offers = _offers(apart, held, words, percent)
+    crowded = _crowded(offers)
+    pairs = written(_crossing(offers, crowded, percent), "crossing")
     comps = _merged(comps, _confirmed(pairs.groupBy("a", "comp_b").agg(F.max_by("b", "most").alias("b")).select("a", "b"), held, words, percent))
+    comps = _merged(comps, _confirmed(_apart_yet(pairs.select("a", "b"), comps), held, words, percent))
+    return comps if crowded is None else _in_long_bands(crowded, comps, held, words, percent)
+
+
+def _apart_yet(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends stand in two components."""
     to = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    rest = pairs.select("a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    return _merged(comps, _confirmed(rest.select("a", "b"), held, words, percent))
+    return pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
 def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -223,14 +267,13 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(fresh), "components")
 
 
-def _crossing(apart: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, comp_b, most): every pair of ``apart`` across components that can still link, and the most they may share.
+def _offers(apart: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """The shingles by which each node of ``apart`` can meet those of other components that it may link with.
 
     Sets of n and m shingles that link share at least percent * (n + m) / (100 + percent). With each set in one order,
     rarest first, the first shingle that both hold leaves each set at least that many, itself included. So a set
     offers only its shingles up to there, and for each only the sizes of partners that the rest of the set allows.
     Shingles that no other component holds come first of all and are left out: a set with too few others can't link.
-    Of a pair the side of the smaller component asks, so one large component is never paired with itself.
     """
     sizes = apart.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     about = written(apart.join(sizes, "comp").select("node", "n", "comp", "size"), "standing")
@@ -242,14 +285,66 @@ def _crossing(apart: DataFrame, held: DataFrame, words: int, percent: int) -> Da
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token", "top"))).alias("t"))
     lists = lists.join(about, "node").where(f"100 * size(t) >= {percent} * n")
     offers = lists.withColumn("few", F.expr(f"cast(ceil({percent} * n / 100) as int)"))
-    offers = written(offers.select("node", "n", "comp", "size", "few", F.size("t").alias("held"), F.posexplode(F.expr("slice(t, 1, size(t) - few + 1)")).alias("i", "t")).select("node", "n", "comp", "size", "few", (F.col("held") - F.col("i")).alias("left"), "t.token", "t.top"), "offers")
+    return written(offers.select("node", "n", "comp", "size", "few", F.size("t").alias("held"), F.posexplode(F.expr("slice(t, 1, size(t) - few + 1)")).alias("i", "t")).select("node", "n", "comp", "size", "few", (F.col("held") - F.col("i")).alias("left"), "t.token", "t.top"), "offers")
+
+
+def _crowded(offers: DataFrame) -> DataFrame | None:
+    """(node, n, comp) of the nodes whose offers meet more than MEETS others; None without such."""
+    meets = offers.groupBy("token").agg(F.count(F.lit(1)).alias("meets"))
+    heavy = offers.join(meets, "token").groupBy("node", "n", "comp").agg(F.sum("meets").alias("meets")).where(F.col("meets") > MEETS)
+    heavy = written(heavy.select("node", "n", "comp"), "crowded")
+    return None if heavy.isEmpty() else heavy
+
+
+def _crossing(offers: DataFrame, crowded: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b, comp_b, most): every pair across components that offers bring together, and the most they may share.
+
+    Of a pair the side of the smaller component asks, so one large component is never paired with itself. Pairs of two
+    ``crowded`` nodes are left to the long bands, so a node that isn't crowded bounds the work on each pair.
+    """
     band = lambda n: f"cast(floor(ln({n}) / ln({BAND}D)) as int)"
-    offered = offers.select("token", F.expr(band("n")).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
     biggest = f"greatest(few, floor(left * {100 + percent} / {percent}) - n)"
-    asked = offers.where("comp <> top").select("token", F.explode(F.expr(f"sequence({band('few')}, {band(biggest)})")).alias("band"), F.col("node").alias("a"), "n", "comp", "size", "left")
     most = F.least("left", "left_b")
-    pairs = asked.join(offered, ["token", "band"]).where(F.expr("size < size_b or (size = size_b and comp < comp_b)") & (most * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
-    return pairs.groupBy("a", "b", "comp_b").agg(F.max(most).alias("most"))
+
+    def met(asking: DataFrame, offering: DataFrame) -> DataFrame:
+        offered = offering.select("token", F.expr(band("n")).alias("band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
+        asked = asking.where("comp <> top").select("token", F.explode(F.expr(f"sequence({band('few')}, {band(biggest)})")).alias("band"), F.col("node").alias("a"), "n", "comp", "size", "left")
+        pairs = asked.join(offered, ["token", "band"]).where(F.expr("size < size_b or (size = size_b and comp < comp_b)") & (most * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
+        return pairs.select("a", "b", "comp_b", most.alias("most"))
+
+    if crowded is None:
+        pairs = met(offers, offers)
+    else:
+        sparse = offers.join(crowded.select("node"), "node", "left_anti")
+        pairs = met(sparse, offers).unionByName(met(offers.join(crowded.select("node"), "node", "left_semi"), sparse))
+    return pairs.groupBy("a", "b", "comp_b").agg(F.max("most").alias("most"))
+
+
+def _in_long_bands(crowded: DataFrame, comps: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, comp) after the links among ``crowded`` nodes, which long bands of min-max values bring together.
+
+    As with the short bands, a bucket's members meet one of them first; where they still stand in several components,
+    members of different ones meet each other.
+    """
+    rows, bands = long_bands(crowded.count(), percent)
+    texts = crowded.select("node", "n").join(held.select("node", "text"), "node")
+    keys = texts.select("node", "text").mapInArrow(_banded(words, rows, bands), "node long, buckets array<long>")
+    members = keys.join(crowded.select("node", "n"), "node").select("node", "n", F.explode("buckets").alias("bucket"))
+    members = written(members, "long_bands")
+
+    def mixed(comps: DataFrame) -> DataFrame:
+        now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return now.join(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "bucket")
+
+    sized = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    now = written(mixed(comps), "mixed")
+    first = now.groupBy("bucket").agg(F.min(F.struct("node", "n", "comp")).alias("l"))
+    led = now.join(first, "bucket").where("comp <> l.comp").select(F.col("l.node").alias("a"), F.col("l.n").alias("m"), F.col("node").alias("b"), "n")
+    comps = _merged(comps, _confirmed(written(led.where(sized).select("a", "b").distinct(), "led_long"), held, words, percent))
+    now = written(mixed(comps), "mixed")
+    other = now.select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
+    rest = now.withColumnRenamed("node", "b").join(other, "bucket").where("a < b and comp <> comp_a").where(sized)
+    return _merged(comps, _confirmed(written(rest.select("a", "b").distinct(), "crossing_long"), held, words, percent))
 
 
 def _confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> DataFrame:

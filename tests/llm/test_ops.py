@@ -150,6 +150,57 @@ def test_near_duplicates_in_a_large_group(spark):
     assert max(list(comp.values()).count(c) for c in comp.values()) > 100 and len(set(comp.values())) > 80
 
 
+@pytest.mark.parametrize("count", [300, 1200])
+def test_near_duplicates_of_common_parts(spark, monkeypatch, count):
+    """24 of 40 common paragraphs each: no shingle is rare, so long bands have to keep the pairs near linear in the texts."""
+    rng = random.Random(count)
+    parts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)) for _ in range(40)]
+    picks = []
+    for k in range(count):
+        pick = list(picks[rng.randrange(k)]) if k % 6 == 5 else rng.sample(range(40), 24)
+        if k % 6 == 5:
+            pick[rng.randrange(24)], pick[rng.randrange(24)] = rng.randrange(40), rng.randrange(40)
+        picks.append(pick)
+    texts = [" ".join(parts[p] for p in pick) for pick in picks]
+    sets = [shingles(t) for t in texts]
+    number = {}
+    for one in sets:
+        for x in one:
+            number.setdefault(x, len(number))
+    has = np.zeros((count, len(number)), np.float32)
+    for i, one in enumerate(sets):
+        has[i, [number[x] for x in one]] = 1
+    both, size = has @ has.T, has.sum(1)
+    link = 100 * both >= 75 * (size[:, None] + size - both)
+    want, now = None, np.arange(count)
+    while want is None or (want != now).any():
+        want, now = now, np.array([now[row].min() for row in link])
+    plain, met = near_dedup.written, {}
+
+    def counted(df, name, keep=False):
+        out = plain(df, name, keep)
+        met[name] = met.get(name, 0) + (out.count() if name.startswith("crossing") else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    got = {r["doc"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(count)] == want.tolist()
+    assert (link.sum() - count) // 2 > count // 10 and 0 < met["crossing"] + met["crossing_long"] < 50 * count
+
+
+def test_long_bands():
+    assert near_dedup.long_bands(300, 75)[0] < near_dedup.long_bands(4800, 75)[0] <= near_dedup.long_bands(10**9, 75)[0] == 16
+    for nodes in (1, 300, 5000, 10**9):
+        rows, bands = near_dedup.long_bands(nodes, 75)
+        assert rows % 2 == bands % 2 == 0 and (1 - 0.75**rows) ** bands < near_dedup.MISS
+    pool = np.random.default_rng(7).integers(0, 2**63, 800, np.uint64)
+    rows, bands = near_dedup.long_bands(300, 75)
+    mult = near_dedup.powers(near_dedup._LONG, bands // 2 * rows + 2)[2:]
+    one, two = (near_dedup.band_keys(*near_dedup.signatures(s, np.array([0, 700]), mult), rows)[0] for s in (pool[:700], pool[100:]))  # similarity 0.75
+    assert len(one) == bands and len(set(one.tolist())) == bands
+    assert 3 <= (one == two).sum() <= 30  # -log(MISS), 11.5, expected
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 40)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(7, 7), (None, 3)]
