@@ -14,7 +14,9 @@ from offergrid.llm.components import connected_components
 
 PERMUTATIONS, BAND_ROWS = 64, 4
 BAND = 1.05  # set sizes are dealt into bands of this ratio
-MEETS = 2000  # a node whose offered shingles meet more offers than this is crowded: long bands find its partners
+#: A node whose offered shingles meet more components than this, counted for each shingle, is crowded: long bands find
+#: its partners. Its joins would cost more than its hashes in bands of 8 values (some 116 bands, 464 permutations).
+MEETS = 8192
 MISS = 1e-5  # how likely long bands may miss a pair that links
 _MULT = powers(0x9E3779B97F4A7C15, 2 * PERMUTATIONS + 2)[2:]  # odd multipliers permute the 64-bit hashes
 _LONG = 0xD1342543DE82EF95  # powers of this one permute for the long bands
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``_crossing``), never from the bucket: a group's common text is no key, so a large group whose members differ too
        much to link makes few pairs, and nothing is capped or sampled. First each node meets one member of each other
        component, then what is still apart meets pair by pair.
-    4. Texts made of common parts have no rare shingles. Nodes whose shingles meet too many others (``MEETS``) meet each
+    4. Texts made of common parts have no rare shingles. Nodes whose shingles meet too many components (``MEETS``) meet each
        other in long bands of further min-max values instead (see ``_in_long_bands``).
 
     At similarity 0.75 a pair shares no bucket with probability below 1e-5, and no long band with one below 1e-5. component_id is the smallest id reachable
@@ -289,8 +291,8 @@ def _offers(apart: DataFrame, held: DataFrame, words: int, percent: int) -> Data
 
 
 def _crowded(offers: DataFrame) -> DataFrame | None:
-    """(node, n, comp) of the nodes whose offers meet more than MEETS others; None without such."""
-    meets = offers.groupBy("token").agg(F.count(F.lit(1)).alias("meets"))
+    """(node, n, comp) of the nodes whose offers meet more than MEETS components; None without such."""
+    meets = offers.select("token", "comp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("meets"))
     heavy = offers.join(meets, "token").groupBy("node", "n", "comp").agg(F.sum("meets").alias("meets")).where(F.col("meets") > MEETS)
     heavy = written(heavy.select("node", "n", "comp"), "crowded")
     return None if heavy.isEmpty() else heavy
