@@ -1,5 +1,7 @@
 """Element tables, selectors and the fields read by them, on small pages."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,31 @@ def test_rules_as_a_table(spark):
 def test_rules_are_checked(spark, row):
     with pytest.raises(ValueError, match="rule|field|selector|words|attribute"):
         extract.rules_of(spark.createDataFrame([row], extract.RULE_ROW))
+
+
+def _read_by(monkeypatch, plain, html, selectors):
+    with monkeypatch.context() as m:
+        if not plain:
+            m.setattr(dom._Reader, "plain", lambda self, html: False)
+        reader, text = dom._page(html, dom.Selectors(selectors), keep=True)
+    return text, reader.hits, reader.rows, reader.paths
+
+
+def test_plain_pages_are_read_by_their_tags_alone(spark, monkeypatch):
+    page = """<!DOCTYPE html><html><head><title>a &amp b</title><script>if (a<b) c("</p>&amp;")</script></head><!-- <b>x</b> --><body><br/><p class='x y' data-n=1 hidden>1<p id="i&amp;j">2 &lt; 3</P ></body></html>"""
+    want = _read_by(monkeypatch, False, page, ["title", "p.x", "[hidden]"])
+    monkeypatch.setattr(dom._Reader, "feed", lambda self, html: pytest.fail("left to the general parser"))
+    assert _read_by(monkeypatch, True, page, ["title", "p.x", "[hidden]"]) == want
+
+
+def test_tags_read_alone_equal_the_general_parser(monkeypatch):
+    rng = random.Random(7)
+    bits = ["<p>", "<p", ">", "</p>", "</p >", "<b class='x y'>", '<b id="x" id=y>', "<a href=/q/>", '<a href="/q"/>', "<a href=x/>", "<br/>", "<br />", "<i\xa0b>", "<i b=a\xa0c>", "<i\x0bb>", "<I X=Y>", "</I>", "<script>", "</script>", "</SCRIPT >", "</ script>", "<script/>", "<style>", "</style>",
+            "<!-- ", " -->", "-", "--", "<!--->", "<!-->", "<!doctype html>", "<!x>", "<?x>", "</>", "</1>", "<1>", "< b", "&amp", "&amp;", "&lt;b&gt;", "a", " b ", '"', "'", "=", "/", "<b a='>'>", '<b a="<">', "<b a=\"&lt;&amp\">", "<b a='x'c='y'>", "<b =a>", "<b a==c>", "<b a = c>", "<b\na\n>", "<td>", "<tr>", "<li>", "<table>", "</table>"]
+    plain = 0
+    for n in range(6000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 3 if n % 2 else 12)))
+        css = ["b", "p .x", "p > b", "[a]", "#x", "script"]
+        assert _read_by(monkeypatch, True, html, css) == _read_by(monkeypatch, False, html, css), html
+        plain += dom._Reader(dom.Selectors(css), False).plain(html)
+    assert plain > 600
