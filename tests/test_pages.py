@@ -226,3 +226,25 @@ def test_tags_read_alone_equal_the_general_parser(monkeypatch):
         assert _read_by(monkeypatch, True, html, css) == _read_by(monkeypatch, False, html, css), html
         plain += dom._Reader(dom.Selectors(css), False).plain(html)
     assert plain > 600
+
+
+def test_references_without_semicolon_as_text(spark):
+    df = pages(spark, "<h1>a&amp;&amp</h1>", "<h1>b&lt c&#60;&#x3c;&#60 &copy;&</h1>", None)
+    got = lambda d: [r["text"] for r in dom.cascade_text(d, ["h1"]).orderBy("page_id").collect()]
+    assert got(df) == ["a&&", "b< c<<< \u00a9&", None]
+    assert got(df.withColumn("html", dom.finished_references(F.col("html")))) == ["a&&amp", "b&lt c<<&#60 \u00a9&", None]
+
+
+@pytest.mark.parametrize("name", ["cascade_text", "rule_table"])
+def test_headings_cut_within_a_reference_equal_sql(spark, tmp_path, name):
+    import duckdb
+
+    from offergrid.plans import catalogue
+
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1></article></body></html>"
+    spark.createDataFrame([(1, "u", page.format("then &amp;&amp")), (2, "u", page.format("quen &quot;&quot"))], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    df, con = catalogue.queries()[name](spark, str(tmp_path)), duckdb.connect()
+    for t in ("part", "nation", "supplier", "lineitem"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.sql(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())
