@@ -104,14 +104,24 @@ def delivery_days(text: Column, as_of: Column) -> Column:
 
     A date more than a day before ``as_of`` is taken in the next year.
     """
-    bare = strip(F.coalesce(text, F.lit("")))
-    low, pattern = F.lower(bare), r"(\d{1,2})(?:\s*[-–]\s*\d{1,2})?\s+([A-Za-z]{3,})"
-    day, name = number_of(bare, pattern, "int"), F.lower(F.substring(F.regexp_extract(bare, pattern, 2), 1, 3))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-    dated = lambda year: F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
-    this = dated(F.year(as_of))
-    target = F.when(this < F.date_sub(as_of, 1), dated(F.year(as_of) + 1)).otherwise(this)
-    return F.when(low.contains("today"), 0).when(low.contains("tomorrow"), 1).otherwise(F.when(target.isNotNull(), F.greatest(F.lit(0), F.date_diff(target, as_of)))).cast("int")
+    # As for minutes, what several rules need stands in an array of one: the text, then its day and month.
+    return F.transform(F.array(strip(F.coalesce(text, F.lit("")))), lambda bare: _days(bare, as_of))[0]
+
+
+def _days(bare: Column, as_of: Column) -> Column:
+    pattern = r"(\d{1,2})(?:\s*[-–]\s*\d{1,2})?\s+([A-Za-z]{3,})"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(bare, pattern, 2), 1, 3))).cast("int")
+    parts = F.array(F.struct(F.lower(bare).alias("low"), number_of(bare, pattern, "int").alias("day"), month.alias("month")))
+    return F.transform(parts, lambda p: _days_to(p["low"], p["day"], p["month"], as_of))[0]
+
+
+def _days_to(low: Column, day: Column, month: Column, as_of: Column) -> Column:
+    # Days that a month doesn't have are told by its length: no text that is no date is ever parsed.
+    first = lambda year: F.make_date(year, month, F.lit(1))
+    dated = lambda year: F.when(day <= F.dayofmonth(F.last_day(first(year))), F.date_add(first(year), day - 1))
+    near = lambda this: F.when(this < F.date_sub(as_of, 1), dated(F.year(as_of) + 1)).when(this.isNotNull(), F.greatest(this, as_of))
+    target = F.transform(F.array(F.when((month > 0) & (day >= 1), dated(F.year(as_of)))), near)[0]
+    return F.when(low.contains("today"), 0).when(low.contains("tomorrow"), 1).otherwise(F.date_diff(target, as_of)).cast("int")
 
 
 def delivery_band(status: Column, stock: Column, delivery: Column, as_of: Column) -> Column:

@@ -119,3 +119,18 @@ def test_report_marks_pending(spark):
     assert set(out) == {"B1", "B2"}
     assert (out["B1"]["110001 - Delhi"], out["B1"]["400001 - Mumbai"]) == ("In Stock | X", "Pending")
     assert (out["B2"]["400001 - Mumbai"], out["B2"]["item_name"], out["B2"]["seller"]) == ("Scrape Failed", "q", "Not Found")
+
+
+def test_days_parse_no_text_as_a_date():
+    """What is no date costs no exception a row: the expression builds dates from numbers alone."""
+    plan = X.delivery_days(F.col("t"), F.lit("2000-01-15").cast("date"))._jc.toString()
+    assert "make_date" in plan and "to_date" not in plan and "to_timestamp" not in plan and "format_string" not in plan
+
+
+def test_days_of_every_month_end(spark):
+    ends = {"jan": 31, "feb": 29, "mar": 31, "apr": 30, "may": 31, "jun": 30, "jul": 31, "aug": 31, "sep": 30, "oct": 31, "nov": 30, "dec": 31}
+    at = dt.date(2000, 1, 1)
+    texts = [f"{d} {m}" for m, n in ends.items() for d in (0, 1, n, n + 1)]
+    want = [(dt.date(2000, i + 1, d) - at).days if 1 <= d <= n else None for i, n in enumerate(ends.values()) for d in (0, 1, n, n + 1)]
+    assert values(spark, texts, lambda t: X.delivery_days(t, F.lit("2000-01-01").cast("date"))) == want
+    assert values(spark, ["29 Feb", "28 Feb"], lambda t: X.delivery_days(t, F.lit("2000-03-10").cast("date"))) == [None, 355]
