@@ -7,13 +7,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from offergrid.operators.offers import WRITE_ORDER
+from offergrid.operators.offers import WRITE_ORDER, attempt_resolution
 from offergrid.sources.keyed_table import KeyedTable
-from offergrid.streaming.progress import upsert_stream
 
 RESOLVED = "asin string, pincode string, attempt int, status string, failure_reason string, seller string, price double, attempts int, rev long"
 
@@ -69,6 +69,35 @@ def attempt_stream(tries: DataFrame, order: tuple[str, ...] = WRITE_ORDER, max_a
     return rows.groupBy("asin", "pincode").applyInPandasWithState(step, RESOLVED, "rev long, said string, held string, latest long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def resolved_table(tries: DataFrame, root: str, checkpoint: str, **more) -> KeyedTable:
-    """The newest resolution of each pair in a keyed table."""
-    return upsert_stream(attempt_stream(tries, **more), root, checkpoint, ("asin", "pincode"), ("rev",))
+def resolved_table(tries: DataFrame, root: str, checkpoint: str, order: tuple[str, ...] = WRITE_ORDER, max_attempts: int = 3, **more) -> KeyedTable:
+    """The newest resolution of each pair in a keyed table under ``root``; ``more`` goes to ``attempt_resolution``.
+
+    The first 2 x ``max_attempts`` tries of a pair lie beside it in a keyed table of their own, a row a try. A batch meets
+    the held tries of its pairs in one window, commits the first ones again and resolves these pairs from them, so that no
+    step is taken pair by pair and any try, however late, counts. Both commits bear the batch's number: one that comes
+    again after the first of them is resolved from all held tries.
+    """
+    pair, spark = ("asin", "pincode"), tries.sparkSession
+    held, out = KeyedTable(spark, f"{root}/held", (*pair, "slot"), ("rev",), pair[:1]), KeyedTable(spark, root, pair, ("rev",))
+    columns = list(dict.fromkeys([*pair, *order, "status", "failure_reason", "seller", "price"]))
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch, now = batch.select(*columns), held.snapshot()
+        again = now["writers"].get(checkpoint, -1) >= i
+        if not again:
+            if now["runs"]:
+                pairs = batch.select(*pair).distinct()
+                batch = batch.unionByName(held.read(only=pairs).join(pairs, list(pair), "left_semi").select(*columns))
+            slot = F.row_number().over(Window.partitionBy(*pair).orderBy(*order))
+            first = batch.withColumn("slot", slot).where(F.col("slot") <= 2 * max_attempts).withColumn("rev", F.lit(now["version"] + 1).cast("long"))
+            held.commit(first, checkpoint, i)
+        if out.snapshot()["writers"].get(checkpoint, -1) < i:
+            kinds = StructType.fromJson(held.snapshot()["schema"])
+            added = [] if again else held.added(now["version"])
+            rows = held.read() if again else spark.read.schema(kinds).parquet(*added) if added else spark.createDataFrame([], kinds)
+            resolved = attempt_resolution(rows, order, pair, max_attempts, **more).withColumn("rev", F.lit(held.snapshot()["version"]).cast("long"))
+            out.commit(resolved, checkpoint, i)
+
+    query = tries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out

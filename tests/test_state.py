@@ -173,3 +173,30 @@ def test_no_temporary_folder_off_local_masters():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(Stub)
+
+
+def test_resolutions_are_made_without_a_step_a_pair(spark, tmp_path, monkeypatch):
+    """Tries in any order over batches, the first of which comes last; a batch whose second commit was lost is resolved again."""
+    monkeypatch.setattr(attempts, "_step", lambda *_, **__: pytest.fail("a pair by itself"))
+    monkeypatch.setattr(attempts, "attempt_stream", lambda *_, **__: pytest.fail("a pair by itself"))
+    rows = [("a", "p", 10 - n, n, "FAILED", "CAPTCHA" if n % 3 else "x", f"s{n}", 1.0) for n in range(9)] + [("a", "p", 0, 9, "OK", "", "first", 2.0)]
+    folder, at = str(tmp_path / "in"), F.timestamp_seconds(F.col("s") * 10**8)
+    run = lambda c="c": attempts.resolved_table(spark.readStream.schema(TRIES).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", at), str(tmp_path / "t"), str(tmp_path / c), order=("at", "i"))
+    for n in range(1, 11):
+        spark.createDataFrame(rows[n - 1 : n], TRIES).coalesce(1).write.mode("append").parquet(folder)
+        if n in (4, 9, 10):
+            want = offers.attempt_resolution(spark.createDataFrame(rows[:n], TRIES), ("s", "i"))
+            assert run().read().drop("rev").collect() == want.collect()
+    lost, commit = [], attempts.KeyedTable.commit
+
+    def failing(self, *args):
+        if not self.root.endswith("held") and not lost:
+            lost.append(1)
+            raise RuntimeError("lost")
+        return commit(self, *args)
+
+    monkeypatch.setattr(attempts.KeyedTable, "commit", failing)
+    spark.createDataFrame([("b", "p", 1, 1, "OK", "", "s", 1.0)], TRIES).coalesce(1).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert [(r["asin"], r["seller"]) for r in run().read().orderBy("asin").collect()] == [("a", "first"), ("b", "s")]
