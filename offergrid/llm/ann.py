@@ -48,9 +48,13 @@ def strings(x: np.ndarray, normals: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def codes(x: np.ndarray) -> list[bytes]:
-    """Each unit vector as one byte a component, with its step and how far the rounding moved it."""
-    step = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 127
-    rounded = np.rint(x / step).astype(np.int8)
+    """Each unit vector as two bytes a component, with its step and how far the rounding moved it.
+
+    With one byte the rounding is as large as what tells the members of a dense group apart, and most of a group would
+    be handed on for each of its queries.
+    """
+    step = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30) / 32767
+    rounded = np.rint(x / step).astype(np.int16)
     moved = np.linalg.norm(x - rounded * step.astype(np.float32).astype(np.float64), axis=1) * (1 + 1e-6) + 1e-9
     head = np.concatenate([step.astype(np.float32), moved[:, None].astype(np.float32) * np.float32(1.0001)], 1)
     return [a.tobytes() + b.tobytes() for a, b in zip(head, rounded, strict=True)]
@@ -110,7 +114,7 @@ def _search_cell(k: int):
         if len(points) and len(asked):
             raw = np.frombuffer(b"".join(points.column("code").to_pylist()), np.uint8).reshape(len(points), -1)
             step, moved = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64).T
-            x = raw[:, 8:].view(np.int8).astype(np.float64) * step[:, None]
+            x = np.ascontiguousarray(raw[:, 8:]).view(np.int16).astype(np.float64) * step[:, None]
             ids, h = np.asarray(points.column("vec_id")), np.asarray(points.column("hash"))
             order = np.argsort(h, kind="stable")
             x, ids, h, moved = x[order], ids[order], h[order], moved[order]
@@ -209,7 +213,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = 12, re
     measured: about ``trials`` of the queries at most are compared with all vectors, and searches read what these need for
     ``recall``. Clustered vectors need about a hundredth of all; vectors without any clusters need about half.
 
-    Planes are fitted on about ``sample_rows`` vectors at most, chosen by hash; all are indexed. Trees hold one byte a component, with which
+    Planes are fitted on about ``sample_rows`` vectors at most, chosen by hash; all are indexed. Trees hold two bytes a component, with which
     runs are read; bounds on the rounding decide what is compared on the original vectors, which are fetched once.
     Equal vectors are one point that keeps its k + 1 smallest ids (no query needs more), and equal queries search
     once, so a hot vector costs one search. Scores are cosines in double precision; ties go to the smaller id.

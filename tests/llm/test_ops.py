@@ -881,3 +881,20 @@ def test_digests_have_fixed_columns(spark):
     docs = table(spark, [(1, text)])
     r = queries.bpe_digest(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).first()
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_members_of_a_dense_group_are_told_apart_in_their_cell():
+    """Rows for a query follow k, not the group: 1,000 vectors around one direction, all in one cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    from offergrid.llm import ann
+
+    draw = np.random.default_rng(3)
+    x = ann.unit(draw.normal(size=64) + 0.3 * draw.normal(size=(1000, 64)))
+    points = pa.table({"vec_id": np.arange(1000), "hash": np.zeros(1000, np.int64), "code": pa.array(ann.codes(x), pa.binary())})
+    asked = pa.table({"query": np.arange(20), "embedding": pa.array(x[:20].tolist(), pa.list_(pa.float64())), "hash": np.zeros(20, np.int64), "level": np.zeros(20, np.int32)})
+    out = ann._search_cell(6)(None, points, asked).to_pandas()
+    assert out.groupby("query").size().max() < 12
+    for i, got in out.groupby("query"):
+        assert set(np.argsort(-(x @ x[i]))[:6]) <= set(got["vec_id"])
