@@ -248,3 +248,15 @@ def test_headings_cut_within_a_reference_equal_sql(spark, tmp_path, name):
         con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(tuple(r) for r in df.collect()) == sorted(con.sql(f"select {', '.join(df.columns)} from ({catalogue.oracle_sql()[name]})").fetchall())
+
+
+def test_fields_alone_come_without_their_pages(spark):
+    """A query for one field matches that field's selectors and gets no page back; its texts are those of all rules."""
+    from offergrid.operators import extract
+    from offergrid.plans.fixtures import Tables
+
+    pages = Tables(spark, "/root/testdata/sf0.001").product_pages.select("page_id", "html")
+    few = extract.found(pages, extract.RULES.only("mrp", "old_mrp"), ("page_id",))
+    assert "html" not in few.columns and "mrp_texts" in few.columns
+    whole = extract.found(pages).select("page_id", "mrp_texts", "old_mrp_texts")
+    assert few.select(*whole.columns).exceptAll(whole).count() == 0 and few.count() == whole.count() > 0
