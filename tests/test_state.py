@@ -200,3 +200,33 @@ def test_resolutions_are_made_without_a_step_a_pair(spark, tmp_path, monkeypatch
     with pytest.raises(Exception, match="lost"):
         run()
     assert [(r["asin"], r["seller"]) for r in run().read().orderBy("asin").collect()] == [("a", "first"), ("b", "s")]
+
+
+def test_products_need_one_shuffle(spark):
+    """The capture is dealt by product, so what is grouped or joined by product after it moves no row again."""
+    from offergrid.plans.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = t.capture.groupBy("asin").agg({"price": "max"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(asin") == 1
+
+
+def test_report_makes_its_offers_once(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from offergrid.plans.fixtures import Tables
+    from offergrid.sources import sinks
+
+    t, made = Tables(spark, "/root/testdata/sf0.001"), spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    n = t.offers.count()
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.offers.schema)
+    paths = sinks.sink_report(t.catalog, t.locations, t.offers.mapInArrow(told, kinds), str(tmp_path), dt.datetime(2000, 1, 15))
+    assert made.value == n and spark.read.parquet(paths["summary"]).first()["success"] == t.offers.where("status = 'OK'").count()
+    assert sorted(os.listdir(tmp_path)) == ["failed", "results", "summary"]
