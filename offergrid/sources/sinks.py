@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from offergrid.operators.offers import WRITE_ORDER
 from offergrid.operators.report import failed_rows, pivot_report, summary
+from offergrid.shared import erase
 from offergrid.sources.keyed_table import KeyedTable
 
 
@@ -24,9 +26,15 @@ def sink_versioned(df: DataFrame, root: str, now: dt.datetime) -> str:
 
 
 def sink_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, root: str, now: dt.datetime) -> dict[str, str]:
-    """Results, Failed and Summary under one run."""
-    parts = {"results": pivot_report(catalog, locations, offers), "failed": failed_rows(offers), "summary": summary(offers, ok_only=True)}
-    return {name: sink_versioned(df, f"{root}/{name}", now) for name, df in parts.items()}
+    """Results, Failed and Summary under one run. The offers are made once and kept beside them until all are written."""
+    spark, aside = offers.sparkSession, f"{root}/_offers-{uuid.uuid4().hex}"
+    try:
+        offers.write.parquet(aside)
+        held = spark.read.schema(offers.schema).parquet(aside)
+        parts = {"results": pivot_report(catalog, locations, held), "failed": failed_rows(held), "summary": summary(held, ok_only=True)}
+        return {name: sink_versioned(df, f"{root}/{name}", now) for name, df in parts.items()}
+    finally:
+        erase(spark, aside)
 
 
 class IncrementalSink:
