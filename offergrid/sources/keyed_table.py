@@ -8,7 +8,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -29,8 +29,8 @@ class KeyedTable:
     then by the later commit. When ``fanout`` of the newest runs are of one size class they are merged into one, so a
     row is rewritten once for each class, and what is written follows the batches, not the table.
 
-    A merged run of more than ``part_rows`` rows lies in 2^bits folders by a hash of the ``cluster`` columns, each about
-    ``part_rows`` rows: a read for some keys opens only their folders. How many folders a run has stands in its manifest.
+    A batch or merged run of more than ``part_rows`` rows lies in 2^bits folders by a hash of the ``cluster`` columns, each
+    about ``part_rows`` rows: a read for some keys opens only their folders. How many folders a run has stands in its manifest.
 
     A writer that commits a batch again (same ``writer`` and ``batch_id``, or a smaller id) changes nothing. Of writers at
     one time, each publishes its own version, in turn.
@@ -84,10 +84,12 @@ class KeyedTable:
         """Add a batch and return the version that holds it. ``meta`` goes into the manifest, as of this version."""
         if self._known(now := self.snapshot(), writer, batch_id):
             return now["version"]
-        path, seen = f"{self.root}/data/{uuid.uuid4().hex}", Observation()
+        path, seen = f"{self.root}/data/{uuid.uuid4().hex}", batch.count()
         columns = [f["name"] for f in now["schema"]["fields"]] if now["schema"] else batch.columns
-        upsert_latest(batch.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")), self.keys, self.order).write.parquet(path)
-        run = {"path": path, "rows": self.spark.read.schema(batch.select(*columns).schema).parquet(path).count(), "bits": 0}
+        # Rows of one key meet in one folder if the key names it; else they meet first and are laid out after.
+        rows, bits = batch.select(*columns), self._bits(seen) if set(self.cluster) <= set(self.keys) else 0
+        self._write(rows, path, bits, self.order)
+        run = {"path": path, "rows": self.spark.read.schema(rows.schema).parquet(path).count(), "bits": bits}
         schema = now["schema"] or json.loads(batch.schema.json())
         while True:
             now = self.snapshot()
@@ -97,11 +99,22 @@ class KeyedTable:
             version = now["version"] + 1
             runs = [*now["runs"], run | {"version": version}] if run["rows"] else now["runs"]
             writers = now["writers"] if batch_id is None else now["writers"] | {writer: batch_id}
-            if self._publish(now | {"version": version, "runs": runs, "added": path if run["rows"] else "", "results": now["results"] + seen.get["n"], "writers": writers, "meta": now["meta"] | (meta or {}), "schema": schema}):
+            if self._publish(now | {"version": version, "runs": runs, "added": path if run["rows"] else "", "results": now["results"] + seen, "writers": writers, "meta": now["meta"] | (meta or {}), "schema": schema}):
                 break
         self.compact()
         return version
 
+    def _bits(self, rows: int) -> int:
+        return min(MOST_BITS, max(0, math.ceil(math.log2(rows / self.part_rows)))) if rows else 0
+
+    def _write(self, rows: DataFrame, path: str, bits: int, order: tuple[str, ...]) -> None:
+        """The last row of each key as a run in 2^bits folders: one shuffle, by folder, serves the merge and the files."""
+        by = self.keys
+        if bits:
+            rows, by = rows.withColumn("_part", self._part(bits)).repartition("_part"), ("_part", *self.keys)
+        last = upsert_latest(rows, by, order).drop("_run")
+        (last.write.partitionBy("_part") if bits else last.write).parquet(path)
+
     def note(self, meta: dict) -> int:
         """A version that differs in its ``meta`` alone."""
         while True:
@@ -138,14 +151,9 @@ class KeyedTable:
             if whole and n == 1 and not self._unlaid(tail):
                 return
             total, path = sum(r["rows"] for r in tail), f"{self.root}/data/{uuid.uuid4().hex}"
-            bits = min(MOST_BITS, max(0, math.ceil(math.log2(total / self.part_rows)))) if total else 0
-            rows, by = self._runs(tail, StructType.fromJson(now["schema"])), self.keys
-            if bits:  # one shuffle, by folder, serves the merge and the files
-                rows, by = rows.withColumn("_part", self._part(bits)).repartition("_part"), ("_part", *self.keys)
-            last = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in (*self.order, "_run")])
-            merged = rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_run")
-            (merged.write.partitionBy("_part") if bits else merged.write).parquet(path)
-            run = {"path": path, "rows": self.spark.read.schema(merged.schema).parquet(path).count(), "bits": bits, "version": tail[-1]["version"]}
+            schema, bits = StructType.fromJson(now["schema"]), self._bits(total)
+            self._write(self._runs(tail, schema), path, bits, (*self.order, "_run"))
+            run = {"path": path, "rows": self.spark.read.schema(schema).parquet(path).count(), "bits": bits, "version": tail[-1]["version"]}
             while True:  # what others commit meanwhile stands after these runs
                 now = self.snapshot()
                 at = [i for i in range(len(now["runs"])) if now["runs"][i : i + n] == tail]
@@ -166,7 +174,8 @@ class KeyedTable:
         schema, paths = StructType.fromJson(self.snapshot(until)["schema"]), self.added(since, until)
         if not paths:
             return self.spark.createDataFrame([], StructType([schema[k] for k in self.keys]))
-        return self.spark.read.schema(schema).parquet(*paths).select(*self.keys).distinct()
+        # One by one: some batches lie in folders, others don't.
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p).select(*self.keys) for p in paths]).distinct()
 
     def vacuum(self, keep_from: int, older_than_s: float = 3600.0) -> None:
         """Forget versions before ``keep_from`` (the newest stays) and delete files of no kept version, if old enough.

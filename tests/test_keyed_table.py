@@ -203,3 +203,14 @@ def test_only_changed_products_are_read(spark, tmp_path):
     assert live.summary(False).first()["total"] == first and live.products.read().where("asin = 'B7'").count() == 1
     shutil.rmtree(tmp_path / "offers")
     assert Decimal(live.products.snapshot()["meta"]["all"]["price_sum"]) is not None
+
+
+def test_large_batch_is_written_once(spark, tmp_path):
+    """A batch of more than part_rows goes to its folders at once: one run, one version, nothing rewritten."""
+    rows = spark.range(400).selectExpr("concat('B', id % 100) asin", "cast(id % 2 as string) pincode", "id v")
+    for cluster, versions in (((), 1), (("v",), 2)):
+        table = KeyedTable(spark, str(tmp_path / f"t{versions}"), ("asin", "pincode"), ("v",), cluster, part_rows=50)
+        table.commit(rows)
+        now = table.snapshot()
+        assert table.versions() == list(range(1, versions + 1)) and len(now["runs"]) == 1 and now["runs"][0]["bits"] > 0 and now["results"] == 400
+        assert sorted(r["v"] for r in table.read().collect()) == list(range(300, 400))
