@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offergrid.functions.text import strip, valid_asin, valid_pincode
@@ -11,24 +11,25 @@ from offergrid.operators.offers import keyed_dict_dedupe
 from offergrid.shared import saved
 
 
-def read_pieces(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str, end: str | None = None, marks: dict[str, Column] | None = None) -> DataFrame:
     """(file, block, piece, text) of text files cut at ``end`` (by default at line ends), each large file by many tasks.
 
     A block is the part of a file that one task reads, named by where it begins; pieces are numbered from 0 in each. With
     an ``end`` given, ``cut`` tells whether it follows the piece, as it does for all but perhaps the last of a file. What
-    was read is saved once, since a second reading may be split otherwise.
+    was read is saved once, since a second reading may be split otherwise; ``marks``, columns made of ``text``, are saved
+    with it, so that they are made once too.
     """
     reader = spark.read if end is None else spark.read.option("lineSep", end)
     where = [F.col(f"_metadata.{m}").alias(n) for m, n in (("file_path", "file"), ("file_block_start", "block"), ("file_size", "size"))]
     # Ids grow within a task, and a block is read by one task from its first piece to its last.
-    rows = saved(reader.text(path).select(*where, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text")), "pieces")
-    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.max("size").alias("size"), F.sum(F.octet_length("text") + len(end or "")).alias("bytes"))
+    rows = saved(reader.text(path).select(*where, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"), F.octet_length("value").alias("length")).withColumns(marks or {}), "pieces")
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.max("size").alias("size"), F.sum(F.col("length") + len(end or "")).alias("bytes"))
     of_file = Window.partitionBy("file")
     # The last piece has no end if the file is shorter than its pieces with their ends.
     open_end = (F.col("block") == F.max("block").over(of_file)) & (F.sum("bytes").over(of_file) > F.col("size"))
-    known = small(blocks.select("file", "block", "_first", F.when(open_end, F.col("_last")).alias("_open")))
+    known = small(saved(blocks.select("file", "block", "_first", F.when(open_end, F.col("_last")).alias("_open")), "blocks"))
     cut = [~F.coalesce(F.col("id") == F.col("_open"), F.lit(False))] if end else []
-    return rows.join(known, ["file", "block"]).select("file", "block", (F.col("id") - F.col("_first")).alias("piece"), "text", *[c.alias("cut") for c in cut])
+    return rows.join(known, ["file", "block"]).select("file", "block", (F.col("id") - F.col("_first")).alias("piece"), "text", *(marks or {}), *[c.alias("cut") for c in cut])
 
 
 def before_blocks(blocks: DataFrame, *sums: str) -> DataFrame:

@@ -123,3 +123,32 @@ def test_nested_files_round_trip(spark, tmp_path, splits):
     splits(300)
     back = json_store.read_offers_json(spark, str(tmp_path / "out"))
     assert sorted((r["asin"], r["pincode"], r["city"], r["price"], r["status"]) for r in back.collect()) == sorted(rows)
+
+
+def test_files_of_many_products(spark, tmp_path):
+    """Where a file would hold over ``most`` products there are more of them, each an object of its own."""
+    rows = [(f"B{i}", f"{j}", "}", float(i), "OK") for i in range(30) for j in range(2)]
+    df = spark.createDataFrame(rows, "asin string, pincode string, city string, price double, status string")
+    full = df.selectExpr("asin", "pincode", *[c if c in df.columns else f"cast(null as string) as {c}" for c in json_store.RECORD])
+    json_store.sink_offers_files(full, str(tmp_path / "out"), files=2, most=4)
+    files = [json.loads(f.read_text(encoding="utf-8")) for f in (tmp_path / "out").rglob("*.txt")]
+    assert len(files) == 8 and sorted(a for f in files for a in f) == sorted({r[0] for r in rows})
+    back = json_store.read_offers_json(spark, str(tmp_path / "out"))
+    assert sorted((r["asin"], r["pincode"], r["city"], r["price"], r["status"]) for r in back.collect()) == sorted(rows)
+
+
+def test_text_is_moved_once(spark, tmp_path, splits):
+    rng = random.Random(4)
+    data = {f"B{i}": {f"{j}": {"city": rng.randbytes(4000).hex()} for j in range(3)} for i in range(60)}
+    text = json.dumps(data)
+    (tmp_path / "all.json").write_text(text, encoding="utf-8")
+    splits(200_000)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = moved()
+    assert len(json_store.read_offers_json(spark, str(tmp_path / "all.json")).collect()) == 180
+    assert moved() - before < 1.6 * len(text)  # once to its block, and what two blocks share once more
