@@ -18,14 +18,16 @@ def first_ok(offers: DataFrame, order: str = "loc_ord") -> DataFrame:
     return offers.groupBy("asin").agg(*_first_aggs(order)).select("asin", *_first_columns())
 
 
-def _first_aggs(order: str) -> list[Column]:
-    ok = F.col("status") == "OK"
+def _first_aggs(order: str, of: Column | None = None) -> list[Column]:
+    """With ``of``, of those offers alone."""
+    of = F.lit(True) if of is None else of
+    ok = (F.col("status") == "OK") & of
     money = F.struct("price", "mrp", "discount_percent", "bsr", "rating", "reviews", "seller")
     named = F.struct("product_name", "scraped_at")
     return [
         F.min_by(F.when(ok, money), F.when(ok, F.col(order))).alias("m"),
         F.min_by(F.when(ok, named), F.when(ok, F.col(order))).alias("n"),
-        F.min_by(named, order).alias("any"),
+        F.min_by(named, F.when(of, F.col(order))).alias("any"),
         F.count_if(ok).alias("n_ok"),
     ]
 
@@ -62,15 +64,17 @@ def grid_status(grid: DataFrame, offers: DataFrame, pending: str = "Pending") ->
     return grid.select("asin", "pincode").join(cells(offers), ["asin", "pincode"], "left").withColumn("cell", F.coalesce("cell", F.lit(pending)))
 
 
-def product_rows(offers: DataFrame) -> DataFrame:
+def product_rows(offers: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
     """(asin, the fixed columns of first_ok, cells): one row for each product, ``cells`` a map of location to cell.
 
-    Offers are keyed by product and location; of repeated ones the first cell in order counts.
+    Offers are keyed by product and location; of repeated ones the first cell in order counts. ``more`` are further
+    aggregates of all offers of a product, those without a location too: a product of such offers alone has no cell.
     """
+    placed = F.col("pincode").isNotNull()
     cell = F.struct("pincode", pivot_cell(F.col("status"), F.col("in_stock"), F.col("delivery_date")).alias("cell"))
-    one = offers.where(F.col("pincode").isNotNull()).groupBy("asin").agg(*_first_aggs("loc_ord"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    one = (offers if more else offers.where(placed)).groupBy("asin").agg(*_first_aggs("loc_ord", placed), F.sort_array(F.collect_list(F.when(placed, cell))).alias("cells"), *[m.alias(f"more{i}") for i, m in enumerate(more)])
     apart = F.filter("cells", lambda c, i: (i == 0) | (c["pincode"] != F.get("cells", i - 1)["pincode"]))
-    return one.select("asin", *_first_columns(), F.map_from_entries(apart).alias("cells"))
+    return one.select("asin", *_first_columns(), F.map_from_entries(apart).alias("cells"), *[f"more{i}" for i in range(len(more))])
 
 
 def pivot_report(catalog: DataFrame, locations: DataFrame, offers: DataFrame, pending: str = "Pending") -> DataFrame:

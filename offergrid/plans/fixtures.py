@@ -17,6 +17,7 @@ def as_of() -> Column:
     return F.lit("2000-01-15").cast("date")
 
 
+ATTEMPTS_A_FILE = 1 << 17
 CATALOG = "SELECT p_partkey AS ord, 'B' || lpad(CAST(p_partkey AS VARCHAR(20)), 9, '0') AS asin, p_name AS item_name, p_brand AS item_code, p_type AS category FROM {part}"
 LOCATIONS = "SELECT CAST(n_nationkey AS BIGINT) AS ord, CAST(110001 + n_nationkey AS VARCHAR(20)) AS pincode, n_name AS city FROM {nation}"
 ATTEMPTS = """SELECT 'B' || lpad(CAST(l_partkey AS VARCHAR(20)), 9, '0') AS asin,
@@ -77,9 +78,13 @@ class Tables:
         )
 
     def attempt_stream(self, root: str, files: int = 4) -> DataFrame:
-        """The attempts as a stream of several batches: written as files under ``root``, one file a batch."""
-        self.attempts.repartition(files, "l_orderkey").write.parquet(root)
-        return self.spark.readStream.schema(self.attempts.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        """The attempts as a stream of several batches: written as files under ``root``, ``files`` batches of one file each.
+
+        A file is written and read by few tasks, so a large batch is of several files of about ``ATTEMPTS_A_FILE`` rows.
+        """
+        each = max(1, -(-self.read("lineitem").count() // (files * ATTEMPTS_A_FILE)))
+        self.attempts.repartition(files * each, "l_orderkey").write.parquet(root)
+        return self.spark.readStream.schema(self.attempts.schema).option("maxFilesPerTrigger", each).parquet(root)
 
     @cached_property
     def product_pages(self) -> DataFrame:

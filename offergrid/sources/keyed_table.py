@@ -6,6 +6,7 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,7 +63,9 @@ class KeyedTable:
             return self.spark.createDataFrame([], StructType.fromJson(at["schema"]) if at["schema"] else schema)
         rows = self._runs(at["runs"], StructType.fromJson(at["schema"]), only)
         if len(at["runs"]) > 1:
-            rows = upsert_latest(rows, self.keys, (*self.order, "_run"))
+            # Rows of some cluster values are read to be joined or grouped by these: one shuffle serves that too.
+            by = self.cluster if only is not None and set(self.cluster) <= set(self.keys) else ()
+            rows = upsert_latest(rows, self.keys, (*self.order, "_run"), by)
         return rows.drop("_run")
 
     def _runs(self, runs: list[dict], schema: StructType, only: DataFrame | None = None) -> DataFrame:
@@ -80,16 +83,22 @@ class KeyedTable:
         rows = reduce(DataFrame.unionByName, out)
         return rows if only is None else rows.join(small(only.select(*self.cluster).distinct()), list(self.cluster), "left_semi").select(*schema.names, "_run")
 
-    def commit(self, batch: DataFrame, writer: str = "", batch_id: int | None = None, meta: dict | None = None) -> int:
-        """Add a batch and return the version that holds it. ``meta`` goes into the manifest, as of this version."""
+    def commit(self, batch: DataFrame, writer: str = "", batch_id: int | None = None, meta: dict | Callable[[DataFrame], dict] | None = None, about: int | None = None) -> int:
+        """Add a batch and return the version that holds it. ``meta`` goes into the manifest, as of this version.
+
+        Where ``meta`` depends on the batch it may be a function of the batch as written. A batch of distinct keys of which is
+        known ``about`` how many rows it has isn't counted first, so it is made once.
+        """
         if self._known(now := self.snapshot(), writer, batch_id):
             return now["version"]
-        path, seen = f"{self.root}/data/{uuid.uuid4().hex}", batch.count()
+        path, seen = f"{self.root}/data/{uuid.uuid4().hex}", batch.count() if about is None else None
         columns = [f["name"] for f in now["schema"]["fields"]] if now["schema"] else batch.columns
         # Rows of one key meet in one folder if the key names it; else they meet first and are laid out after.
-        rows, bits = batch.select(*columns), self._bits(seen) if set(self.cluster) <= set(self.keys) else 0
+        rows, bits = batch.select(*columns), self._bits(about if seen is None else seen) if set(self.cluster) <= set(self.keys) else 0
         self._write(rows, path, bits, self.order)
-        run = {"path": path, "rows": self.spark.read.schema(rows.schema).parquet(path).count(), "bits": bits}
+        written = self.spark.read.schema(rows.schema).parquet(path)
+        run = {"path": path, "rows": written.count(), "bits": bits}
+        seen, meta = run["rows"] if seen is None else seen, meta(written) if callable(meta) else meta
         schema = now["schema"] or json.loads(batch.schema.json())
         while True:
             now = self.snapshot()

@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from offergrid.operators.offers import WRITE_ORDER
@@ -53,7 +54,11 @@ class IncrementalSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         table = self.table(batch.sparkSession)
-        table.commit(batch, self.writer, batch_id)
+        held = batch.persist(StorageLevel.DISK_ONLY)  # a micro-batch is made anew, with all its columns, for each use
+        try:
+            table.commit(held, self.writer, batch_id)
+        finally:
+            held.unpersist()
         self.catch_up(table)
 
     def catch_up(self, table: KeyedTable) -> None:

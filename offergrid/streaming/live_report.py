@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from offergrid.operators import report
+from offergrid.shared import erase
 from offergrid.sources.keyed_table import KeyedTable
 
+_TOTALS = ("ok", "all")
 _SUMS = ("price_sum", "rating_sum")
 _COUNTS = ("total", "success", "failed", "out_of_stock", "price_count", "rating_count")
 
@@ -18,9 +21,10 @@ class LiveReport:
     """A view of ``offers`` (a KeyedTable by product and location, with ``loc_ord``), itself a keyed table by product.
 
     ``refresh`` reads which keys were written since the version that the view shows, and of the offers only those of
-    their products. Cells and first offers of these products are made anew and replace their row; the totals are changed by
-    what these products add now, less what they added before. Rows and totals are one commit of the view together with
-    the version of the offers that they show, so a refresh that is cut off is done again as a whole.
+    their products, once. Cells and first offers of these products are made anew and replace their row, which also holds what
+    the product adds to the totals; the totals are changed by what these rows add now, less what they added before. Rows
+    and totals are one commit of the view together with the version of the offers that they show, so a refresh that is
+    cut off is done again as a whole.
     """
 
     def __init__(self, spark: SparkSession, offers: KeyedTable, root: str):
@@ -36,23 +40,31 @@ class LiveReport:
         seen, now = self.shows(), self.offers.snapshot()["version"]
         if not self.offers.added(seen, now):
             return seen
-        touched = self.offers.changed(seen, now).select("asin").distinct()
-        after = self.offers.read(version=now, only=touched)
-        before = self.offers.read(after.schema, version=seen, only=touched) if seen else after.limit(0)
-        both = after.withColumn("_w", F.lit(1)).unionByName(before.withColumn("_w", F.lit(-1)))
-        names = {"ok": True, "all": False}
-        sums = [s.alias(f"{name}_{c}") for name, ok_only in names.items() for c, s in zip(report.SUMS, report.summary_sums(ok_only, F.col("_w")), strict=True)]
-        change, held, totals = both.agg(*sums).first(), self.products.snapshot()["meta"], {}
-        for name in names:
-            old = held.get(name, {})
-            totals[name] = {c: old.get(c, 0) + change[f"{name}_{c}"] for c in _COUNTS} | {c: str(Decimal(old.get(c, "0")) + (change[f"{name}_{c}"] or 0)) for c in _SUMS}
-        rows = report.product_rows(after).withColumn("shows", F.lit(now))
-        self.products.commit(rows, "refresh", now, totals | {"shows": now})
+        aside = f"{self.products.root}/touched-{uuid.uuid4().hex}"
+        try:
+            products = self.offers.changed(seen, now).select("asin").distinct()
+            products.write.parquet(aside)
+            touched = self.spark.read.schema(products.schema).parquet(aside)
+            sums = tuple(F.struct(*[s.alias(c) for c, s in zip(report.SUMS, report.summary_sums(name == "ok"), strict=True)]) for name in _TOTALS)
+            rows = report.product_rows(self.offers.read(version=now, only=touched), sums).withColumnsRenamed({f"more{i}": name for i, name in enumerate(_TOTALS)})
+            self.products.commit(rows.withColumn("shows", F.lit(now)), "refresh", now, lambda written: self._totals(written, touched) | {"shows": now}, touched.count())
+        finally:
+            erase(self.spark, aside)
         return now
 
+    def _totals(self, rows: DataFrame, touched: DataFrame) -> dict:
+        """The totals with ``rows`` in place of those that the view holds of the ``touched`` products."""
+        held = self.products.snapshot()["meta"]
+        added, gone = _added(rows), _added(self.products.read(rows.schema, only=touched))
+        totals = {}
+        for name in _TOTALS:
+            old, change = held.get(name, {}), {c: (added[f"{name}_{c}"] or 0) - (gone[f"{name}_{c}"] or 0) for c in report.SUMS}
+            totals[name] = {c: old.get(c, 0) + change[c] for c in _COUNTS} | {c: str(Decimal(old.get(c, "0")) + change[c]) for c in _SUMS}
+        return totals
+
     def report(self, catalog: DataFrame, locations: DataFrame, pending: str = "Pending") -> DataFrame:
         """``pivot_report`` of the offers as of ``shows``."""
-        return report.pivot_of_products(catalog, locations, self.products.read().drop("shows"), pending)
+        return report.pivot_of_products(catalog, locations, self.products.read().where(F.size("cells") > 0).drop("shows", *_TOTALS), pending)
 
     def summary(self, ok_only: bool) -> DataFrame:
         """``summary`` of the offers as of ``shows``."""
@@ -60,3 +72,8 @@ class LiveReport:
         row = [held.get(c, 0) for c in _COUNTS] + [Decimal(held.get(c, "0")) for c in _SUMS]
         kinds = ", ".join([f"{c} bigint" for c in _COUNTS] + [f"{c} decimal(38,4)" for c in _SUMS])
         return self.spark.createDataFrame([row], kinds).select(*report.summary_columns())
+
+
+def _added(rows: DataFrame) -> Row:
+    """What rows of products add to the totals."""
+    return rows.agg(*[F.sum(f"{name}.{c}").alias(f"{name}_{c}") for name in _TOTALS for c in report.SUMS]).first()

@@ -214,3 +214,34 @@ def test_large_batch_is_written_once(spark, tmp_path):
         now = table.snapshot()
         assert table.versions() == list(range(1, versions + 1)) and len(now["runs"]) == 1 and now["runs"][0]["bits"] > 0 and now["results"] == 400
         assert sorted(r["v"] for r in table.read().collect()) == list(range(300, 400))
+
+
+def test_refresh_reads_offers_once(spark, tmp_path):
+    """Totals change by what the view's own rows held, offers without a location included; these have no cell."""
+    rng = random.Random(10)
+    offers = KeyedTable(spark, str(tmp_path / "offers"), order=("n",))
+    live, calls = LiveReport(spark, offers, str(tmp_path / "view")), []
+    read = offers.read
+    offers.read = lambda *a, **k: calls.append(1) or read(*a, **k)
+    for b in range(2):
+        rows = [offer(rng, f"B{i % 4}", i % 3, 100 * b + i) for i in range(8)]
+        offers.commit(spark.createDataFrame([*rows, ("B9", None, *offer(rng, "B9", 0, 100 * b + 9)[2:])], OFFER))
+        calls.clear()
+        live.refresh()
+        assert len(calls) == 1
+    for ok_only in (True, False):
+        assert rows_of(live.summary(ok_only)) == rows_of(report.summary(read(), ok_only))
+    catalog = spark.createDataFrame([(i, f"B{i}", "", "c", "cat") for i in range(10)], "ord long, asin string, item_name string, item_code string, category string")
+    places = spark.createDataFrame([(i, f"{110001 + i}", f"c{i}") for i in range(3)], "ord long, pincode string, city string")
+    assert rows_of(live.report(catalog, places)) == rows_of(report.pivot_report(catalog, places, read()))
+
+
+def test_large_stream_batch_is_of_several_files(spark, tmp_path, monkeypatch):
+    from offergrid.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "ATTEMPTS_A_FILE", 500)
+    t, seen = fixtures.Tables(spark, "/root/testdata/sf0.001"), []
+    stream = t.attempt_stream(str(tmp_path / "in"), files=3)
+    query = stream.writeStream.foreachBatch(lambda df, i: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) == 3 and sum(seen) == t.attempts.count() and len(list((tmp_path / "in").glob("*.parquet"))) > 10
