@@ -260,3 +260,61 @@ def test_fields_alone_come_without_their_pages(spark):
     assert "html" not in few.columns and "mrp_texts" in few.columns
     whole = extract.found(pages).select("page_id", "mrp_texts", "old_mrp_texts")
     assert few.select(*whole.columns).exceptAll(whole).count() == 0 and few.count() == whole.count() > 0
+
+
+def test_pages_of_one_shape_are_read_once(monkeypatch):
+    """Pages that differ in texts and in values that no selector names: one page's tags are read for all of them."""
+    import pyarrow as pa
+
+    begun, start = [], dom._Reader.start
+    monkeypatch.setattr(dom._Reader, "start", lambda self, t: (begun.append(t), start(self, t))[1])
+    html = [f'<div id="a"><b title="t{i}">n &amp; {i}</b><i value="{i}">x</i></div><script>if (a&amp;{i}) b()</script><!-- {i} --><p data-at="{i}">z' for i in range(500)]
+    texts_of, given = dom.Shapes(["#a b", "#a", "script", "p[data-at]", "u"], range(3, 4)).read(pa.array(html))
+    assert texts_of(0, 5).to_pylist() == [t for i in range(500) for t in (f"n & {i}", f"n & {i}x", f"if (a&amp;{i}) b()", "z", None)]
+    assert [[[g["data-at"] for g in own] for own in page] for page in given] == [[[str(i)]] for i in range(500)]
+    assert len(begun) < 10
+
+
+def test_shapes_equal_pages_read_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dom, "MOST_HELD", 400)
+    monkeypatch.setattr(dom, "MOST_TAGS", 30)
+    rng, css = random.Random(11), ["b", "p .x", "p > b", "[a]", "#x", "script", "i[c='y']", "td"]
+    bits = ["<p>", "<p", ">", "</p>", "</p >", "<b class='x y'>", '<b id="x" id=y>', '<b id="z" a="x">', '<b c="x">', '<i c="y">', '<i c="z" q="1">', '<i C="y">', '<i @="p q=" id="x">', '<i @="p q=" r="x">', '<a href="/q"/>', "<br/>", "<I X=Y>", "</I>", "<script>", "</script>", "</SCRIPT >", "<style>", "</style>",
+            "<!-- ", " -->", "<!-- a -->", "<!--->", "<!doctype html>", "<?x>", "&amp", "&amp;", "&lt;b&gt;", "a", " b ", '"', "<b a=\"&lt;&amp\">", "<td>", "<tr>", "<table>", "</table>", "</b>", "</i>", "é"]
+    pages = [None if n % 50 == 0 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 3 if n % 2 else 12))) for n in range(6000)]
+    shapes, whole, alike = dom.Shapes(css, range(3, 5)), dom.Selectors(css), 0
+    for at in range(0, len(pages), 100):
+        part = pages[at : at + 100]
+        texts_of, given = shapes.read(pa.array([*part, *part], pa.string()).slice(100))
+        found = texts_of(0, len(css)).to_pylist()
+        for n, html in enumerate(part):
+            reader, text = dom._page(html, whole)
+            want = [text[h[0][0] : h[0][0] + h[0][1]] if (h := reader.hits.get(i)) else None for i in range(len(css))]
+            assert found[n * len(css) : (n + 1) * len(css)] == want, html
+            assert given[n] == [[h[2] for h in reader.hits.get(i, ())] for i in range(3, 5)], html
+        alike += sum(s is not None for s in shapes.shapes.values())
+    assert alike > 600
+
+
+def test_delivery_matches_its_own_selectors(spark, monkeypatch):
+    """Options and channels are read without the selectors of other fields."""
+    seen = []
+    monkeypatch.setattr(extract, "read_texts", lambda pages, selectors, *more: seen.append(selectors) or dom.read_texts(pages, selectors, *more))
+    df = pages(spark, '<div id="ddmDeliveryMessage">Monday</div>')
+    assert [r["raw_text"] for r in extract.rule_match(df).collect()] == [r["raw_text"] for r in extract.delivery_options(df, plain_date()).collect()] == ["Monday"]
+    assert seen == [(), ()]
+
+
+def test_pages_are_made_after_one_shuffle(spark):
+    from offergrid.plans.fixtures import Tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Tables(spark, "/root/testdata/sf0.001").product_pages._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
+    assert len(rows) == 1 and "hashpartitioning(asin" in rows[0]
