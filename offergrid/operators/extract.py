@@ -78,6 +78,10 @@ class Rules:
         """The rules of some fields, without channels and promises."""
         return Rules(tuple((f, own) for f, own in self.fields if f in fields), ())
 
+    def delivery(self) -> Rules:
+        """The rules of channels and promises alone."""
+        return Rules((), self.channels, self.promises)
+
     def names(self) -> list[str]:
         return list(dict.fromkeys([*[c for c, *_ in self.promises], *[c.name for c in self.channels]]))
 
@@ -187,12 +191,13 @@ def options_of() -> Column:
 
 def rule_match(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
     """(page_id, channel, raw_text): for each channel the first selector whose first element holds one of its words."""
-    return found(pages, rules).select("page_id", F.inline("told").alias("channel", "raw_text")).where("raw_text is not null")
+    told = Rules((), rules.channels)
+    return found(pages.select("page_id", "html"), told, ("page_id",)).select("page_id", F.inline("told").alias("channel", "raw_text")).where("raw_text is not null")
 
 
 def delivery_options(pages: DataFrame, as_of: Column, rules: Rules = RULES) -> DataFrame:
     """(page_id, seq, channel, raw_text, is_free, sort_minutes, display_text): all promises of each page, as found."""
-    rows = found(pages, rules).select("page_id", F.posexplode(options_of()).alias("seq", "o")).select("page_id", "seq", "o.*")
+    rows = found(pages.select("page_id", "html"), rules.delivery()).select("page_id", F.posexplode(options_of()).alias("seq", "o")).select("page_id", "seq", "o.*")
     return rows.withColumn("sort_minutes", delivery_minutes(F.col("raw_text"), as_of)).withColumn("display_text", delivery_display(F.col("channel"), F.col("raw_text"), F.col("is_free")))
 
 
