@@ -24,10 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; it stays until the cluster clears its folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def aside(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; it stays until the cluster clears its folder.
+
+    Whoever knows when it isn't needed any more gives its ``path`` and erases it.
+    """
+    path = path or aside(df.sparkSession, name)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

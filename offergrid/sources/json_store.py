@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offergrid.operators.grid import small, tail_n
 from offergrid.schemas import OFFER_DEFAULTS, OFFER_FIELDS, OFFERS
-from offergrid.shared import saved
+from offergrid.shared import aside, erase, saved
 from offergrid.sources.lines import before_blocks, read_pieces
 
 RECORD = [f.split()[0] for f in OFFER_FIELDS.split(", ")]
@@ -20,19 +20,22 @@ def sink_offers_json(offers: DataFrame) -> DataFrame:
     return nested.select("asin", F.to_json(F.create_map("asin", "m"), {"ignoreNullFields": "false"}).alias("body"))
 
 
-def sink_offers_files(offers: DataFrame, path: str, files: int, most: int = 1 << 16) -> None:
+def sink_offers_files(offers: DataFrame, path: str, files: int, most: int = 1 << 16, compression: str = "none") -> None:
     """Offers as nested objects {asin: {pincode: record}}, one a file: products are dealt to ``files`` files by their id.
 
     A file is written by one task, so there are more files, a multiple of ``files``, where one would hold over ``most``
-    products. Products are made once and kept aside; which of them begin and end a file is told by their ids alone.
+    products. Products are made once and kept aside until all is written; which of them begin and end a file is told by their
+    ids alone. With a ``compression`` (gzip) that can't be split a file is also read by one task, so ``most`` bounds that too.
     """
-    bodies = saved(sink_offers_json(offers), "bodies")
+    kept = aside(offers.sparkSession, "bodies")
+    bodies = saved(sink_offers_json(offers), "bodies", kept, "zstd")
     n = files * max(1, -(-bodies.count() // (files * most)))
     dealt = bodies.withColumn("file", F.pmod(F.xxhash64("asin"), F.lit(n)).cast("int"))
     ends = F.broadcast(dealt.groupBy("file").agg(F.min("asin").alias("first"), F.max("asin").alias("last")))  # a row a file
     line = F.concat(F.when(F.col("asin") == F.col("first"), "{").otherwise(","), F.expr("substring(body, 2, char_length(body) - 2)"), F.when(F.col("asin") == F.col("last"), "}").otherwise(""))
     lines = dealt.join(ends, "file").select("file", "asin", line.alias("value")).repartitionById(n, F.col("file"))
-    lines.sortWithinPartitions("file", "asin").drop("asin").write.partitionBy("file").text(path)
+    lines.sortWithinPartitions("file", "asin").drop("asin").write.partitionBy("file").text(path, compression=compression)
+    erase(offers.sparkSession, kept)
 
 
 def scan_offers_json(bodies: DataFrame, column: str = "body") -> DataFrame:
@@ -64,7 +67,9 @@ def read_offers_json(spark: SparkSession, path: str, whole: bool = True) -> Data
     object (cut short, or not JSON) gives no rows; with ``whole`` False its whole products are kept. Of products that
     stand twice in a file the last counts.
     """
-    rows = products(read_pieces(spark, path, "}", piece_marks()))
+    kept = aside(spark, "pieces")
+    rows = products(read_pieces(spark, path, "}", piece_marks(), kept))
+    erase(spark, kept)  # products are saved
     found = rows.where("key is not null")
     if whole:
         good = rows.groupBy("file").agg(F.min(F.col("key").isNotNull() & F.col("ended")).alias("good")).where("good")
@@ -102,7 +107,7 @@ def products(pieces: DataFrame) -> DataFrame:
     own = rows.groupBy("file", "block", "product").agg(F.array_join(texts, "}").alias("raw"), F.min("piece").alias("from"), *facts)
     within = (F.col("ends") == 1) & (F.col("from") > 0)
     own = own.withColumn("within", within).withColumn("nested", F.when(within, _nested())).withColumn("raw", F.when(~within, F.col("raw")))
-    own = saved(_keyed(own), "products")
+    own = saved(_keyed(own), "products", compression="zstd")
     texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "raw"))), lambda p: p["raw"])
     met = own.where("not within").groupBy("file", "product").agg(F.array_join(texts, "}").alias("raw"), *facts)
     tail = met.where("ends = 0").select("file", (F.col("plain") & (F.col("closes") == 1) & (F.col("depth") == 1)).alias("ended"))

@@ -11,20 +11,30 @@ from offergrid.operators.offers import keyed_dict_dedupe
 from offergrid.shared import saved
 
 
-def read_pieces(spark: SparkSession, path: str, end: str | None = None, marks: dict[str, Column] | None = None) -> DataFrame:
+#: Names of files that Spark reads decompressed, as it goes by their names.
+COMPRESSED = r"(?i)\.(gz|gzip|bz2|deflate|zst|lz4|snappy)$"
+
+
+def read_pieces(spark: SparkSession, path: str, end: str | None = None, marks: dict[str, Column] | None = None, at: str | None = None) -> DataFrame:
     """(file, block, piece, text) of text files cut at ``end`` (by default at line ends), each large file by many tasks.
 
     A block is the part of a file that one task reads, named by where it begins; pieces are numbered from 0 in each. With
     an ``end`` given, ``cut`` tells whether it follows the piece, as it does for all but perhaps the last of a file. What
-    was read is saved once, since a second reading may be split otherwise; ``marks``, columns made of ``text``, are saved
-    with it, so that they are made once too.
+    was read is saved once (under ``at``), since a second reading may be split otherwise; ``marks``, columns made of ``text``,
+    are saved with it, so that they are made once too. A compressed file is a block as a whole unless its format can be split.
     """
     reader = spark.read if end is None else spark.read.option("lineSep", end)
     where = [F.col(f"_metadata.{m}").alias(n) for m, n in (("file_path", "file"), ("file_block_start", "block"), ("file_size", "size"))]
     # Ids grow within a task, and a block is read by one task from its first piece to its last.
-    rows = saved(reader.text(path).select(*where, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"), F.octet_length("value").alias("length")).withColumns(marks or {}), "pieces")
+    rows = saved(reader.text(path).select(*where, F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"), F.octet_length("value").alias("length")).withColumns(marks or {}), "pieces", at, "zstd")
     blocks = rows.groupBy("file", "block").agg(F.min("id").alias("_first"), F.max("id").alias("_last"), F.max("size").alias("size"), F.sum(F.col("length") + len(end or "")).alias("bytes"))
     of_file = Window.partitionBy("file")
+    if end and blocks.where(F.col("file").rlike(COMPRESSED)).limit(1).count():
+        # How long a compressed text is, tell two ways of cutting it: one ends with ``end`` if its lines count a byte more.
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.octet_length("value").alias("length"))
+        lines = lines.where(F.col("file").rlike(COMPRESSED)).groupBy("file").agg(F.sum(F.col("length") + 1).alias("_lines"))
+        whole = blocks.groupBy("file").agg(F.sum("bytes").alias("_pieces")).join(lines, "file").select("file", F.when(F.col("_lines") > F.col("_pieces"), F.col("_pieces")).otherwise(F.col("_pieces") - len(end)).alias("_size"))
+        blocks = blocks.join(small(saved(whole, "sizes")), "file", "left").withColumn("size", F.coalesce("_size", "size"))
     # The last piece has no end if the file is shorter than its pieces with their ends.
     open_end = (F.col("block") == F.max("block").over(of_file)) & (F.sum("bytes").over(of_file) > F.col("size"))
     known = small(saved(blocks.select("file", "block", "_first", F.when(open_end, F.col("_last")).alias("_open")), "blocks"))

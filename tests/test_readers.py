@@ -152,3 +152,37 @@ def test_text_is_moved_once(spark, tmp_path, splits):
     before = moved()
     assert len(json_store.read_offers_json(spark, str(tmp_path / "all.json")).collect()) == 180
     assert moved() - before < 1.6 * len(text)  # once to its block, and what two blocks share once more
+
+
+def test_compressed_files(spark, tmp_path):
+    """Where a compressed file ends is told by its text: with a brace, with blanks after it, or cut short."""
+    import gzip
+
+    data = offers(random.Random(5), 12)
+    text, pretty = json.dumps(data), json.dumps(data, indent=1)
+    good = {"brace": text, "line": text + "\n", "pretty": pretty, "pretty_line": pretty + "\n", "blanks": text + "\n\n  "}
+    bad = {"cut": text[: len(text) // 2], "last_brace": text[:-1], "last_brace_line": pretty[:-2] + "\n", "more": text + "x", "two": text + text}
+    for name, body in (good | bad).items():
+        (tmp_path / f"{name}.json.gz").write_bytes(gzip.compress(body.encode()))
+    (tmp_path / "plain.json").write_text(text, encoding="utf-8")
+    rows = json_store.read_offers_json(spark, str(tmp_path / f"{{plain.json,{','.join(f'{n}.json.gz' for n in [*good, *bad])}}}")).groupBy("asin", "pincode").count().collect()
+    assert {(r["asin"], r["pincode"]) for r in rows} == {(a, p) for a, own in data.items() for p in own}
+    assert {r["count"] for r in rows} == {len(good) + 1}
+
+
+def test_nested_files_take_little_room(spark, tmp_path, monkeypatch):
+    """Files are compressed, and what is kept aside for them is gone when they are written and read."""
+    from offergrid import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    rows = [(f"B{i:05d}", f"{j}", "a city", float(i), "OK") for i in range(300) for j in range(8)]
+    df = spark.createDataFrame(rows, "asin string, pincode string, city string, price double, status string")
+    full = df.selectExpr("asin", "pincode", *[c if c in df.columns else f"cast(null as string) as {c}" for c in json_store.RECORD])
+    json_store.sink_offers_files(full, str(tmp_path / "out"), files=2, most=100, compression="gzip")
+    assert not list((tmp_path / "shared").glob("bodies-*"))
+    files = list((tmp_path / "out").rglob("*.gz"))
+    assert len(files) == 4 and not list((tmp_path / "out").rglob("*.txt"))
+    back = json_store.read_offers_json(spark, str(tmp_path / "out"))
+    assert not list((tmp_path / "shared").glob("pieces-*"))
+    assert sorted((r["asin"], r["pincode"], r["city"], r["price"], r["status"]) for r in back.collect()) == sorted(rows)
+    assert 8 * sum(f.stat().st_size for f in files) < sum(len(b["body"]) for b in json_store.sink_offers_json(full).collect())
