@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offergrid.functions import text as X
 from offergrid.schemas import STANDARD_CHANNEL
+from offergrid.shared import listed
 
 
 def as_of() -> Column:
@@ -78,13 +79,15 @@ class Tables:
         )
 
     def attempt_stream(self, root: str, files: int = 4) -> DataFrame:
-        """The attempts as a stream of several batches: written as files under ``root``, ``files`` batches of one file each.
+        """The attempts as a stream of ``files`` batches: written as files under ``root`` by the tasks that make them, unshuffled.
 
-        A file is written and read by few tasks, so a large batch is of several files of about ``ATTEMPTS_A_FILE`` rows.
+        A file is written and read by one task, so it has at most ``ATTEMPTS_A_FILE`` rows; there are some files a batch at
+        least, so that their number comes out even.
         """
-        each = max(1, -(-self.read("lineitem").count() // (files * ATTEMPTS_A_FILE)))
-        self.attempts.repartition(files * each, "l_orderkey").write.parquet(root)
-        return self.spark.readStream.schema(self.attempts.schema).option("maxFilesPerTrigger", each).parquet(root)
+        rows = min(ATTEMPTS_A_FILE, max(1, -(-self.read("lineitem").count() // (4 * files))))
+        self.attempts.write.option("maxRecordsPerFile", rows).parquet(root)
+        each = -(-sum(name.endswith(".parquet") for name in listed(self.spark, root)) // files)
+        return self.spark.readStream.schema(self.attempts.schema).option("maxFilesPerTrigger", max(1, each)).parquet(root)
 
     @cached_property
     def product_pages(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,10 +26,12 @@ class LiveReport:
     the product adds to the totals; the totals are changed by what these rows add now, less what they added before. Rows
     and totals are one commit of the view together with the version of the offers that they show, so a refresh that is
     cut off is done again as a whole.
+
+    The table may hold narrower rows that ``of`` makes offers of, one of each: these are then moved and kept instead.
     """
 
-    def __init__(self, spark: SparkSession, offers: KeyedTable, root: str):
-        self.spark, self.offers = spark, offers
+    def __init__(self, spark: SparkSession, offers: KeyedTable, root: str, of: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+        self.spark, self.offers, self.of = spark, offers, of
         self.products = KeyedTable(spark, root, ("asin",), ("shows",))
 
     def shows(self) -> int:
@@ -46,7 +49,7 @@ class LiveReport:
             products.write.parquet(aside)
             touched = self.spark.read.schema(products.schema).parquet(aside)
             sums = tuple(F.struct(*[s.alias(c) for c, s in zip(report.SUMS, report.summary_sums(name == "ok"), strict=True)]) for name in _TOTALS)
-            rows = report.product_rows(self.offers.read(version=now, only=touched), sums).withColumnsRenamed({f"more{i}": name for i, name in enumerate(_TOTALS)})
+            rows = report.product_rows(self.of(self.offers.read(version=now, only=touched)), sums).withColumnsRenamed({f"more{i}": name for i, name in enumerate(_TOTALS)})
             self.products.commit(rows.withColumn("shows", F.lit(now)), "refresh", now, lambda written: self._totals(written, touched) | {"shows": now}, touched.count())
         finally:
             erase(self.spark, aside)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +68,13 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: tuple[str
     return table
 
 
-def report_stream(stream: DataFrame, root: str, checkpoint: str, every: int = 50, **more) -> LiveReport:
+def report_stream(stream: DataFrame, root: str, checkpoint: str, every: int = 50, of: Callable[[DataFrame], DataFrame] = lambda rows: rows, **more) -> LiveReport:
     """Offers from a stream into a keyed table under ``root``, and the report of them, rebuilt each ``every`` results.
 
-    What the last results left over is in the report when the stream ends, as after a run.
+    What the last results left over is in the report when the stream ends, as after a run. ``of`` makes offers of the stream's
+    rows where it has narrower ones.
     """
-    view = lambda table: LiveReport(stream.sparkSession, table, f"{root}/report")
+    view = lambda table: LiveReport(stream.sparkSession, table, f"{root}/report", of)
     table = upsert_stream(stream, f"{root}/offers", checkpoint, ("asin", "pincode"), WRITE_ORDER, cadence={every: lambda t: view(t).refresh()}, **more)
     live = view(table)
     live.refresh()

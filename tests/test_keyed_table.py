@@ -245,3 +245,22 @@ def test_large_stream_batch_is_of_several_files(spark, tmp_path, monkeypatch):
     query = stream.writeStream.foreachBatch(lambda df, i: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert len(seen) == 3 and sum(seen) == t.attempts.count() and len(list((tmp_path / "in").glob("*.parquet"))) > 10
+
+
+def test_stream_moves_narrow_rows(spark, tmp_path):
+    """The report's table holds attempts, its offers are made when it is refreshed; the stream's files are written unshuffled."""
+    from offergrid.plans import catalogue, fixtures
+
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = moved()
+    assert t.attempt_stream(str(tmp_path / "in"), files=3).isStreaming and moved() - before < 2000
+    live = catalogue._live(t)
+    assert "delivery_text" in live.offers.read().columns and "product_url" not in live.offers.read().columns
+    assert len(live.offers.snapshot()["runs"]) == 3
+    assert rows_of(live.summary(False)) == rows_of(report.summary(t.offers, False))
