@@ -318,3 +318,19 @@ def test_pages_are_made_after_one_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     rows = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
     assert len(rows) == 1 and "hashpartitioning(asin" in rows[0]
+
+
+def test_offers_need_one_small_copy_of_a_page(spark):
+    """A page's small letters are made once for all rules, and after that no step holds the page."""
+    df = pages(spark, "<title>x</title>").selectExpr("*", "'u' url", "'B1' asin", "'1' pincode", "'c' city", "timestamp_ntz'2000-01-01 00:00:00' captured_at")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "2000")
+    try:
+        steps = [line for line in extract.build_offer(df, plain_date())._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project [" in line]
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert sum(line.count("lower(html#") for line in steps) == 1
+    assert not any("html#" in line for line in steps[:3])
+    long = "<p>" + "x" * 3100 + "captcha</p>"
+    df = pages(spark, long, "<p>B1 İ ADD TO cart", "<p>ROBOT check").selectExpr("*", "'u' url", "'B1' asin", "'1' pincode", "'c' city", "timestamp_ntz'2000-01-01 00:00:00' captured_at")
+    assert [r["failure_reason"] for r in extract.build_offer(df, plain_date()).orderBy("page_id").collect()] == ["", "", "CAPTCHA"]
