@@ -320,6 +320,15 @@ def test_pages_are_made_after_one_shuffle(spark):
     assert len(rows) == 1 and "hashpartitioning(asin" in rows[0]
 
 
+def test_source_is_searched_only_where_it_has_a_word(spark):
+    """Promises from the source, in any case and script of the page; a page without their words isn't searched by patterns."""
+    source = ["<p>FREE DELIVERY IN 20 minutes, now<b>", "<i>İ On TODAY", "<p>free delivery in minutes", "<p>Frday", None]
+    got = extract.delivery_options(pages(spark, *source), plain_date()).select("page_id", "channel", "raw_text").collect()
+    assert sorted(map(tuple, got)) == [(0, "Express", "FREE DELIVERY IN 20 minutes, now"), (1, "Standard", "TODAY")]
+    plan = extract.delivery_options(pages(spark, *source), plain_date())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan or "contains(" in plan.lower()
+
+
 def test_offers_need_one_small_copy_of_a_page(spark):
     """A page's small letters are made once for all rules, and after that no step holds the page."""
     df = pages(spark, "<title>x</title>").selectExpr("*", "'u' url", "'B1' asin", "'1' pincode", "'c' city", "timestamp_ntz'2000-01-01 00:00:00' captured_at")
